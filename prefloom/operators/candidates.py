@@ -13,6 +13,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefloom.functions.judge import JUDGE_ERROR_PREFIX, judge_result
 from prefloom.functions.text import is_blank
@@ -49,7 +50,7 @@ def generate_candidates(requests: DataFrame, fn: Callable[[list[str]], list[str]
                         out.append("")
             yield pdf.assign(response=out)
 
-    schema = df.schema.add("response", "string")
+    schema = T.StructType(df.schema.fields + [T.StructField("response", T.StringType())])
     return df.mapInPandas(run, schema)
 
 
@@ -86,7 +87,8 @@ def judge_candidates(cands: DataFrame, fn: Callable[[list[str], list[str]], list
                         errs.append(str(e))
             yield pdf.assign(judge_text=texts, error=errs)
 
-    schema = todo.schema.add("judge_text", "string").add("error", "string")
+    schema = T.StructType(todo.schema.fields + [T.StructField("judge_text", T.StringType()),
+                                                T.StructField("error", T.StringType())])
     judged = todo.mapInPandas(run, schema).unionByName(blank)
     r = judge_result("response", "judge_text", "error")
     return judged.withColumn("_j", r).withColumns(

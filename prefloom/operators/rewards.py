@@ -7,6 +7,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefloom.functions import reward as RW
 from prefloom.functions.templates import scoring_text
@@ -41,7 +42,7 @@ def compute_reward(df: DataFrame, fn: Callable[[list[str]], list[float]] | None
             vals = [float(v) for v in fn(pdf["_text"].fillna("").tolist())]
             yield pdf.drop(columns=["_text"]).assign(reward=vals)
 
-    schema = df.schema.add("reward", "double")
+    schema = T.StructType(df.schema.fields + [T.StructField("reward", T.DoubleType())])
     return src.mapInPandas(run, schema)
 
 
