@@ -13,10 +13,10 @@ Scores are clamped to [0, 10]; NaN is treated as 0 (documented deviation).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.functions.text import DIGIT, WS_CHARS, _c, py_strip
+from prefloom.functions.text import DIGIT, WS_CHARS, _c, is_blank, py_strip
 
 # --- fixed values -----------------------------------------------------------
 JSON_SLICE = r"\{[^}]+\}"
@@ -40,21 +40,27 @@ def _clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(SCORE_MIN)), F.lit(SCORE_MAX))
 
 
-def parse_judge_output(col) -> Column:
-    """Returns ``STRUCT<score: DOUBLE, reason: STRING>``."""
-    text = F.coalesce(_c(col), F.lit(""))
-    sl = F.regexp_extract(text, JSON_SLICE, 0)
-    sl = F.when(sl != "", sl)
-    parsed = F.from_json(
-        sl,
-        "score STRING, reason STRING, _bad STRING",
-        {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"},
-    )
+def _pieces(text: Column) -> dict[str, Column]:
+    """Stage 1: the JSON slice, its parse, the JSON type of ``score`` and the first number."""
+    sl0 = F.regexp_extract(text, JSON_SLICE, 0)
+    sl = F.when(sl0 != "", sl0)
+    return {
+        "_jt": text,
+        "_sl": sl,
+        "_pj": F.from_json(
+            sl, "score STRING, reason STRING, _bad STRING",
+            {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}),
+        # JSON type of the score value: VOID (null), BOOLEAN, STRING, ARRAY..., numeric;
+        # NULL when the key is absent or VARIANT refuses the text (e.g. duplicate keys).
+        "_vt": F.schema_of_variant(F.try_variant_get(F.try_parse_json(sl), "$.score", "variant")),
+        "_num": F.regexp_extract(text, FIRST_NUMBER, 1),
+    }
+
+
+def _result(text: Column, sl: Column, parsed: Column, vtype: Column, num: Column) -> tuple[Column, Column]:
+    """Stage 2: score and reason from the stage-1 pieces."""
     valid = sl.isNotNull() & parsed["_bad"].isNull()
     raw = parsed["score"]
-    # JSON type of the score value: VOID (null), BOOLEAN, STRING, ARRAY..., numeric;
-    # NULL when the key is absent or VARIANT refuses the text (e.g. duplicate keys).
-    vtype = F.schema_of_variant(F.try_variant_get(F.try_parse_json(sl), "$.score", "variant"))
     is_bool = F.coalesce(vtype == "BOOLEAN", raw.isin("true", "false"))
     is_container = F.coalesce(vtype.startswith("ARRAY") | vtype.startswith("OBJECT"), F.lit(False))
     is_null = F.coalesce(vtype == "VOID", F.lit(False))
@@ -68,7 +74,6 @@ def parse_judge_output(col) -> Column:
     )
     json_ok = valid & ~is_container & ~is_null & (~needs_text_check | numeric_text)
     json_err = valid & (is_container | is_null)
-    num = F.regexp_extract(text, FIRST_NUMBER, 1)
     reason_json = F.coalesce(parsed["reason"], F.lit(""))
     score = (
         F.when(json_err, F.lit(0.0))
@@ -82,18 +87,34 @@ def parse_judge_output(col) -> Column:
         .when(num != "", F.substring(text, 1, REASON_CHARS))
         .otherwise(F.lit(FAILED_REASON))
     )
+    return score, reason
+
+
+def parse_judge_output(col) -> Column:
+    """C4 as one expression: ``STRUCT<score: DOUBLE, reason: STRING>``. Handy for small
+    inputs; :func:`with_judge_scores` computes the same in two projections, so the JSON
+    parse is not repeated inside every branch of the generated code."""
+    text = F.coalesce(_c(col), F.lit(""))
+    p = _pieces(text)
+    score, reason = _result(text, p["_sl"], p["_pj"], p["_vt"], p["_num"])
     return F.struct(score.alias("score"), reason.alias("reason"))
 
 
-def judge_result(response, judge_text, error) -> Column:
-    """C3 result rule: blank candidate -> (0, Empty response); judge failure ->
-    (0, 'Judge error: ...'); else C4 on the judge text."""
-    from prefloom.functions.text import is_blank
+def with_judge_scores(df: DataFrame, judge_text: str, response: str | None = None,
+                      error: str | None = None) -> DataFrame:
+    """C3+C4 on a DataFrame: adds ``score`` and ``reason``.
 
-    parsed = parse_judge_output(judge_text)
-    return (
-        F.when(is_blank(response), F.struct(F.lit(0.0).alias("score"), F.lit(EMPTY_REASON).alias("reason")))
-        .when(_c(error).isNotNull(), F.struct(F.lit(0.0).alias("score"),
-                                              F.concat(F.lit(JUDGE_ERROR_PREFIX), _c(error)).alias("reason")))
-        .otherwise(parsed)
-    )
+    With ``response``: a blank candidate gets (0, 'Empty response'); with ``error``: a
+    failed judgement gets (0, 'Judge error: ...'); otherwise the judge text is parsed.
+    """
+    x = df.withColumns(_pieces(F.coalesce(F.col(judge_text), F.lit(""))))
+    score, reason = _result(F.col("_jt"), F.col("_sl"), F.col("_pj"), F.col("_vt"), F.col("_num"))
+    if error is not None:
+        failed = F.col(error).isNotNull()
+        score = F.when(failed, F.lit(0.0)).otherwise(score)
+        reason = F.when(failed, F.concat(F.lit(JUDGE_ERROR_PREFIX), F.col(error))).otherwise(reason)
+    if response is not None:
+        blank = is_blank(response)
+        score = F.when(blank, F.lit(0.0)).otherwise(score)
+        reason = F.when(blank, F.lit(EMPTY_REASON)).otherwise(reason)
+    return x.withColumns({"score": score, "reason": reason}).drop("_jt", "_sl", "_pj", "_vt", "_num")

@@ -1,8 +1,10 @@
 """Column helpers for the text rules every stage depends on.
 
 The rules are Python's: ``str.split()``/``str.strip()`` whitespace and ``re``'s
-``\\s``/``\\d`` on ``str``. Character classes are spelled out with ``\\x{..}`` so
-that the same spelling works in Java regex (Spark) and RE2 (the DuckDB oracle).
+``\\s``/``\\d`` on ``str``. The whitespace set is stated once as code-point ranges;
+from it we derive (a) a character list for ``translate``/``btrim``, which handle the
+hot paths (strip, collapse, word count) without a regex, and (b) a regex class spelled
+with ``\\x{..}`` that reads the same in Java regex (Spark) and RE2 (the DuckDB oracle).
 """
 
 from __future__ import annotations
@@ -12,12 +14,12 @@ from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 # Code points for which Python's str.isspace() is true (= re's \s on str).
-WS_CHARS = (
-    r"\t\n\x{0b}\f\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+WS_RANGES = [
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
+    (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+]
 # Control characters removed by clean_text after the whitespace collapse.
-CTRL_CLASS = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}]"
+CTRL_RANGES = [(0x00, 0x08), (0x0B, 0x0C), (0x0E, 0x1F), (0x7F, 0x7F)]
 # Curly quotes and their straight replacements.
 CURLY_QUOTES = "“”‘’"
 STRAIGHT_QUOTES = "\"\"''"
@@ -25,8 +27,22 @@ STRAIGHT_QUOTES = "\"\"''"
 REASONING_WORDS = ["step", "first", "then", "therefore"]
 # ---------------------------------------------------------------------------
 
+
+def _chars(ranges) -> str:
+    return "".join(chr(c) for a, b in ranges for c in range(a, b + 1))
+
+
+def _klass(ranges) -> str:
+    return "".join(f"\\x{{{a:02x}}}" if a == b else f"\\x{{{a:02x}}}-\\x{{{b:02x}}}" for a, b in ranges)
+
+
+WS_LIST = _chars(WS_RANGES)            # for translate / btrim
+WS_SPACES = " " * len(WS_LIST)
+CTRL_LIST = _chars(CTRL_RANGES)
+WS_CHARS = _klass(WS_RANGES)           # regex class body
 WS = "[" + WS_CHARS + "]"
 NON_WS = "[^" + WS_CHARS + "]"
+CTRL_CLASS = "[" + _klass(CTRL_RANGES) + "]"
 DIGIT = r"\p{Nd}"
 
 
@@ -35,29 +51,44 @@ def _c(col) -> Column:
 
 
 def py_strip(col) -> Column:
-    """Python ``str.strip()``: remove leading/trailing whitespace of the full class."""
-    return F.regexp_replace(_c(col), r"\A" + WS + "+|" + WS + r"+\z", "")
+    """Python ``str.strip()``: remove leading/trailing characters of the whitespace set."""
+    return F.btrim(_c(col), F.lit(WS_LIST))
+
+
+def spaces_only(col) -> Column:
+    """Every whitespace character replaced by ' ' (length preserved)."""
+    return F.translate(_c(col), WS_LIST, WS_SPACES)
+
+
+def collapse_ws(col) -> Column:
+    """``re.sub(r'\\s+', ' ', text)``."""
+    return F.regexp_replace(spaces_only(col), "  +", " ")
 
 
 def clean_text(col) -> Column:
     """Falsy -> ''; collapse whitespace runs to one space and strip; then drop
     control characters (no second collapse); then straighten curly quotes."""
-    s = F.coalesce(_c(col), F.lit(""))
-    s = F.regexp_replace(s, WS + "+", " ")
+    s = collapse_ws(F.coalesce(_c(col), F.lit("")))
     # after the collapse the only whitespace left is ' ', so strip == trim(' ')
     s = F.btrim(s, F.lit(" "))
-    s = F.regexp_replace(s, CTRL_CLASS, "")
+    s = F.translate(s, CTRL_LIST, "")          # no counterpart -> deleted
     return F.translate(s, CURLY_QUOTES, STRAIGHT_QUOTES)
 
 
+def tokens(col) -> Column:
+    """``text.split()`` as an array of strings."""
+    t = F.btrim(spaces_only(F.coalesce(_c(col), F.lit(""))), F.lit(" "))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " +", -1))
+
+
 def word_count(col) -> Column:
-    """``len(text.split())`` = number of maximal non-whitespace runs."""
-    return F.coalesce(F.regexp_count(_c(col), F.lit(NON_WS + "+")), F.lit(0)).cast("bigint")
+    """``len(text.split())``."""
+    return F.size(tokens(col)).cast("bigint")
 
 
 def is_blank(col) -> Column:
     """True when ``text.strip()`` is empty (NULL counts as blank)."""
-    return F.coalesce(~_c(col).rlike(NON_WS), F.lit(True))
+    return F.coalesce(py_strip(col) == "", F.lit(True))
 
 
 def contains_any(col, words) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefloom.functions.judge import JUDGE_ERROR_PREFIX, judge_result
+from prefloom.functions.judge import JUDGE_ERROR_PREFIX, with_judge_scores
 from prefloom.functions.text import is_blank
 
 
@@ -90,9 +90,7 @@ def judge_candidates(cands: DataFrame, fn: Callable[[list[str], list[str]], list
     schema = T.StructType(todo.schema.fields + [T.StructField("judge_text", T.StringType()),
                                                 T.StructField("error", T.StringType())])
     judged = todo.mapInPandas(run, schema).unionByName(blank)
-    r = judge_result("response", "judge_text", "error")
-    return judged.withColumn("_j", r).withColumns(
-        {"score": F.col("_j.score"), "reason": F.col("_j.reason")}).drop("_j")
+    return with_judge_scores(judged, "judge_text", response="response", error="error")
 
 
 def attach_scores(cands: DataFrame, scores: DataFrame, keys=("prompt_id", "cand_idx")) -> DataFrame:

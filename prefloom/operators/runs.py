@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefloom.functions.text import NON_WS, WS, dedup_key
+from prefloom.functions.text import collapse_ws, dedup_key, tokens
 
 # --- fixed values -----------------------------------------------------------
 METHODS = ["sft", "dpo", "ppo"]
@@ -140,8 +140,7 @@ def analysis_summary(summary: DataFrame, betas: DataFrame, best_of=("dpo", "ppo"
 def ngrams(df: DataFrame, text: str = "response", n: int = 4, hashed: bool = False) -> DataFrame:
     """Whitespace tokens -> all contiguous n-grams (one row each). With ``hashed`` the
     n-gram is kept as a 64-bit xxhash to cut shuffle bytes at scale."""
-    toks = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WS + "+", -1), lambda x: x != "")
-    x = df.withColumn("_t", toks)
+    x = df.withColumn("_t", tokens(text))
     starts = F.sequence(F.lit(1), F.size("_t") - n + 1)
     x = x.withColumn("_i", F.explode(F.when(F.size("_t") >= n, starts).otherwise(F.array().cast("array<int>"))))
     g = F.array_join(F.slice("_t", F.col("_i"), n), " ")
@@ -161,7 +160,7 @@ def distinct_n(responses: DataFrame, by=("group",), n: int = 4, hashed: bool = F
 def mode_collapse(responses: DataFrame, by=("group",), prompt: str = "prompt_id", text: str = "response") -> DataFrame:
     """G9 (our definition): share of responses whose normalised text (whitespace
     collapsed, stripped, lower-cased) occurs under at least two prompts of the group."""
-    norm = dedup_key(F.regexp_replace(F.col(text), WS + "+", " "))
+    norm = dedup_key(collapse_ws(text))
     x = responses.withColumn("_h", norm)
     per = x.groupBy(*by, "_h").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(prompt).alias("_p"))
     return per.groupBy(*by).agg(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefloom.functions.judge import judge_result
+from prefloom.functions.judge import with_judge_scores
 
 # --- fixed values (fixture rules) --------------------------------------------
 METHOD_BY_EVENT = {"view": "sft", "click": "dpo", "purchase": "ppo"}
@@ -24,7 +24,15 @@ PREDICTION_ERROR = "generation timed out"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a source that has fewer splits than the session has cores (e.g. a
+    single-row-group file), so per-row work is not stuck on one task. With many input
+    splits (any real-size table) this is a no-op and adds no shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
 def _case(col: str, mapping: dict) -> F.Column:
@@ -107,10 +115,9 @@ def judge_raw(spark, d) -> DataFrame:
 
 def scored(spark, d) -> DataFrame:
     """Candidates with parsed judge scores (C3 result rule over the raw judge text)."""
-    c = candidates(spark, d)
-    r = judge_result("response", judge_text_rule(F.col("prompt_id"), F.col("cand_idx")), F.lit(None).cast("string"))
-    return c.withColumn("_j", r).select("prompt_id", "prompt", "cand_idx", "response",
-                                        F.col("_j.score").alias("score"), F.col("_j.reason").alias("reason"))
+    c = candidates(spark, d).withColumn("judge_text", judge_text_rule(F.col("prompt_id"), F.col("cand_idx")))
+    return with_judge_scores(c, "judge_text", response="response").select(
+        "prompt_id", "prompt", "cand_idx", "response", "score", "reason")
 
 
 def reward_input(spark, d) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import templates as tpl
 from prefloom.functions.answers import extract_answer, extract_ground_truth
-from prefloom.functions.judge import parse_judge_output
+from prefloom.functions.judge import with_judge_scores
 from prefloom.functions.reward import heuristic_reward
 from prefloom.functions.text import clean_text, has_reasoning, word_count
 from prefloom.operators import evaluation as ev
@@ -81,8 +81,8 @@ def q_build_pairs(spark, d):
 @query("judge_parse", O.with_views("judge_raw_v") + O.judge_select(
     "(SELECT *, judge_text AS t FROM judge_raw_v)", "prompt_id, cand_idx"))
 def q_judge_parse(spark, d):
-    j = FX.judge_raw(spark, d).withColumn("_p", parse_judge_output("judge_text"))
-    return j.select("prompt_id", "cand_idx", F.col("_p.score").alias("score"), F.col("_p.reason").alias("reason"))
+    j = with_judge_scores(FX.judge_raw(spark, d), "judge_text")
+    return j.select("prompt_id", "cand_idx", "score", "reason")
 
 
 @query("attach_scores", O.with_views("candidates_v", "judge_raw_v") + f"""

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefloom.functions.judge import judge_result
+from prefloom.functions.judge import with_judge_scores
 from prefloom.session import scratch_path
 
 # --- fixed values -----------------------------------------------------------
@@ -52,8 +52,7 @@ def scored_stream(judged: DataFrame, ts: str = "ts", watermark: str = WATERMARK,
     """ST2: parse judge outputs (blank -> 'Empty response', error -> 'Judge error: ...')
     and drop repeated deliveries of one (prompt_id, cand_idx) within the watermark."""
     x = judged.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
-    r = judge_result("response", "judge_text", "error")
-    return x.withColumn("_j", r).select(*keys, F.col("_j.score").alias("score"), F.col("_j.reason").alias("reason"))
+    return with_judge_scores(x, "judge_text", response="response", error="error").select(*keys, "score", "reason")
 
 
 def run_available_now(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
