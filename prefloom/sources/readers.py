@@ -70,7 +70,7 @@ def _is_json_array(path: str) -> bool:
 def _json_array_ordinal(spark: SparkSession, path: str) -> DataFrame:
     """Read a JSON array file as one value and ``posexplode`` it: position = order."""
     arr = T.ArrayType(PROMPTS_SCHEMA)
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.posexplode(F.from_json("value", arr)).alias("ord", "r")).select(
         F.col("ord").cast("bigint").alias("ord"), "r.*")
 
