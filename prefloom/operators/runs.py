@@ -207,17 +207,25 @@ def batch_impact(runs: DataFrame) -> DataFrame:
 
 def kv_cache_estimate(runs: DataFrame, shapes: DataFrame) -> DataFrame:
     """2 * layers * kv_heads * head_dim * tokens * 2 bytes in GB; head_dim =
-    hidden // attention heads. The shape table has one row per model; the planner
-    broadcasts it when its size check passes."""
-    j = runs.join(shapes, "model", "inner")
-    head_dim = F.floor(F.col("hidden_size") / F.col("num_attention_heads"))
+    hidden // attention heads.
+
+    The estimate is linear in tokens, so requests are first reduced to (max, sum,
+    count) of tokens per model (partial aggregation, no row-level join); only that
+    one-row-per-model table meets the shape table, whose join strategy the planner
+    picks from its measured size.
+    """
     tokens = F.col("prompt_tokens") + F.col("generated_tokens")
-    gb = (F.lit(2) * F.col("num_hidden_layers") * F.col("num_key_value_heads") * head_dim * tokens
-          * F.lit(KV_DTYPE_BYTES)).cast("double") / GIB
-    return j.withColumn("_gb", gb).groupBy("model").agg(
-        F.round(F.max("_gb"), 6).alias("max_kv_cache_gb"),
-        F.round(F.avg("_gb"), 6).alias("avg_kv_cache_gb"),
-        F.count(F.lit(1)).alias("requests"),
+    per_model = runs.groupBy("model").agg(F.max(tokens).alias("_max_t"), F.sum(tokens).alias("_sum_t"),
+                                          F.count(F.lit(1)).alias("requests"))
+    j = per_model.join(shapes, "model", "inner")
+    head_dim = F.floor(F.col("hidden_size") / F.col("num_attention_heads"))
+    bytes_per_token = (F.lit(2) * F.col("num_hidden_layers") * F.col("num_key_value_heads") * head_dim
+                       * F.lit(KV_DTYPE_BYTES)).cast("double")
+    return j.select(
+        "model",
+        F.round(bytes_per_token * F.col("_max_t") / GIB, 6).alias("max_kv_cache_gb"),
+        F.round(bytes_per_token * (F.col("_sum_t") / F.col("requests")) / GIB, 6).alias("avg_kv_cache_gb"),
+        "requests",
     )
 
 

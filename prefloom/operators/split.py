@@ -67,27 +67,39 @@ def _keyed(df: DataFrame, key: str, seed: int, digits: int) -> DataFrame:
     return df.withColumn("_h", h).withColumn("_b", F.substring(F.col("_h"), 1, digits))
 
 
+def _materialize(keyed: DataFrame, materialize: bool) -> DataFrame:
+    """The cut reads its input three times (counts, boundary, assignment). When the
+    input is itself the result of shuffles (dedup, pairing), it is written once as a
+    parquet table in the shared checkpoint folder, so those shuffles are not re-run per
+    pass and the count/boundary passes read only the hash columns."""
+    if not materialize:
+        return keyed
+    from prefloom.sources.sinks import persist
+
+    return persist(keyed, "split-input")
+
+
 def train_val_split(df: DataFrame, ratio: float = 0.1, seed: int = 42, key: str = "ord",
-                    digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
+                    digits: int = DEFAULT_BUCKET_DIGITS, materialize: bool = False) -> DataFrame:
     """Exactly ``ceil(n * ratio)`` rows get ``split = 'validation'``, the rest 'train'.
 
     Both small tables broadcast here have a proven bound: the bucket table has at most
     ``16**digits`` rows and the boundary table at most one.
     """
-    keyed = _keyed(df, key, seed, digits)
+    keyed = _materialize(_keyed(df, key, seed, digits), materialize)
     need = F.ceil(F.sum("_cnt").over(Window.partitionBy()) * F.lit(float(ratio))).cast("bigint")
     return _cut(keyed, need, [], digits, broadcast_ok=True)
 
 
 def stratified_split(df: DataFrame, by: str, ratio: float = 0.1, seed: int = 42, key: str = "ord",
-                     digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
+                     digits: int = DEFAULT_BUCKET_DIGITS, materialize: bool = False) -> DataFrame:
     """Per-stratum exact cut; the global need ``ceil(N * ratio)`` is shared by
     largest remainder (ties by stratum value) so that the total is exact.
 
     The bucket table grows with the number of strata, so no broadcast hint is given;
     the planner's size check decides.
     """
-    keyed = _keyed(df, key, seed, digits)
+    keyed = _materialize(_keyed(df, key, seed, digits), materialize)
     sizes = keyed.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     everything = Window.partitionBy(F.lit(0))  # one row per stratum: bounded by #strata
     alloc = (

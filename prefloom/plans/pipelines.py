@@ -31,7 +31,8 @@ def process_preference_data(df: DataFrame, val_ratio: float = VAL_RATIO, seed: i
     x = prep.filter_by_length(x)
     x = prep.validate_format(x, prep.DPO_FIELDS)
     x = prep.format_for_dpo(x)
-    return train_val_split(x, ratio=val_ratio, seed=seed, key=key or order)
+    # dedup is a shuffle: checkpoint once before the split's three passes
+    return train_val_split(x, ratio=val_ratio, seed=seed, key=key or order, materialize=True)
 
 
 def process_sft_data(df: DataFrame, val_ratio: float = VAL_RATIO, seed: int = SEED, key: str = "ord") -> DataFrame:
@@ -39,13 +40,14 @@ def process_sft_data(df: DataFrame, val_ratio: float = VAL_RATIO, seed: int = SE
     return train_val_split(prep.format_for_sft(df), ratio=val_ratio, seed=seed, key=key)
 
 
-def dpo_training_table(df: DataFrame, already_split: bool = False, seed: int = SEED, key: str = "ord") -> DataFrame:
+def dpo_training_table(df: DataFrame, already_split: bool = False, seed: int = SEED, key: str = "ord",
+                       materialize: bool = False) -> DataFrame:
     """L3: require columns -> instruction prefix -> split(0.05). A set that already has
     splits is returned as is, without the prefix (the reference's early return)."""
     if already_split or "split" in df.columns:
         return df
     x = prep.ensure_instruction(prep.require_columns(df, prep.DPO_FIELDS))
-    return train_val_split(x, ratio=TRAINER_VAL_RATIO, seed=seed, key=key)
+    return train_val_split(x, ratio=TRAINER_VAL_RATIO, seed=seed, key=key, materialize=materialize)
 
 
 def sft_training_table(df: DataFrame, already_split: bool = False, seed: int = SEED, key: str = "ord") -> DataFrame:

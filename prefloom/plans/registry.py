@@ -325,7 +325,7 @@ def q_ensure_instruction(spark, d):
     _DOC_PAIRS, ("l3_v", f"SELECT prompt_id, {_ensure_sql('prompt')} AS prompt, chosen, rejected FROM doc_pairs_v")])
        + _split_sql("l3_v", "prompt_id", 0.05, keep="prompt_id, prompt, chosen, rejected"))
 def q_dpo_training_table(spark, d):
-    return L.dpo_training_table(_doc_pairs(spark, d), key="prompt_id").select(
+    return L.dpo_training_table(_doc_pairs(spark, d), key="prompt_id", materialize=True).select(
         "prompt_id", "prompt", "chosen", "rejected", "split")
 
 

@@ -27,6 +27,7 @@ BETA_SWEEP_SCHEMA = "beta STRING, metrics MAP<STRING, DOUBLE>, status STRING"
 QA_PROMPT_ID_PREFIX = "gsm8k_"
 QA_CATEGORY, QA_DIFFICULTY = "gsm8k", "medium"
 QA_FALLBACK_N = 200
+MAX_BROADCAST_FILES = 100_000
 # ---------------------------------------------------------------------------
 
 
@@ -40,9 +41,13 @@ def with_ordinal(df: DataFrame) -> DataFrame:
     x = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
     files = x.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return x.join(F.broadcast(offsets.select("_f", "_off")), "_f") \
-        .withColumn("ord", (F.col("_off") + F.col("_r")).cast("bigint")).drop("_f", "_r", "_off")
+    offsets = files.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_f", "_off")
+    # one row per input file: broadcast when the listed file count proves it small,
+    # otherwise leave the strategy to the planner's runtime size check
+    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
+    return x.join(offsets, "_f").withColumn("ord", (F.col("_off") + F.col("_r")).cast("bigint")) \
+        .drop("_f", "_r", "_off")
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
