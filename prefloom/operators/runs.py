@@ -252,6 +252,8 @@ def preference_objective(logps: DataFrame, betas=DEFAULT_BETAS, label_smoothing:
     h = (pc - rc) - (pr - rr); sigmoid: -(1-ε)·logσ(βh) - ε·logσ(-βh);
     hinge: max(0, 1 - βh); ipo: (h - 1/(2β))². Reward accuracy: β(pc-rc) > β(pr-rr).
     """
+    if any(float(b) <= 0 for b in betas):
+        raise ValueError(f"beta must be > 0, got {list(betas)}")
     h = (F.col("policy_chosen") - F.col("ref_chosen")) - (F.col("policy_rejected") - F.col("ref_rejected"))
     eps = float(label_smoothing)
     aggs, rows = [], []
