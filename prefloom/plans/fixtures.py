@@ -24,7 +24,7 @@ PREDICTION_ERROR = "generation timed out"
 
 
 # tables whose rows get per-row regex / JSON / tokenising work
-TEXT_TABLES = {"documents", "conversations", "pages", "benchmark", "orders"}
+TEXT_TABLES = {"documents", "pages", "orders"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -631,7 +631,7 @@ def q_distinct_n(spark, d):
 
 
 @query("mode_collapse", O.with_views("candidates_v", extra=[_RESP_BY_BETA]) + f"""
-SELECT grp AS "group", sum(n) AS responses, sum(CASE WHEN p >= 2 THEN n ELSE 0 END) AS collapsed,
+SELECT grp AS "group", CAST(sum(n) AS BIGINT) AS responses, CAST(sum(CASE WHEN p >= 2 THEN n ELSE 0 END) AS BIGINT) AS collapsed,
   round(sum(CASE WHEN p >= 2 THEN n ELSE 0 END) / sum(n), 9) AS mode_collapse
 FROM (SELECT grp, h, count(*) AS n, count(DISTINCT prompt_id) AS p FROM (
   SELECT grp, prompt_id, md5(lower({O.strip(f"regexp_replace(response, {O.lit(O.WS + '+')}, ' ', 'g')")})) AS h FROM resp_v) a
