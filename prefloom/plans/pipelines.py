@@ -80,3 +80,51 @@ def preference_pipeline(prompts: DataFrame, generate: Callable, judge: Callable,
     pairs = prep.default_identity(pairs.join(ids, "prompt_id", "left")).drop("ord")
     stats = generation_stats(pair_outcomes(p, sc, min_gap=min_gap))
     return pairs, stats
+
+
+# --- whole stage jobs: read -> process -> write -> stats -------------------------------
+
+def process_preference_job(spark, input_path: str, output_path: str, val_ratio: float = VAL_RATIO,
+                           seed: int = SEED):
+    """L1 as a job: S4 read -> L1 -> S7 write (one folder per split) -> S9 stats."""
+    from prefloom.sources.readers import read_dataset, with_ordinal
+    from prefloom.sources.sinks import write_dataset, write_processing_stats
+
+    df = read_dataset(spark, input_path)
+    if "ord" not in df.columns:
+        df = with_ordinal(df)
+    out = process_preference_data(df, val_ratio=val_ratio, seed=seed)
+    write_dataset(out, output_path)
+    written = spark.read.schema(out.schema).parquet(output_path)   # schema given: works when empty
+    write_processing_stats(written, f"{output_path.rstrip('/')}_stats")
+    return written
+
+
+def process_sft_job(spark, input_path: str, output_path: str, val_ratio: float = VAL_RATIO, seed: int = SEED):
+    """L2 as a job: S4 read -> P6 -> T1 -> S7 write."""
+    from prefloom.sources.readers import read_dataset, with_ordinal
+    from prefloom.sources.sinks import write_dataset
+
+    df = read_dataset(spark, input_path)
+    if "ord" not in df.columns:
+        df = with_ordinal(df)
+    out = process_sft_data(df, val_ratio=val_ratio, seed=seed)
+    write_dataset(out, output_path)
+    return spark.read.schema(out.schema).parquet(output_path)
+
+
+def generate_dataset_job(spark, prompts, generate: Callable, judge: Callable, output_path: str,
+                         num_candidates: int = 4, min_gap: float = 2.0, max_samples: int | None = None):
+    """R5 as a job: model outputs persisted under the output folder, pairs written as
+    parquet and JSON lines (S7, S8), generation counters as one JSON record (S9)."""
+    from prefloom.sources.sinks import persist, write_pairs_json, write_record
+
+    base = output_path.rstrip("/")
+    pairs, stats = preference_pipeline(
+        prompts, generate, judge, num_candidates=num_candidates, min_gap=min_gap, max_samples=max_samples,
+        persist=lambda df, name: persist(df, name, f"{base}/_work/{name}"))
+    pairs.write.mode("overwrite").parquet(f"{base}/pairs")
+    written = spark.read.schema(pairs.schema).parquet(f"{base}/pairs")
+    write_pairs_json(written, f"{base}/pairs_json")
+    write_record(stats, f"{base}/generation_stats")
+    return written

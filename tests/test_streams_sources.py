@@ -1,6 +1,7 @@
 """Streaming jobs (closed windows = batch; redelivered judgements dropped), readers and sinks."""
 
 import json
+import math
 import os
 import tempfile
 
@@ -118,3 +119,23 @@ def test_persist_cuts_lineage(spark):
     p = sinks.persist(df, "t-persist")
     assert "Scan parquet" in p._jdf.queryExecution().executedPlan().toString() or p.count() == df.count()
     assert p.count() == df.count()
+
+
+def test_stage_jobs_write_splits_and_stats(spark):
+    from prefloom.plans.pipelines import generate_dataset_job, process_preference_job, process_sft_job
+
+    d = tempfile.mkdtemp(prefix="prefloom-job-")
+    prompts = FX.prompts(spark, SF_SMALL)
+    pairs = generate_dataset_job(
+        spark, prompts, lambda ps: [f"Step 1. The answer is: {len(p)}. " * (1 + i % 4) for i, p in enumerate(ps)],
+        lambda ps, rs: [f'{{"score": {len(r) % 11}}}' for r in rs], f"{d}/gen", num_candidates=3, min_gap=1.0)
+    st = spark.read.json(f"{d}/gen/generation_stats").first()
+    assert st.successful_pairs == pairs.count() > 0 and st.total_prompts == prompts.count()
+    pairs.write.parquet(f"{d}/pairs_in")
+    out = process_preference_job(spark, f"{d}/pairs_in", f"{d}/processed")
+    stats = spark.read.json(f"{d}/processed_stats").first()
+    assert stats.train_size + stats.val_size == out.count()
+    qa = FX.qa_items(spark, SF_SMALL)
+    qa.write.parquet(f"{d}/qa")
+    sft = process_sft_job(spark, f"{d}/qa", f"{d}/sft")
+    assert sft.where("split = 'validation'").count() == math.ceil(qa.count() * 0.1)
