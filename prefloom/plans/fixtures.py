@@ -27,8 +27,16 @@ PREDICTION_ERROR = "generation timed out"
 TEXT_TABLES = {"documents", "pages", "orders"}
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table; its schema is inferred once per path (the inference is a Spark job)
+    and given explicitly on later reads."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
     return spread(df) if name in TEXT_TABLES else df
 
 

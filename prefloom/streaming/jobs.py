@@ -29,8 +29,9 @@ WINDOW = "1 hour"
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A file stream over one table's parquet files (schema taken from the files)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
+    from prefloom.plans.fixtures import table
+
+    schema = table(spark, sf_dir, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
