@@ -95,7 +95,7 @@ _METHOD_SQL = "coalesce(" + O._case("event_type", FX.METHOD_BY_EVENT) + ", event
 
 
 @query("stream_reward_monitor", f"""
-SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+SELECT CAST(epoch(ws) AS BIGINT) AS window_start, CAST(epoch(ws + INTERVAL 1 HOUR) AS BIGINT) AS window_end,
   method, n, round(mean_value, 9) AS mean_value
 FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, {_METHOD_SQL} AS method, count(*) AS n, avg(value) AS mean_value
       FROM events GROUP BY 1, 2) g

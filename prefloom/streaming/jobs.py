@@ -35,16 +35,27 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def as_utc_instant(col: str, dtype) -> F.Column:
+    """A TIMESTAMP_NTZ wall clock read as UTC, whatever the session time zone (watermarks
+    need TIMESTAMP; a plain cast would use the session zone)."""
+    from pyspark.sql.types import TimestampNTZType
+
+    c = F.col(col)
+    if isinstance(dtype, TimestampNTZType):
+        return F.to_timestamp(F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("Z")),
+                              "yyyy-MM-dd HH:mm:ss.SSSSSSX")
+    return c.cast("timestamp")
+
+
 def reward_monitor(logs: DataFrame, ts: str = "ts", method: str = "method", value: str = "value",
                    watermark: str = WATERMARK, window: str = WINDOW) -> DataFrame:
-    """ST1: windowed mean per method. ``ts`` may be TIMESTAMP_NTZ: it is cast to
-    TIMESTAMP (session time zone, UTC) since watermarks need TIMESTAMP."""
-    x = logs.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    """ST1: windowed mean per method, window bounds as epoch seconds (time-zone free)."""
+    x = logs.withColumn(ts, as_utc_instant(ts, logs.schema[ts].dataType)).withWatermark(ts, watermark)
     g = x.groupBy(F.window(ts, window).alias("w"), method).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"))
     return g.select(
-        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-        F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
+        F.unix_seconds("w.start").alias("window_start"),
+        F.unix_seconds("w.end").alias("window_end"),
         method, "n", F.round("mean_value", 9).alias("mean_value"))
 
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import SF_CHECK, SF_SMALL
 from prefloom.plans import fixtures as FX
@@ -17,17 +18,30 @@ def test_reward_monitor_closed_windows_equal_batch(spark):
     ev = ST.read_table_stream(spark, SF_CHECK, "events")
     out = ST.run_available_now(ST.reward_monitor(ev.select("ts", F.col("event_type").alias("method"), "value")), "t-mon")
     got = {(r.window_start, r.method): (r.n, r.mean_value) for r in out.collect()}
-    b = FX.table(spark, SF_CHECK, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    mx = b.agg(F.max("ts")).first()[0]
-    g = b.groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("method")).agg(
+    # batch: hourly buckets of epoch seconds; closed = end <= max(ts) - 10 minutes
+    b = FX.table(spark, SF_CHECK, "events").withColumn("t", F.unix_seconds(ST.as_utc_instant("ts", T.TimestampNTZType())))
+    mx = b.agg(F.max("t")).first()[0]
+    g = b.groupBy((F.floor(F.col("t") / 3600) * 3600).alias("ws"), F.col("event_type").alias("method")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("m"))
-    import datetime as dt
-
-    closed = g.where(F.col("w.end") <= F.lit(mx - dt.timedelta(minutes=10))).collect()
-    expect = {(r.w.start.strftime("%Y-%m-%d %H:%M:%S"), r.method): (r.n, r.m) for r in closed}
+    closed = g.where(F.col("ws") + 3600 <= mx - 600).collect()
+    expect = {(r.ws, r.method): (r.n, r.m) for r in closed}
     assert got == expect and len(got) == 3380
 
 
+def test_reward_monitor_ignores_session_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        ev = ST.read_table_stream(spark, SF_SMALL, "events")
+        a = ST.run_available_now(ST.reward_monitor(ev.select("ts", F.col("event_type").alias("method"), "value")), "tz1")
+        ka = sorted(tuple(r) for r in a.collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    ev = ST.read_table_stream(spark, SF_SMALL, "events")
+    b = ST.run_available_now(ST.reward_monitor(ev.select("ts", F.col("event_type").alias("method"), "value")), "tz2")
+    assert ka == sorted(tuple(r) for r in b.collect())
+
+
 def test_scored_stream_drops_redeliveries(spark):
     d = tempfile.mkdtemp(prefix="prefloom-stream-")
     rows = [(1, 0, "a", '{"score": 3}', None, "2024-01-01 00:00:00"),
