@@ -67,11 +67,12 @@ def scored_stream(judged: DataFrame, ts: str = "ts", watermark: str = WATERMARK,
     return with_judge_scores(x, "judge_text", response="response", error="error").select(*keys, "score", "reason")
 
 
-def run_available_now(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def run_available_now(df: DataFrame, name: str, output_mode: str = "append", base: str | None = None) -> DataFrame:
     """Run a streaming DataFrame over everything available, into a parquet sink on the
-    shared folder, and return the sink read as a batch."""
+    shared folder, and return the sink read as a batch. Passing the same ``base`` again
+    resumes from its checkpoint (state and watermark included) and appends."""
     spark = df.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
     q = (df.writeStream.format("parquet").outputMode(output_mode)
          .option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start(f"{base}/data"))

@@ -125,3 +125,24 @@ def test_fixture_counts(spark):
     assert (st.total_prompts, st.successful_pairs) == (100, 45)
     assert st.skipped_too_few + (st.skipped_low_gap - st.skipped_too_few) == 55
     assert deduplicate(FX.documents(spark, SF_CHECK), key="text").count() == 927
+
+
+@pytest.mark.parametrize("name", ["build_pairs", "dedup", "split_exact", "split_stratified", "eval_metrics",
+                                  "distinct_n", "process_preference", "pass_at_k"])
+def test_partition_independence(spark, name):
+    """Same rows with 1 shuffle partition (AQE off) as with 8 (AQE on)."""
+    import __spark_entry__ as E
+
+    from conftest import SF_SMALL
+
+    q = E.queries()[name]
+    base = sorted(map(tuple, q(spark, SF_SMALL).collect()), key=str)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        one = sorted(map(tuple, q(spark, SF_SMALL).collect()), key=str)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert one == base

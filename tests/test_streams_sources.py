@@ -153,3 +153,29 @@ def test_stage_jobs_write_splits_and_stats(spark):
     qa.write.parquet(f"{d}/qa")
     sft = process_sft_job(spark, f"{d}/qa", f"{d}/sft")
     assert sft.where("split = 'validation'").count() == math.ceil(qa.count() * 0.1)
+
+
+def test_reward_monitor_drops_late_rows_across_runs(spark):
+    """Second run resumes from the checkpoint: rows older than the watermark are dropped,
+    rows inside it still update their (not yet emitted) window."""
+    d = tempfile.mkdtemp(prefix="prefloom-late-")
+    schema = "ts timestamp, method string, value double"
+
+    def put(name, rows):
+        spark.createDataFrame([(dt, m, v) for dt, m, v in rows], schema).coalesce(1).write.parquet(f"{d}/in/{name}")
+
+    import datetime as dt
+
+    t = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    put("a", [(t(0, 5), "dpo", 1.0), (t(0, 50), "dpo", 3.0), (t(2, 30), "dpo", 10.0)])
+    base = f"{d}/job"
+    read = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{d}/in")
+    ST.run_available_now(ST.reward_monitor(read()), "late", base=base)
+    # watermark is now 02:20: a row at 00:30 is late (dropped); 02:40 joins the open 02:00 window
+    put("b", [(t(0, 30), "dpo", 100.0), (t(2, 40), "dpo", 20.0), (t(4, 0), "dpo", 0.0)])
+    out = ST.run_available_now(ST.reward_monitor(read()), "late", base=base)
+    got = {(r.window_start, r.method): (r.n, r.mean_value) for r in out.collect()}
+    h = lambda x: int(dt.datetime(2024, 1, 1, x, tzinfo=dt.timezone.utc).timestamp())
+    assert got[(h(0), "dpo")] == (2, 2.0)      # the late 100.0 never counted
+    assert got[(h(2), "dpo")] == (2, 15.0)
+    assert (h(4), "dpo") not in got            # still open
