@@ -12,6 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 PROMPTS_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("prompt", T.StringType()),
@@ -32,35 +33,55 @@ MAX_BROADCAST_FILES = 100_000
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:
-    """``ord`` = dense position in (file, row index) order.
-
-    Ranks are taken per file from ``_metadata.row_index`` and offset by the row counts
-    of the preceding files (a per-file count table, one row per file): no global sort
-    or single-partition window over rows.
+    """``ord`` = dense position in (file, row) order, without a global sort.
+
+    Parquet: ``_metadata.row_index`` within each file, offset by the row counts of the
+    preceding files. Other file formats (JSON lines, text): a split's rows are read in
+    order into one partition, so within a split ``monotonically_increasing_id`` minus its
+    smallest value is the row's position; splits are ordered by (file, block start) and
+    offset by the counts of the preceding splits. Either way the offset table has one row
+    per file or split.
     """
-    x = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
-    files = x.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_f", "_off")
-    # one row per input file: broadcast when the listed file count proves it small,
+    try:
+        x = df.select("*", F.col("_metadata.file_path").alias("_f"), F.lit(0).cast("bigint").alias("_s"),
+                      F.col("_metadata.row_index").alias("_r"))
+        blocks = x.groupBy("_f", "_s").agg(F.count(F.lit(1)).alias("_n"), F.lit(0).cast("bigint").alias("_r0"))
+    except AnalysisException:   # no row index for this format
+        x = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"),
+                      F.monotonically_increasing_id().alias("_r"))
+        blocks = x.groupBy("_f", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0"))
+    w = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_f", "_s", "_off", "_r0")
+    # one row per input file/split: broadcast when the listed file count proves it small,
     # otherwise leave the strategy to the planner's runtime size check
     if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
         offsets = F.broadcast(offsets)
-    return x.join(offsets, "_f").withColumn("ord", (F.col("_off") + F.col("_r")).cast("bigint")) \
-        .drop("_f", "_r", "_off")
-
-
-def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of prompt records (or JSON lines / parquet); missing keys are NULL."""
-    if path.endswith(".parquet") or os.path.isdir(path) and not path.endswith(".json"):
-        df = spark.read.parquet(path)
-    else:
-        multi = _is_json_array(path)
-        df = spark.read.schema(PROMPTS_SCHEMA).option("multiLine", str(multi).lower()).json(path)
-        if multi:
-            # one file = one array: order is the array order after explode
-            return _json_array_ordinal(spark, path)
-    return with_ordinal(df)
+    return x.join(offsets, ["_f", "_s"]).withColumn("ord", (F.col("_off") + F.col("_r") - F.col("_r0")).cast("bigint")) \
+        .drop("_f", "_s", "_r", "_off", "_r0")
+
+
+def _format_of(path: str) -> str:
+    """'json' for .json/.jsonl files or folders of them, else 'parquet'."""
+    p = path.rstrip("/")
+    if p.endswith((".json", ".jsonl")):
+        return "json"
+    if os.path.isdir(p):
+        names = [n for n in os.listdir(p) if not n.startswith((".", "_"))]
+        if names and all(n.endswith((".json", ".jsonl")) for n in names):
+            return "json"
+    return "parquet"
+
+
+def read_prompts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """A JSON array of prompt records (the reference's seed file), JSON lines or
+    parquet; missing keys are NULL; ``ord`` is the record's position in input order."""
+    fmt = fmt or _format_of(path)
+    if fmt == "parquet":
+        return with_ordinal(spark.read.parquet(path))
+    if _is_json_array(path):
+        # one file = one JSON document: order is the array order after posexplode
+        return _json_array_ordinal(spark, path)
+    return with_ordinal(spark.read.schema(PROMPTS_SCHEMA).json(path))
 
 
 def _is_json_array(path: str) -> bool:
@@ -103,10 +124,10 @@ def read_dataset(spark: SparkSession, path: str, table: bool = False) -> DataFra
     file, or a catalog table."""
     if table:
         return spark.read.table(path)
-    if path.endswith(".json") or path.endswith(".jsonl"):
-        multi = _is_json_array(path)
-        return with_ordinal(spark.read.option("multiLine", str(multi).lower()).json(path)) if not multi \
-            else spark.read.option("multiLine", "true").json(path)
+    if _format_of(path) == "json":
+        if _is_json_array(path):
+            return spark.read.option("multiLine", "true").json(path)
+        return with_ordinal(spark.read.json(path))
     return spark.read.parquet(path)
 
 

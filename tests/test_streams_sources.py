@@ -179,3 +179,25 @@ def test_reward_monitor_drops_late_rows_across_runs(spark):
     assert got[(h(0), "dpo")] == (2, 2.0)      # the late 100.0 never counted
     assert got[(h(2), "dpo")] == (2, 15.0)
     assert (h(4), "dpo") not in got            # still open
+
+
+def test_with_ordinal_json_lines_many_splits(spark):
+    """JSON lines cut into many small splits (packed several per partition) keep file order."""
+    d = tempfile.mkdtemp(prefix="prefloom-jsonl-")
+    expect = []
+    for i in range(3):
+        with open(f"{d}/part-{i}.jsonl", "w", encoding="utf-8") as f:
+            for j in range(400):
+                v = f"f{i}-{j:04d}-" + "x" * (j % 37)
+                f.write(json.dumps({"prompt": v}) + "\n")
+                expect.append(v)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        df = readers.read_prompts(spark, d + "/")
+        assert spark.read.json(d).rdd.getNumPartitions() > 3
+        got = [r.prompt for r in df.orderBy("ord").collect()]
+        ords = [r.ord for r in df.orderBy("ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == expect and ords == list(range(len(expect)))
