@@ -44,8 +44,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a source that has fewer splits than the session has cores (e.g. a
     single-row-group file), so per-row work is not stuck on one task. With many input
     splits (any real-size table) this is a no-op and adds no shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a remote (Connect) session: no RDD view, keep the scan as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def _case(col: str, mapping: dict) -> F.Column:

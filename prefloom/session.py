@@ -41,8 +41,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="prefloom-ckpt-", dir=os.environ.get("PREFLOOM_LOCAL_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    try:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # remote session: only the SQL conf is used (written tables)
+        pass
     return d
 
 
