@@ -53,3 +53,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def recommended_conf(advisory_partition: str = "256m", max_split: str = "256m") -> dict[str, str]:
+    """Session settings we recommend for large clusters (pass to the builder or the
+    platform's job config; nothing here is applied to a running session).
+
+    * AQE sizes post-shuffle partitions from measured map output (no fixed partition count
+      to tune per scale) and splits skewed join partitions;
+    * text tables: splits of ``max_split`` keep per-task regex/JSON work and sort buffers
+      within executor memory;
+    * broadcast joins only below the planner's size check (the library adds hints only for
+      tables with a proven bound).
+    """
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory_partition,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": max_split,
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    }
