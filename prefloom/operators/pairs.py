@@ -79,10 +79,11 @@ def pair_outcomes(prompts: DataFrame, scored: DataFrame, min_gap: float = 2.0,
     they are kept apart here and summed in :func:`generation_stats`. ``errors`` (optional)
     holds the keys of prompts whose processing failed.
     """
-    g = _pick(scored, key).select(
-        F.col(key).alias("_k"),
-        "n_candidates",
-        (F.col("best.score") - F.col("worst.score")).alias("score_gap"),
+    # only the count and the score range matter here: fixed-width buffers, so this is a
+    # hash aggregation that carries no text (best - worst score == max - min score)
+    g = drop_blank_candidates(scored).groupBy(F.col(key).alias("_k")).agg(
+        F.count(F.lit(1)).alias("n_candidates"),
+        (F.max("score") - F.min("score")).alias("score_gap"),
     )
     p = prompts.select(F.col(prompt_key).alias(key))
     out = p.join(g, p[key] == g["_k"], "left")
