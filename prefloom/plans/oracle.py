@@ -8,8 +8,7 @@ from __future__ import annotations
 from prefloom.functions import answers as A
 from prefloom.functions import judge as J
 from prefloom.functions import reward as R
-from prefloom.functions import templates as tpl
-from prefloom.functions.text import CTRL_CLASS, NON_WS, WS, WS_CHARS
+from prefloom.functions.text import CTRL_CLASS, NON_WS, WS
 from prefloom.plans import fixtures as FX
 
 
