@@ -99,4 +99,18 @@ def attach_scores(cands: DataFrame, scores: DataFrame, keys=("prompt_id", "cand_
     return cands.join(scores, list(keys), "inner")
 
 
-__all__ = ["fan_out", "generate_candidates", "judge_candidates", "attach_scores", "JUDGE_ERROR_PREFIX"]
+__all__ = ["fan_out", "generate_candidates", "judge_candidates", "attach_scores", "attach_scores_arrays",
+           "JUDGE_ERROR_PREFIX"]
+
+
+def attach_scores_arrays(df: DataFrame, candidates: str = "candidates", scores: str = "scores",
+                         keep=("prompt_id", "prompt")) -> DataFrame:
+    """C5 for list-shaped input (one row per prompt with parallel arrays): positional
+    pairing truncated to the shorter list, as ``zip`` does (``arrays_zip`` alone pads
+    with NULLs to the longer one). Output is the long table ``keep..., cand_idx,
+    response, score, reason``; ``scores`` is ``ARRAY<STRUCT<score, reason>>``."""
+    n = F.least(F.size(candidates), F.size(scores))
+    z = F.slice(F.arrays_zip(F.col(candidates).alias("c"), F.col(scores).alias("s")), 1, n)
+    return df.select(*keep, F.posexplode(z).alias("cand_idx", "z")).select(
+        *keep, F.col("cand_idx").cast("int").alias("cand_idx"), F.col("z.c").alias("response"),
+        F.col("z.s.score").cast("double").alias("score"), F.col("z.s.reason").alias("reason"))

@@ -62,3 +62,13 @@ def write_beta_sweep(results: DataFrame, path: str) -> None:
                          F.coalesce(F.col("status"), F.lit("success")).alias("status")
                          if "status" in results.columns else F.lit("success").alias("status"))
     write_record(out, path)
+
+
+def write_generation_stats(stats: DataFrame, path: str) -> None:
+    """The generation counters record (``total_prompts``, ``successful_pairs``, ...)."""
+    write_record(stats, path)
+
+
+def write_analysis_summary(summary: DataFrame, path: str) -> None:
+    """The analysis summary record (values computed by G7, not hard-coded)."""
+    write_record(summary, path)

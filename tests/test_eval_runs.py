@@ -164,3 +164,13 @@ def test_preference_pipeline_end_to_end(spark):
     got = pairs.collect()
     assert st.successful_pairs == len(got)
     assert all(r.category == "unknown" and r.id.startswith("p") for r in got)
+
+
+def test_attach_scores_arrays_truncates_like_zip(spark):
+    from prefloom.operators.candidates import attach_scores_arrays
+
+    df = spark.createDataFrame(
+        [(1, "p", ["a", "b", "c"], [(5.0, "x"), (7.0, "y")]), (2, "q", ["d"], [(1.0, "z"), (2.0, "w")])],
+        "prompt_id long, prompt string, candidates array<string>, scores array<struct<score:double,reason:string>>")
+    got = sorted((r.prompt_id, r.cand_idx, r.response, r.score) for r in attach_scores_arrays(df).collect())
+    assert got == [(1, 0, "a", 5.0), (1, 1, "b", 7.0), (2, 0, "d", 1.0)]
