@@ -128,3 +128,36 @@ def generate_dataset_job(spark, prompts, generate: Callable, judge: Callable, ou
     write_pairs_json(written, f"{base}/pairs_json")
     write_record(stats, f"{base}/generation_stats")
     return written
+
+
+def evaluate_job(spark, predictions, items, output_path: str, detail: int = 50, numeric: bool = False):
+    """E3-E8 as a job: grade predictions against items, write per-model metrics and the
+    first ``detail`` result rows (S10). Returns the metrics DataFrame read back."""
+    from prefloom.operators.evaluation import eval_metrics, grade
+    from prefloom.sources.sinks import persist, write_eval
+
+    base = output_path.rstrip("/")
+    results = persist(grade(predictions, items, numeric=numeric), "results", f"{base}/results")
+    metrics = eval_metrics(results)
+    write_eval(metrics, results, base, detail=detail)
+    return spark.read.json(f"{base}/metrics")
+
+
+def analysis_job(spark, logs, beta_results, resources, output_path: str, base_accuracy: float = 0.22):
+    """G1-G7 as a job: the comparison tables (the reference's charts) and the summary
+    record, one folder each."""
+    from prefloom.operators import runs as G
+    from prefloom.sources.sinks import write_analysis_summary
+
+    base = output_path.rstrip("/")
+    tables = {
+        "loss_curves": G.loss_curves(logs),
+        "accuracy_progression": G.accuracy_progression(logs, base=base_accuracy),
+        "reward_margins": G.reward_margins(logs),
+        "beta_ablation": G.beta_ablation(beta_results),
+        "resource_efficiency": G.resource_efficiency(resources),
+    }
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+    write_analysis_summary(G.analysis_summary(resources, beta_results), f"{base}/analysis_summary")
+    return {name: spark.read.parquet(f"{base}/{name}") for name in tables}

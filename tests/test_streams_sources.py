@@ -201,3 +201,18 @@ def test_with_ordinal_json_lines_many_splits(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == expect and ords == list(range(len(expect)))
+
+
+def test_evaluate_and_analysis_jobs(spark):
+    from prefloom.plans.pipelines import analysis_job, evaluate_job
+
+    d = tempfile.mkdtemp(prefix="prefloom-eval-")
+    m = evaluate_job(spark, FX.predictions(spark, SF_SMALL), FX.qa_items(spark, SF_SMALL), f"{d}/eval")
+    rows = m.collect()
+    assert sum(r.total for r in rows) == FX.qa_items(spark, SF_SMALL).count()
+    detail = spark.read.json(f"{d}/eval/detailed_results")
+    assert detail.count() == 50
+    out = analysis_job(spark, FX.run_logs(spark, SF_SMALL), FX.beta_results(spark, SF_SMALL),
+                       FX.method_resources(spark, SF_SMALL), f"{d}/analysis")
+    assert out["accuracy_progression"].count() == 4
+    assert spark.read.json(f"{d}/analysis/analysis_summary").count() == 1
