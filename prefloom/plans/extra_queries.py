@@ -91,6 +91,15 @@ def q_persisted_pairs(spark, d):
 
 # --- streams ---------------------------------------------------------------------------
 
+def _state_parts(spark) -> int:
+    """State partitions for the fixture streams: the session's cores (tens of keys per
+    window here; a production stream sizes this to its key cardinality)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 _METHOD_SQL = "coalesce(" + O._case("event_type", FX.METHOD_BY_EVENT) + ", event_type)"
 
 
@@ -104,7 +113,7 @@ def q_stream_reward_monitor(spark, d):
     ev = ST.read_table_stream(spark, d, "events")
     m = F.coalesce(FX._case("event_type", FX.METHOD_BY_EVENT), F.col("event_type"))
     logs = ev.select("ts", m.alias("method"), "value")
-    return ST.run_available_now(ST.reward_monitor(logs), "reward-monitor")
+    return ST.run_available_now(ST.reward_monitor(logs), "reward-monitor", state_partitions=_state_parts(spark))
 
 
 @query("stream_scored", O.with_views("scored_v") + "SELECT prompt_id, cand_idx, score, reason FROM scored_v")
@@ -117,4 +126,4 @@ def q_stream_scored(spark, d):
         # delivery time of the judgement (fixture rule): one minute per conversation
         F.timestamp_seconds(F.lit(1704067200) + pid * 60 + idx).alias("ts"),
     )
-    return ST.run_available_now(ST.scored_stream(judged), "scored-stream")
+    return ST.run_available_now(ST.scored_stream(judged), "scored-stream", state_partitions=_state_parts(spark))

@@ -67,14 +67,27 @@ def scored_stream(judged: DataFrame, ts: str = "ts", watermark: str = WATERMARK,
     return with_judge_scores(x, "judge_text", response="response", error="error").select(*keys, "score", "reason")
 
 
-def run_available_now(df: DataFrame, name: str, output_mode: str = "append", base: str | None = None) -> DataFrame:
+def run_available_now(df: DataFrame, name: str, output_mode: str = "append", base: str | None = None,
+                      state_partitions: int | None = None) -> DataFrame:
     """Run a streaming DataFrame over everything available, into a parquet sink on the
     shared folder, and return the sink read as a batch. Passing the same ``base`` again
-    resumes from its checkpoint (state and watermark included) and appends."""
+    resumes from its checkpoint (state and watermark included) and appends.
+
+    ``state_partitions`` fixes the number of state-store partitions of a new query (a
+    stream keeps it for its lifetime; size it to the key cardinality). It applies to this
+    query's start only: the stream clones the session conf when it starts.
+    """
     spark = df.sparkSession
     base = base or scratch_path(spark, name)
-    q = (df.writeStream.format("parquet").outputMode(output_mode)
-         .option("checkpointLocation", f"{base}/_checkpoint")
-         .trigger(availableNow=True).start(f"{base}/data"))
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    if state_partitions:
+        spark.conf.set(key, str(state_partitions))
+    try:
+        q = (df.writeStream.format("parquet").outputMode(output_mode)
+             .option("checkpointLocation", f"{base}/_checkpoint")
+             .trigger(availableNow=True).start(f"{base}/data"))
+    finally:
+        spark.conf.set(key, old)
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/data")
