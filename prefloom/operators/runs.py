@@ -139,12 +139,14 @@ def analysis_summary(summary: DataFrame, betas: DataFrame, best_of=("dpo", "ppo"
 
 def ngrams(df: DataFrame, text: str = "response", n: int = 4, hashed: bool = False) -> DataFrame:
     """Whitespace tokens -> all contiguous n-grams (one row each). With ``hashed`` the
-    n-gram is kept as a 64-bit xxhash to cut shuffle bytes at scale."""
+    n-gram is kept as two independent 64-bit xxhash values (128 bits: collisions are
+    negligible even for 10^12 distinct n-grams) to cut shuffle bytes at scale."""
     x = df.withColumn("_t", tokens(text))
     starts = F.sequence(F.lit(1), F.size("_t") - n + 1)
     x = x.withColumn("_i", F.explode(F.when(F.size("_t") >= n, starts).otherwise(F.array().cast("array<int>"))))
     g = F.array_join(F.slice("_t", F.col("_i"), n), " ")
-    return x.withColumn("ngram", F.xxhash64(g) if hashed else g).drop("_t", "_i")
+    key = F.struct(F.xxhash64(g).alias("h1"), F.xxhash64(g, F.lit("\u0001")).alias("h2")) if hashed else g
+    return x.withColumn("ngram", key).drop("_t", "_i")
 
 
 def distinct_n(responses: DataFrame, by=("group",), n: int = 4, hashed: bool = False) -> DataFrame:
