@@ -19,6 +19,9 @@ from prefloom.operators.split import train_val_split
 # --- fixed values -----------------------------------------------------------
 VAL_RATIO, SEED = 0.1, 42
 TRAINER_VAL_RATIO = 0.05
+# the pairs table: ten columns in this order (also when empty)
+PAIRS_TABLE = ["prompt", "chosen", "rejected", "chosen_score", "rejected_score", "score_gap",
+               "chosen_reason", "rejected_reason", "id", "category"]
 # ---------------------------------------------------------------------------
 
 
@@ -77,7 +80,7 @@ def preference_pipeline(prompts: DataFrame, generate: Callable, judge: Callable,
         sc = persist(sc, "scored")
     pairs = build_pairs(sc, min_gap=min_gap)
     ids = p.select(F.col("ord").alias("prompt_id"), *[c for c in ("id", "category") if c in p.columns], "ord")
-    pairs = prep.default_identity(pairs.join(ids, "prompt_id", "left")).drop("ord")
+    pairs = prep.default_identity(pairs.join(ids, "prompt_id", "left")).select(*PAIRS_TABLE)
     stats = generation_stats(pair_outcomes(p, sc, min_gap=min_gap))
     return pairs, stats
 

@@ -174,3 +174,11 @@ def test_attach_scores_arrays_truncates_like_zip(spark):
         "prompt_id long, prompt string, candidates array<string>, scores array<struct<score:double,reason:string>>")
     got = sorted((r.prompt_id, r.cand_idx, r.response, r.score) for r in attach_scores_arrays(df).collect())
     assert got == [(1, 0, "a", 5.0), (1, 1, "b", 7.0), (2, 0, "d", 1.0)]
+
+
+def test_pipeline_pairs_table_shape(spark):
+    from prefloom.plans.pipelines import PAIRS_TABLE, preference_pipeline
+
+    prompts = spark.createDataFrame([(0, None, "What is 1+1?", None)], "ord long, id string, prompt string, category string")
+    pairs, _ = preference_pipeline(prompts, lambda ps: ["x"] * len(ps), lambda ps, rs: ['{"score": 1}'] * len(rs))
+    assert pairs.columns == PAIRS_TABLE and pairs.count() == 0
