@@ -43,14 +43,30 @@ def _pick(scored: DataFrame, key: str) -> DataFrame:
     )
 
 
-def build_pairs(scored: DataFrame, min_gap: float = 2.0, key: str = "prompt_id") -> DataFrame:
+def _pick_narrow(scored: DataFrame, key: str) -> DataFrame:
+    """Alternative to :func:`_pick`: winners' indices from a text-free aggregate, texts
+    joined back by (key, cand_idx). Kept for measurement (see README): it shuffles the
+    candidate rows with their text for the join-back."""
+    nb = drop_blank_candidates(scored)
+    order = F.struct(F.col("score"), (-F.col("cand_idx")).alias("neg_idx"))
+    w = nb.groupBy(key).agg(F.count(F.lit(1)).alias("n_candidates"),
+                            F.max_by("cand_idx", order).alias("_bi"), F.min_by("cand_idx", order).alias("_wi"))
+    payload = nb.select(key, "cand_idx", "prompt", F.struct("response", "score", "reason", "cand_idx").alias("p"))
+    b = payload.withColumnsRenamed({"cand_idx": "_bi", "p": "best"})
+    r = payload.select(key, F.col("cand_idx").alias("_wi"), F.col("p").alias("worst"))
+    return w.join(b, [key, "_bi"]).join(r, [key, "_wi"]).select(key, "n_candidates", "prompt", "best", "worst")
+
+
+def build_pairs(scored: DataFrame, min_gap: float = 2.0, key: str = "prompt_id", strategy: str = "carry") -> DataFrame:
     """R1+R2: chosen = best, rejected = worst; needs >= 2 non-blank candidates and
     ``gap >= min_gap`` (equality kept).
 
     Input: ``key, prompt, cand_idx, response, score, reason``. Output: ``key`` + the
-    eight pair columns in the reference's order.
+    eight pair columns in the reference's order. ``strategy='carry'`` (default) carries
+    the winners' text through one partial aggregation; ``'narrow'`` aggregates indices
+    only and joins the texts back.
     """
-    g = _pick(scored, key)
+    g = _pick(scored, key) if strategy == "carry" else _pick_narrow(scored, key)
     pairs = g.select(
         key,
         "prompt",

@@ -147,3 +147,14 @@ def test_partition_independence(spark, name):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert one == base
+
+
+def test_pair_strategies_agree(spark):
+    import random
+
+    rnd = random.Random(11)
+    groups = {p: [rnd.randint(0, 5) for _ in range(rnd.randint(1, 7))] for p in range(150)}
+    df = scored_df(spark, groups)
+    a = rows(build_pairs(df, 1.0))
+    b = rows(build_pairs(df, 1.0, strategy="narrow"))
+    assert a == b and len(a) > 0

@@ -42,6 +42,7 @@ def main():
             "rows_docs": 10000 * k,
             "dedup": timed(deduplicate(docs, key="text")),              # k copies of every key
             "build_pairs": timed(build_pairs(sc, 2.0)),                  # every prompt group k times larger
+            "build_pairs_narrow": timed(build_pairs(sc, 2.0, strategy="narrow")),
             "split_exact": timed(train_val_split(docs.select("ord", "doc_id"), 0.1, 42, "ord")),
         }
         print(json.dumps({k: out[k]}), flush=True)
