@@ -60,6 +60,8 @@ def test_pairs_match_brute_force_and_invariants(spark):
     got = {r.prompt_id: (int(r.chosen.split("-")[1]), int(r.rejected.split("-")[1]))
            for r in build_pairs(df, 2.0).collect()}
     assert got == brute_pairs(groups, 2.0)
+    for r in build_pairs(df, 2.0).collect():
+        assert r.chosen_score >= r.rejected_score and r.score_gap >= 2.0
     prompts = spark.createDataFrame([(p,) for p in range(210)], "ord long")
     st = generation_stats(pair_outcomes(prompts, df, 2.0)).collect()[0]
     assert st.total_prompts == 210
