@@ -114,8 +114,13 @@ def prompts_from_qa(qa: DataFrame, n: int = QA_FALLBACK_N, order: str = "ord") -
     )
 
 
-def head_by_ordinal(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
-    """S3: ``train[:n]`` -- a top-n by ordinal (TakeOrderedAndProject, no global sort)."""
+def head_by_ordinal(df: DataFrame, n: int, order: str = "ord", dense: bool = False) -> DataFrame:
+    """S3: ``train[:n]``. With a dense 0-based ordinal (what the readers attach) this is
+    the filter ``ord < n``: no sort, no gathering, pushed into the scan when ``ord`` is
+    stored. Otherwise a top-n by ``order`` (TakeOrderedAndProject: each task keeps its
+    n smallest rows, no global sort)."""
+    if dense:
+        return df.where(F.col(order) < F.lit(n))
     return df.orderBy(order).limit(n)
 
 
@@ -150,7 +155,7 @@ def read_preference_source(spark: SparkSession, processed: str | None, pairs: st
     df = read_dataset(spark, public)
     if "ord" not in df.columns:
         df = with_ordinal(df)
-    return rename_preference(head_by_ordinal(df, public_n))
+    return rename_preference(head_by_ordinal(df, public_n, dense=True))
 
 
 def read_train_logs(spark: SparkSession, glob: str) -> DataFrame:

@@ -216,3 +216,10 @@ def test_evaluate_and_analysis_jobs(spark):
                        FX.method_resources(spark, SF_SMALL), f"{d}/analysis")
     assert out["accuracy_progression"].count() == 4
     assert spark.read.json(f"{d}/analysis/analysis_summary").count() == 1
+
+
+def test_head_dense_equals_top_n(spark):
+    df = readers.with_ordinal(FX.table(spark, SF_SMALL, "documents").select("doc_id"))
+    a = sorted(r.doc_id for r in readers.head_by_ordinal(df, 37, dense=True).collect())
+    b = sorted(r.doc_id for r in readers.head_by_ordinal(df, 37).collect())
+    assert a == b and len(a) == 37
