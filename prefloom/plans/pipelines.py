@@ -62,14 +62,21 @@ def sft_training_table(df: DataFrame, already_split: bool = False, seed: int = S
 
 
 def preference_pipeline(prompts: DataFrame, generate: Callable, judge: Callable, num_candidates: int = 4,
-                        min_gap: float = 2.0, max_samples: int | None = None, persist: Callable | None = None,
+                        min_gap: float = 2.0, max_samples: int | None = None, persist: Callable | bool | None = None,
                         partitions: int | None = None):
     """Prompts -> N candidates (user fn) -> judge (user fn) -> parse -> pairs + stats.
 
-    ``max_samples`` cuts prompts (by ordinal), not pairs. ``persist`` (e.g.
-    :func:`prefloom.sources.sinks.persist`) writes model outputs before reuse so that
-    the model is never called twice for one candidate. Returns (pairs, stats).
+    ``max_samples`` cuts prompts (by ordinal), not pairs. Model outputs are written
+    before reuse (by default :func:`prefloom.sources.sinks.persist`, a parquet table under
+    ``spark.checkpoint.dir``), so pairs and stats -- two actions -- never call the model
+    twice for one candidate; ``persist=False`` keeps everything lazy. Returns (pairs, stats).
     """
+    if persist is None or persist is True:
+        from prefloom.sources.sinks import persist as _persist
+
+        persist = _persist
+    elif persist is False:
+        persist = None
     p = prompts if max_samples is None else prompts.where(F.col("ord") < max_samples)
     reqs = fan_out(p, num_candidates)
     cands = generate_candidates(reqs, generate, partitions)
