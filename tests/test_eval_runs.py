@@ -182,3 +182,29 @@ def test_pipeline_pairs_table_shape(spark):
     prompts = spark.createDataFrame([(0, None, "What is 1+1?", None)], "ord long, id string, prompt string, category string")
     pairs, _ = preference_pipeline(prompts, lambda ps: ["x"] * len(ps), lambda ps, rs: ['{"score": 1}'] * len(rs))
     assert pairs.columns == PAIRS_TABLE and pairs.count() == 0
+
+
+def test_pipeline_calls_models_once_across_actions(spark):
+    """Pairs and stats are two actions; the judge still runs once per non-blank candidate."""
+    import os
+    import tempfile
+
+    from prefloom.plans.pipelines import preference_pipeline
+
+    log = os.path.join(tempfile.mkdtemp(prefix="prefloom-calls-"), "judge.log")
+    prompts = spark.createDataFrame([(i, None, f"prompt number {i}", None) for i in range(8)],
+                                    "ord long, id string, prompt string, category string")
+
+    def gen(ps):
+        return [f"{p} answer {i}" for i, p in enumerate(ps)]
+
+    def judge(ps, rs, _log=log):
+        with open(_log, "a") as f:
+            f.write("x\n" * len(rs))
+        return [f'{{"score": {len(r) % 10}}}' for r in rs]
+
+    pairs, stats = preference_pipeline(prompts, gen, judge, num_candidates=3, min_gap=0.0)
+    pairs.collect()
+    stats.collect()
+    with open(log) as f:
+        assert len(f.read().splitlines()) == 8 * 3
