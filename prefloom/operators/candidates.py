@@ -41,6 +41,8 @@ def generate_candidates(requests: DataFrame, fn: Callable[[list[str]], list[str]
             prompts = pdf["prompt"].fillna("").tolist()
             try:
                 out = [("" if r is None else str(r)).strip() for r in fn(prompts)]
+                if len(out) != len(prompts):
+                    raise ValueError("model returned a different number of outputs")
             except Exception:
                 out = []
                 for p in prompts:
@@ -75,6 +77,8 @@ def judge_candidates(cands: DataFrame, fn: Callable[[list[str], list[str]], list
             texts, errs = [], []
             try:
                 texts = [None if t is None else str(t) for t in fn(ps, rs)]
+                if len(texts) != len(rs):
+                    raise ValueError("judge returned a different number of outputs")
                 errs = [None] * len(texts)
             except Exception:
                 texts, errs = [], []

@@ -39,7 +39,10 @@ def compute_reward(df: DataFrame, fn: Callable[[list[str]], list[float]] | None
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            vals = [float(v) for v in fn(pdf["_text"].fillna("").tolist())]
+            texts = pdf["_text"].fillna("").tolist()
+            vals = [float(v) for v in fn(texts)]
+            if len(vals) != len(texts):
+                raise ValueError("reward model returned a different number of outputs")
             yield pdf.drop(columns=["_text"]).assign(reward=vals)
 
     schema = T.StructType(df.schema.fields + [T.StructField("reward", T.DoubleType())])
