@@ -160,3 +160,25 @@ def test_pair_strategies_agree(spark):
     a = rows(build_pairs(df, 1.0))
     b = rows(build_pairs(df, 1.0, strategy="narrow"))
     assert a == b and len(a) > 0
+
+
+def test_stratified_split_matches_brute_force(spark):
+    import hashlib
+
+    data = [(i, ["a", "b", "c", "d"][(i * 7) % 4] if i % 5 else "a") for i in range(777)]
+    df = spark.createDataFrame(data, "ord long, s string").repartition(3)
+    got = {r.ord: r.split for r in stratified_split(df, by="s", ratio=0.1, digits=1).collect()}
+    sizes = {}
+    for _, s in data:
+        sizes[s] = sizes.get(s, 0) + 1
+    total = math.ceil(len(data) * 0.1)
+    floors = {s: math.floor(n * 0.1) for s, n in sizes.items()}
+    rem = sorted(sizes, key=lambda s: (-(sizes[s] * 0.1 - floors[s]), s))
+    quota = dict(floors)
+    for s in rem[: total - sum(floors.values())]:
+        quota[s] += 1
+    expect = set()
+    for s in sizes:
+        keys = sorted((k for k, t in data if t == s), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+        expect |= set(keys[: quota[s]])
+    assert {k for k, v in got.items() if v == "validation"} == expect
