@@ -40,21 +40,25 @@ def _clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(SCORE_MIN)), F.lit(SCORE_MAX))
 
 
+def _parse_slice(sl: Column) -> Column:
+    """The slice as JSON (Python-strict: single quotes invalid; bad JSON -> ``_bad``)."""
+    return F.from_json(
+        sl, "score STRING, reason STRING, _bad STRING",
+        {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+
+
+def _json_type(sl: Column) -> Column:
+    """JSON type of the score value: VOID (null), BOOLEAN, STRING, ARRAY..., numeric;
+    NULL when the key is absent or VARIANT refuses the text (e.g. duplicate keys)."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(sl), "$.score", "variant"))
+
+
 def _pieces(text: Column) -> dict[str, Column]:
     """Stage 1: the JSON slice, its parse, the JSON type of ``score`` and the first number."""
     sl0 = F.regexp_extract(text, JSON_SLICE, 0)
     sl = F.when(sl0 != "", sl0)
-    return {
-        "_jt": text,
-        "_sl": sl,
-        "_pj": F.from_json(
-            sl, "score STRING, reason STRING, _bad STRING",
-            {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}),
-        # JSON type of the score value: VOID (null), BOOLEAN, STRING, ARRAY..., numeric;
-        # NULL when the key is absent or VARIANT refuses the text (e.g. duplicate keys).
-        "_vt": F.schema_of_variant(F.try_variant_get(F.try_parse_json(sl), "$.score", "variant")),
-        "_num": F.regexp_extract(text, FIRST_NUMBER, 1),
-    }
+    return {"_jt": text, "_sl": sl, "_pj": _parse_slice(sl), "_vt": _json_type(sl),
+            "_num": F.regexp_extract(text, FIRST_NUMBER, 1)}
 
 
 def _result(text: Column, sl: Column, parsed: Column, vtype: Column, num: Column) -> tuple[Column, Column]:
@@ -107,7 +111,14 @@ def with_judge_scores(df: DataFrame, judge_text: str, response: str | None = Non
     With ``response``: a blank candidate gets (0, 'Empty response'); with ``error``: a
     failed judgement gets (0, 'Judge error: ...'); otherwise the judge text is parsed.
     """
-    x = df.withColumns(_pieces(F.coalesce(F.col(judge_text), F.lit(""))))
+    # projection 1 (generated code): the text, its JSON slice and first number, each once
+    t = F.coalesce(F.col(judge_text), F.lit(""))
+    sl0 = F.regexp_extract(t, JSON_SLICE, 0)
+    x = df.withColumns({"_jt": t, "_num": F.regexp_extract(t, FIRST_NUMBER, 1)}) \
+        .withColumn("_sl", F.when(sl0 != "", sl0))
+    # projection 2: the parses of the short slice (from_json has no generated code, so it
+    # stays in its own small projection)
+    x = x.withColumns({"_pj": _parse_slice(F.col("_sl")), "_vt": _json_type(F.col("_sl"))})
     score, reason = _result(F.col("_jt"), F.col("_sl"), F.col("_pj"), F.col("_vt"), F.col("_num"))
     if error is not None:
         failed = F.col(error).isNotNull()
