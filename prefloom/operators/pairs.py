@@ -36,7 +36,7 @@ def _pick(scored: DataFrame, key: str) -> DataFrame:
         .groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("n_candidates"),
-            F.first("prompt", ignorenulls=True).alias("prompt"),
+            F.min("prompt").alias("prompt"),  # one text per prompt; min is deterministic
             F.max_by(payload, order).alias("best"),
             F.min_by(payload, order).alias("worst"),
         )
