@@ -1,8 +1,10 @@
 """Readers with explicit schemas and an input ordinal ``ord``.
 
 Input order is data here (dedup "first wins", tie order, ``gen_{n}`` ids, heads), so
-readers attach ``ord`` from the file's row index rather than
-``monotonically_increasing_id`` (which is not stable across re-planning).
+readers attach a dense ``ord``: from the parquet row index, or for other formats from a
+row's position within its split (``monotonically_increasing_id`` minus the split's
+smallest id -- a position, not a global id, so it depends only on the file listing and
+the split size, which one query plan fixes).
 """
 
 from __future__ import annotations
