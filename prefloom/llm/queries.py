@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import decontaminate, packing, shard
+from prefloom.llm import decontaminate, linedup, packing, shard, topk, warc
 from prefloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +15,14 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": lambda s, d: packing.query(table(s, d, "documents")),
     "op2_decontamination": lambda s, d: decontaminate.query(table(s, d, "documents"), table(s, d, "benchmark")),
     "op5_sharding": lambda s, d: shard.query(table(s, d, "documents")),
+    "op7_line_dedup": lambda s, d: linedup.query(table(s, d, "documents")),
+    "op9_warc": lambda s, d: warc.query(table(s, d, "pages")),
+    "op10_exact_top_k": lambda s, d: topk.query(table(s, d, "embeddings")),
 }
 
 ORACLE: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE,
+    "op7_line_dedup": linedup.ORACLE,
+    "op9_warc": warc.ORACLE,
+    "op10_exact_top_k": topk.ORACLE,
 }
