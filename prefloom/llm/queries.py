@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import decontaminate, linedup, packing, shard, topk, toxicity, warc
+from prefloom.llm import decontaminate, licenses, linedup, packing, shard, topk, toxicity, warc
 from prefloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": lambda s, d: packing.query(table(s, d, "documents")),
     "op2_decontamination": lambda s, d: decontaminate.query(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op3_license_scan": lambda s, d: licenses.query(table(s, d, "documents")),
     "op4_toxicity": lambda s, d: toxicity.query(table(s, d, "documents"), table(s, d, "labels")),
     "op5_sharding": lambda s, d: shard.query(table(s, d, "documents")),
     "op7_line_dedup": lambda s, d: linedup.query(table(s, d, "documents")),
