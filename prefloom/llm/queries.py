@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import decontaminate, licenses, linedup, packing, shard, topk, toxicity, warc
+from prefloom.llm import decontaminate, jaccard, licenses, linedup, packing, shard, topk, toxicity, warc
 from prefloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op3_license_scan": lambda s, d: licenses.query(table(s, d, "documents")),
     "op4_toxicity": lambda s, d: toxicity.query(table(s, d, "documents"), table(s, d, "labels")),
     "op5_sharding": lambda s, d: shard.query(table(s, d, "documents")),
+    "op6_ngram_jaccard_join": lambda s, d: jaccard.query(table(s, d, "documents")),
     "op7_line_dedup": lambda s, d: linedup.query(table(s, d, "documents")),
     "op9_warc": lambda s, d: warc.query(table(s, d, "pages")),
     "op10_exact_top_k": lambda s, d: topk.query(table(s, d, "embeddings")),
@@ -24,6 +25,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE,
+    "op6_ngram_jaccard_join": jaccard.ORACLE,
     "op7_line_dedup": linedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_exact_top_k": topk.ORACLE,
