@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import decontaminate, jaccard, licenses, linedup, packing, shard, topk, toxicity, warc
+from prefloom.llm import decontaminate, jaccard, licenses, linedup, packing, shard, suffix, topk, toxicity, warc
 from prefloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op5_sharding": lambda s, d: shard.query(table(s, d, "documents")),
     "op6_ngram_jaccard_join": lambda s, d: jaccard.query(table(s, d, "documents")),
     "op7_line_dedup": lambda s, d: linedup.query(table(s, d, "documents")),
+    "op8_substring_dedup": lambda s, d: suffix.query(table(s, d, "documents")),
     "op9_warc": lambda s, d: warc.query(table(s, d, "pages")),
     "op10_exact_top_k": lambda s, d: topk.query(table(s, d, "embeddings")),
 }
