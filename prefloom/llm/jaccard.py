@@ -203,7 +203,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rows.filter("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     edges = tied.union(shared.select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = components(edges).select(F.col("node").alias("rep"), "component")
-    return rows.join(known, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    return rows.join(known, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
