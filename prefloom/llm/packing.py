@@ -26,51 +26,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.llm.common import two_level_rank, written
 
 CAPACITY = 2048
-#: texts of these characters only are cut at white space, every part being tokenized once per
+#: texts of these characters only are cut at white space, and every part is tokenized once per
 #: worker: the tokenizer's words never hold white space, and for these characters its
 #: normalisation is lower-casing. Everything else, and texts that may hold a special token,
 #: go to the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r -~¡-¬®-ÿ]*")
-_CACHE_ENTRIES = 400_000
-_STATE: dict = {}
+# fixed value: the tokenizer's own word pattern
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_CACHE_ENTRIES = 600_000
 
 
-def _tokenizer(path: str):
-    if path not in _STATE:
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others, in order,
+    for the code points from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+class _Encoder:
+    """The tokenizer of a file, with the ids of parts and words seen so far."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _STATE.clear()
-        _STATE[path] = (Tokenizer.from_file(path), {})
-    return _STATE[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if (ids := self.words.get(word)) is None:
+            if len(self.words) > _CACHE_ENTRIES:
+                self.words.clear()
+            own = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(own))
+        return ids
+
+    def plain(self, text: str) -> bytes:
+        parts, known = text.lower().split(), self.parts
+        for p in parts:
+            if p not in known:
+                if len(known) > _CACHE_ENTRIES:
+                    known.clear()
+                    return self.plain(text)
+                known[p] = b"".join(map(self._word, _WORDS.findall(p)))
+        return b"".join(map(known.__getitem__, parts))
 
 
-def _encode(tokenizer, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+_ENCODERS: dict[str, _Encoder] = {}
 
 
 def token_bytes(texts: list[str | None], path: str, end_id: int = 0) -> Iterator[bytes]:
     """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-    tokenizer, cache = _tokenizer(path)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Encoder(path))
+    end = end_id.to_bytes(4, "little")
     for text in texts:
         text = text or ""
         if "<|" in text or not _PLAIN.fullmatch(text):
-            yield _encode(tokenizer, [text])[0] + end
-            continue
-        parts = text.lower().split()
-        if new := list(set(parts) - cache.keys()):
-            if len(cache) > _CACHE_ENTRIES:
-                cache.clear()
-                new = list(set(parts))
-            cache.update(zip(new, _encode(tokenizer, new), strict=True))
-        yield b"".join(map(cache.__getitem__, parts)) + end
+            yield encoder.whole(text) + end
+        else:
+            yield encoder.plain(text) + end
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text_col: str = "text",
