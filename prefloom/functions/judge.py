@@ -61,10 +61,11 @@ def _pieces(text: Column) -> dict[str, Column]:
             "_num": F.regexp_extract(text, FIRST_NUMBER, 1)}
 
 
-def _result(text: Column, sl: Column, parsed: Column, vtype: Column, num: Column) -> tuple[Column, Column]:
+def _result(text: Column, sl: Column, parsed: Column, vtype: Column, num: Column, reason_chars: int | None = REASON_CHARS) -> tuple[Column, Column]:
     """Stage 2: score and reason from the stage-1 pieces."""
     valid = sl.isNotNull() & parsed["_bad"].isNull()
-    raw = parsed["score"]
+    # the JSON numbers beyond a double, and Infinity and NaN, come out of from_json in quotes
+    raw = F.regexp_replace(parsed["score"], '^"(-?Infinity|NaN)"$', "$1")
     is_bool = F.coalesce(vtype == "BOOLEAN", raw.isin("true", "false"))
     is_container = F.coalesce(vtype.startswith("ARRAY") | vtype.startswith("OBJECT"), F.lit(False))
     is_null = F.coalesce(vtype == "VOID", F.lit(False))
@@ -78,7 +79,9 @@ def _result(text: Column, sl: Column, parsed: Column, vtype: Column, num: Column
     )
     json_ok = valid & ~is_container & ~is_null & (~needs_text_check | numeric_text)
     json_err = valid & (is_container | is_null)
-    reason_json = F.coalesce(parsed["reason"], F.lit(""))
+    # an absent reason is '', a JSON null reason is NULL
+    has_reason = F.coalesce(F.array_contains(F.json_object_keys(sl), "reason"), F.lit(False))
+    reason_json = F.when(parsed["reason"].isNull() & ~has_reason, F.lit("")).otherwise(parsed["reason"])
     score = (
         F.when(json_err, F.lit(0.0))
         .when(json_ok, _clamp(json_score))
@@ -88,7 +91,7 @@ def _result(text: Column, sl: Column, parsed: Column, vtype: Column, num: Column
     reason = (
         F.when(json_err, F.lit(NOT_A_NUMBER_REASON))
         .when(json_ok, reason_json)
-        .when(num != "", F.substring(text, 1, REASON_CHARS))
+        .when(num != "", text if reason_chars is None else F.substring(text, 1, reason_chars))
         .otherwise(F.lit(FAILED_REASON))
     )
     return score, reason
@@ -105,11 +108,13 @@ def parse_judge_output(col) -> Column:
 
 
 def with_judge_scores(df: DataFrame, judge_text: str, response: str | None = None,
-                      error: str | None = None) -> DataFrame:
+                      error: str | None = None, reason_chars: int | None = REASON_CHARS) -> DataFrame:
     """C3+C4 on a DataFrame: adds ``score`` and ``reason``.
 
     With ``response``: a blank candidate gets (0, 'Empty response'); with ``error``: a
     failed judgement gets (0, 'Judge error: ...'); otherwise the judge text is parsed.
+    ``reason_chars``: how much of a prose judgement becomes its reason (the reference's
+    200; None for all of it). The judge text itself stays in the table.
     """
     # projection 1 (generated code): the text, its JSON slice and first number, each once
     t = F.coalesce(F.col(judge_text), F.lit(""))
@@ -119,7 +124,7 @@ def with_judge_scores(df: DataFrame, judge_text: str, response: str | None = Non
     # projection 2: the parses of the short slice (from_json has no generated code, so it
     # stays in its own small projection)
     x = x.withColumns({"_pj": _parse_slice(F.col("_sl")), "_vt": _json_type(F.col("_sl"))})
-    score, reason = _result(F.col("_jt"), F.col("_sl"), F.col("_pj"), F.col("_vt"), F.col("_num"))
+    score, reason = _result(F.col("_jt"), F.col("_sl"), F.col("_pj"), F.col("_vt"), F.col("_num"), reason_chars)
     if error is not None:
         failed = F.col(error).isNotNull()
         score = F.when(failed, F.lit(0.0)).otherwise(score)

@@ -27,32 +27,44 @@ def fan_out(prompts: DataFrame, n: int = 4, key: str = "ord") -> DataFrame:
     )
 
 
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Rows dealt evenly over ``partitions`` tasks before slow model calls, by default over
+    all cores of the session: an input that was read as one file (a JSON array) would
+    otherwise be served by one worker. 0 leaves the input's partitions as they are."""
+    if partitions == 0:
+        return df
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
+
+
 def generate_candidates(requests: DataFrame, fn: Callable[[list[str]], list[str]],
                         partitions: int | None = None) -> DataFrame:
-    """Run ``fn(prompts) -> responses`` per Arrow batch; a failing batch is retried
-    row by row so that one failure gives '' for that candidate only (stripped output).
+    """Run ``fn(prompts) -> responses`` per Arrow batch (stripped output). When a batch
+    fails, its rows are tried one by one, so the model may see a prompt twice; a row that
+    fails again has response '' and its message in ``error``.
 
-    ``partitions`` spreads the requests evenly (round-robin) before the model calls.
+    ``partitions``: see :func:`spread`.
     """
-    df = requests.repartition(partitions) if partitions else requests
+    df = spread(requests, partitions)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             prompts = pdf["prompt"].fillna("").tolist()
+            errs: list[str | None] = [None] * len(prompts)
             try:
                 out = [("" if r is None else str(r)).strip() for r in fn(prompts)]
                 if len(out) != len(prompts):
                     raise ValueError("model returned a different number of outputs")
             except Exception:
                 out = []
-                for p in prompts:
+                for i, p in enumerate(prompts):
                     try:
                         out.append(("" if (r := fn([p])[0]) is None else str(r)).strip())
-                    except Exception:
+                    except Exception as e:
                         out.append("")
-            yield pdf.assign(response=out)
+                        errs[i] = str(e) or type(e).__name__
+            yield pdf.assign(response=out, error=errs)
 
-    schema = T.StructType(df.schema.fields + [T.StructField("response", T.StringType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
     return df.mapInPandas(run, schema)
 
 
@@ -66,9 +78,7 @@ def judge_candidates(cands: DataFrame, fn: Callable[[list[str], list[str]], list
     """
     blank = cands.where(is_blank("response")).withColumns(
         {"judge_text": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
-    todo = cands.where(~is_blank("response"))
-    if partitions:
-        todo = todo.repartition(partitions)
+    todo = spread(cands.where(~is_blank("response")), partitions)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -88,7 +98,7 @@ def judge_candidates(cands: DataFrame, fn: Callable[[list[str], list[str]], list
                         errs.append(None)
                     except Exception as e:  # isolated per candidate
                         texts.append(None)
-                        errs.append(str(e))
+                        errs.append(str(e) or type(e).__name__)
             yield pdf.assign(judge_text=texts, error=errs)
 
     schema = T.StructType(todo.schema.fields + [T.StructField("judge_text", T.StringType()),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions.answers import answer_pattern, extract_answer, extract_ground_truth
-from prefloom.functions.text import basename, has_reasoning, word_count
+from prefloom.functions.text import basename, has_reasoning, py_strip, word_count
 
 # --- fixed values -----------------------------------------------------------
 ERROR_RESPONSE_PREFIX = "ERROR: "
@@ -20,7 +20,7 @@ ERROR_RESPONSE_PREFIX = "ERROR: "
 
 def grade(predictions: DataFrame, items: DataFrame, numeric: bool = False) -> DataFrame:
     """E3+E4: results rows ``model, item_id, sample_idx, question, ground_truth, predicted,
-    response, correct``. Exact *string* match (``numeric=True`` compares decimals);
+    response, correct``. Exact match of the *stripped strings* (``numeric=True`` compares decimals);
     a failed generation is incorrect, with predicted NULL and response ``ERROR: ...``."""
     it = items.select("item_id", "question", extract_ground_truth("answer").alias("ground_truth"))
     p = predictions.join(it, "item_id", "inner")
@@ -30,7 +30,7 @@ def grade(predictions: DataFrame, items: DataFrame, numeric: bool = False) -> Da
     if numeric:
         same = predicted.try_cast("decimal(38,10)") == F.col("ground_truth").try_cast("decimal(38,10)")
     else:
-        same = predicted == F.col("ground_truth")
+        same = py_strip(predicted) == py_strip(F.col("ground_truth"))
     return p.select("model", "item_id", "sample_idx", "question", "ground_truth",
                     predicted.alias("predicted"), response.alias("response"),
                     F.coalesce(same, F.lit(False)).alias("correct"))

@@ -25,6 +25,12 @@ def drop_blank_candidates(scored: DataFrame, response: str = "response") -> Data
     return scored.where(~is_blank(response))
 
 
+def eligible(scored: DataFrame) -> DataFrame:
+    """The candidates that pairs and outcomes count alike: not blank, and with a score (a
+    candidate without one was never judged, so it cannot be best or worst)."""
+    return drop_blank_candidates(scored).where(F.col("score").isNotNull())
+
+
 def _pick(scored: DataFrame, key: str) -> DataFrame:
     """Per prompt: count of non-blank candidates, the earliest best and the latest worst."""
     # ordering key (score, -cand_idx): max -> best score, earliest index on ties;
@@ -32,7 +38,7 @@ def _pick(scored: DataFrame, key: str) -> DataFrame:
     order = F.struct(F.col("score"), (-F.col("cand_idx")).alias("neg_idx"))
     payload = F.struct("response", "score", "reason", "cand_idx")
     return (
-        drop_blank_candidates(scored)
+        eligible(scored)
         .groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("n_candidates"),
@@ -47,7 +53,7 @@ def _pick_narrow(scored: DataFrame, key: str) -> DataFrame:
     """Alternative to :func:`_pick`: winners' indices from a text-free aggregate, texts
     joined back by (key, cand_idx). Kept for measurement (see README): it shuffles the
     candidate rows with their text for the join-back."""
-    nb = drop_blank_candidates(scored)
+    nb = eligible(scored)
     order = F.struct(F.col("score"), (-F.col("cand_idx")).alias("neg_idx"))
     w = nb.groupBy(key).agg(F.count(F.lit(1)).alias("n_candidates"),
                             F.max_by("cand_idx", order).alias("_bi"), F.min_by("cand_idx", order).alias("_wi"))
@@ -97,7 +103,7 @@ def pair_outcomes(prompts: DataFrame, scored: DataFrame, min_gap: float = 2.0,
     """
     # only the count and the score range matter here: fixed-width buffers, so this is a
     # hash aggregation that carries no text (best - worst score == max - min score)
-    g = drop_blank_candidates(scored).groupBy(F.col(key).alias("_k")).agg(
+    g = eligible(scored).groupBy(F.col(key).alias("_k")).agg(
         F.count(F.lit(1)).alias("n_candidates"),
         (F.max("score") - F.min("score")).alias("score_gap"),
     )

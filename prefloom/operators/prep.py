@@ -8,7 +8,7 @@ time from ``df.columns``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,17 +42,15 @@ def clean_columns(df: DataFrame, cols=CLEAN_COLUMNS) -> DataFrame:
 def deduplicate(df: DataFrame, key: str = "prompt", order: str = "ord") -> DataFrame:
     """key = md5(strip(key).lower()); the first row in input order wins.
 
-    ``row_number() = 1`` over the key plans a ``WindowGroupLimit`` on each map task
-    before the exchange, so a key holding a third of all rows (e.g. blank prompts)
-    is cut to one row per map task before it is shuffled.
+    The winners' ordinals come from a narrow aggregation (key and ``order`` only, reduced
+    on every map task, so a key with a third of all rows is one row per task); the rows
+    meet them by an equi-join. No text is sorted. ``order`` is unique within a key (the
+    readers' ordinal), so exactly one row per key stays.
     """
-    w = Window.partitionBy("_dedup_key").orderBy(F.col(order).asc())
-    return (
-        df.withColumn("_dedup_key", dedup_key(key))
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") == 1)
-        .drop("_rn", "_dedup_key")
-    )
+    keyed = df.withColumn("_key", dedup_key(key))
+    first = keyed.groupBy("_key").agg(F.min(order).alias("_first")).withColumnRenamed("_key", "_k")
+    same = keyed["_key"].eqNullSafe(first["_k"]) & keyed[order].eqNullSafe(first["_first"])
+    return keyed.join(first, same, "left_semi").drop("_key")
 
 
 def length_ok(df: DataFrame, prompt_bounds=PROMPT_BOUNDS, response_bounds=RESPONSE_BOUNDS,
@@ -192,11 +190,28 @@ def rename_preference(df: DataFrame) -> DataFrame:
 
 
 def normalize_response(col) -> Column:
-    """A chat-list output becomes its last item's content; then strip."""
+    """P13, message lists: the last message's content, stripped. See
+    :func:`with_normalized_response` for the other forms."""
     c = F.col(col) if isinstance(col, str) else col
     return py_strip(F.element_at(c, -1)["content"])
 
 
+def with_normalized_response(df: DataFrame, col: str, out: str = "response") -> DataFrame:
+    """P13 by the column's type: a list of messages (structs or maps with ``content``)
+    gives the last one's content, any other list its last item as text, a plain value its
+    text; then strip."""
+    dt, c = df.schema[col].dataType, F.col(col)
+    if isinstance(dt, T.ArrayType):
+        item, last = dt.elementType, F.try_element_at(c, F.lit(-1))
+        if isinstance(item, T.StructType) and "content" in item.names:
+            c = last["content"]
+        elif isinstance(item, T.MapType):
+            c = F.try_element_at(last, F.lit("content"))
+        else:
+            c = last
+    return df.withColumn(out, py_strip(c.cast("string")))
+
+
 def default_identity(df: DataFrame, order: str = "ord") -> DataFrame:
     """Missing id -> 'gen_{1-based ordinal}', missing category -> 'unknown'."""
     gen = F.concat(F.lit(GENERATED_ID_PREFIX), (F.col(order) + 1).cast("string"))

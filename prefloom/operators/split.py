@@ -7,71 +7,70 @@ Instead of ranking all rows, ``h`` is cut into ``16**digits`` buckets by its hex
 1. count rows per (stratum, bucket)  -- partial aggregation, bounded output;
 2. prefix sums over the bucket counts only; buckets wholly below / above the cut are
    decided by comparison;
-3. only the one boundary bucket per stratum is ranked (about n / 65,536 rows) to find
-   the threshold hash;
-4. every row gets its split through an equi-join on (stratum, bucket).
+3. only the one boundary bucket per stratum is ranked (n / 16**digits rows: about
+   150,000 of 10**10 rows with 4 digits; pass 6 digits for 10**12).
 
-``key`` must be unique per row (use the ordinal); md5 ties would be broken arbitrarily.
+Every row comes out, whatever is NULL: a NULL key is hashed as a value of its own and
+NULL is a stratum like any other. Rows with one key (ties of h) are ranked by their other
+columns, and wholly equal rows are interchangeable, so sizes are exact in any case.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 TRAIN, VALIDATION = "train", "validation"
 DEFAULT_BUCKET_DIGITS = 4
+NULL_KEY = "\0null"
 # ---------------------------------------------------------------------------
 
 
 def split_hash(key, seed: int) -> F.Column:
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
-
-
-def _cut(df: DataFrame, need, strata: list[str], digits: int, broadcast_ok: bool) -> DataFrame:
-    """Assign ``split`` given ``need`` (strata..., need) and a keyed ``df`` with _h, _b."""
-    counts = df.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = counts.withColumn("_end", F.sum("_cnt").over(w)).withColumn("_start", F.col("_end") - F.col("_cnt"))
-    if strata:
-        buckets = buckets.join(need, strata, "inner")
-    else:
-        # ``need`` is a column over the bucket table (at most 16**digits rows)
-        buckets = buckets.withColumn("_need", need)
-    boundary = buckets.where((F.col("_start") < F.col("_need")) & (F.col("_end") > F.col("_need"))) \
-        .select(*strata, "_b", (F.col("_need") - F.col("_start")).alias("_take"))
-    bhint = F.broadcast(boundary) if broadcast_ok else boundary
-    rank_w = Window.partitionBy(*strata, "_b").orderBy("_h")
-    thresholds = (
-        df.select(*strata, "_b", "_h").join(bhint, [*strata, "_b"], "inner")
-        .withColumn("_rn", F.row_number().over(rank_w))
-        .where(F.col("_rn") == F.col("_take"))
-        .select(*strata, "_b", F.col("_h").alias("_thr"))
-    )
-    table = buckets.join(thresholds, [*strata, "_b"], "left").select(*strata, "_b", "_start", "_end", "_need", "_thr")
-    thint = F.broadcast(table) if broadcast_ok else table
-    split = (
-        F.when(F.col("_end") <= F.col("_need"), F.lit(VALIDATION))
-        .when(F.col("_start") >= F.col("_need"), F.lit(TRAIN))
-        .when(F.col("_h") <= F.col("_thr"), F.lit(VALIDATION))
-        .otherwise(F.lit(TRAIN))
-    )
-    return df.join(thint, [*strata, "_b"], "inner").withColumn("split", split) \
-        .drop("_b", "_h", "_start", "_end", "_need", "_thr")
-
-
-def _keyed(df: DataFrame, key: str, seed: int, digits: int) -> DataFrame:
-    h = split_hash(key, seed)
-    return df.withColumn("_h", h).withColumn("_b", F.substring(F.col("_h"), 1, digits))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(k.cast("string"), F.lit(NULL_KEY))))
+
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
+    """Null-safe equi-join; ``right``'s keys are dropped. ``bounded``: its size has a
+    proven bound, so it may be broadcast."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(right[f"_r_{k}"])
+    return left.join(F.broadcast(right) if bounded else right, cond).drop(*[f"_r_{k}" for k in keys])
+
+
+def _first(df: DataFrame, strata: list[str], bucket: str, order: list, need, bounded: bool) -> DataFrame:
+    """``df`` with ``_in``: whether a row is among the ``need`` first of its stratum by
+    (bucket, order). ``need``: a DataFrame (strata..., _need), or a column over the bucket
+    table when there are no strata."""
+    counts = df.groupBy(*strata, bucket).agg(F.count(F.lit(1)).alias("_cnt"))
+    upto = Window.partitionBy(*strata).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = counts.withColumn("_end", F.sum("_cnt").over(upto)).withColumn("_start", F.col("_end") - F.col("_cnt"))
+    cuts = cuts.withColumn("_need", need) if isinstance(need, Column) else _join(cuts, need, strata)
+    rows = _join(df, cuts.drop("_cnt"), [*strata, bucket], bounded)
+    edge = (F.col("_start") < F.col("_need")) & (F.col("_end") > F.col("_need"))
+    sure = rows.where(~edge).withColumn("_in", F.col("_end") <= F.col("_need"))
+    place = F.row_number().over(Window.partitionBy(*strata, bucket).orderBy(*order))
+    ranked = rows.where(edge).withColumn("_in", place <= F.col("_need") - F.col("_start"))
+    return sure.unionByName(ranked).drop("_end", "_start", "_need")
+
+
+def _split(df: DataFrame, key: str, seed: int, digits: int, materialize: bool, strata: list[str], need, bounded: bool) -> DataFrame:
+    keyed = df.withColumn("_h", split_hash(key, seed)).withColumn("_tie", F.xxhash64(*df.columns))
+    keyed = keyed.withColumn("_b", F.substring("_h", 1, digits))
+    keyed = _materialize(keyed, materialize)
+    chosen = _first(keyed, strata, "_b", ["_h", "_tie"], need(keyed) if callable(need) else need, bounded)
+    return chosen.withColumn("split", F.when(F.col("_in"), VALIDATION).otherwise(TRAIN)).drop("_h", "_tie", "_b", "_in")
 
 
 def _materialize(keyed: DataFrame, materialize: bool) -> DataFrame:
-    """The cut reads its input three times (counts, boundary, assignment). When the
+    """The cut reads its input three times (counts, decided buckets, boundary). When the
     input is itself the result of shuffles (dedup, pairing), it is written once as a
     parquet table in the shared checkpoint folder, so those shuffles are not re-run per
-    pass and the count/boundary passes read only the hash columns."""
+    pass and the count pass reads only the hash column."""
     if not materialize:
         return keyed
     from prefloom.sources.sinks import persist
@@ -83,35 +82,36 @@ def train_val_split(df: DataFrame, ratio: float = 0.1, seed: int = 42, key: str
                     digits: int = DEFAULT_BUCKET_DIGITS, materialize: bool = False) -> DataFrame:
     """Exactly ``ceil(n * ratio)`` rows get ``split = 'validation'``, the rest 'train'.
 
-    Both small tables broadcast here have a proven bound: the bucket table has at most
-    ``16**digits`` rows and the boundary table at most one.
+    The bucket table broadcast here has a proven bound: at most ``16**digits`` rows.
     """
-    keyed = _materialize(_keyed(df, key, seed, digits), materialize)
     need = F.ceil(F.sum("_cnt").over(Window.partitionBy()) * F.lit(float(ratio))).cast("bigint")
-    return _cut(keyed, need, [], digits, broadcast_ok=True)
+    return _split(df, key, seed, digits, materialize, [], need, bounded=digits <= DEFAULT_BUCKET_DIGITS)
+
+
+def _shares(keyed: DataFrame, by: str, ratio: float) -> DataFrame:
+    """(by, _need): the global need ``ceil(N * ratio)`` shared by largest remainder, ties by
+    stratum value. The strata that get one more are chosen by the same bucketed cut, so
+    no task ever holds all strata."""
+    sizes = keyed.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    exact = F.col("_n") * F.lit(float(ratio))
+    sizes = sizes.withColumn("_floor", F.floor(exact).cast("bigint")).withColumn("_rem", exact - F.floor(exact))
+    sizes = sizes.withColumn("_rb", F.floor((F.lit(1.0) - F.col("_rem")) * 4096).cast("int"))
+    total = sizes.agg(F.sum("_n").alias("_n"), F.sum("_floor").alias("_f"))  # one row
+    extra = total.select((F.ceil(F.col("_n") * F.lit(float(ratio))) - F.col("_f")).cast("bigint").alias("_extra"))
+    one = F.lit(0).alias("_one")
+    cut = _first(sizes.withColumn("_one", F.lit(0)), ["_one"], "_rb", [F.desc("_rem"), F.asc(by)],
+                 extra.select(one, F.col("_extra").alias("_need")), bounded=True)
+    return cut.select(by, (F.col("_floor") + F.col("_in").cast("bigint")).alias("_need"))
 
 
 def stratified_split(df: DataFrame, by: str, ratio: float = 0.1, seed: int = 42, key: str = "ord",
                      digits: int = DEFAULT_BUCKET_DIGITS, materialize: bool = False) -> DataFrame:
-    """Per-stratum exact cut; the global need ``ceil(N * ratio)`` is shared by
-    largest remainder (ties by stratum value) so that the total is exact.
+    """Per-stratum exact cut; the shares of the strata sum to ``ceil(N * ratio)``.
 
     The bucket table grows with the number of strata, so no broadcast hint is given;
     the planner's size check decides.
     """
-    keyed = _materialize(_keyed(df, key, seed, digits), materialize)
-    sizes = keyed.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    everything = Window.partitionBy(F.lit(0))  # one row per stratum: bounded by #strata
-    alloc = (
-        sizes.withColumn("_exact", F.col("_n") * F.lit(float(ratio)))
-        .withColumn("_floor", F.floor("_exact").cast("bigint"))
-        .withColumn("_rem", F.col("_exact") - F.col("_floor"))
-        .withColumn("_total", F.ceil(F.sum("_n").over(everything) * F.lit(float(ratio))).cast("bigint"))
-        .withColumn("_extra", F.col("_total") - F.sum("_floor").over(everything))
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_rem"), F.asc(by))))
-        .select(by, (F.col("_floor") + F.when(F.col("_rank") <= F.col("_extra"), 1).otherwise(0)).alias("_need"))
-    )
-    return _cut(keyed, alloc, [by], digits, broadcast_ok=False)
+    return _split(df, key, seed, digits, materialize, [by], lambda keyed: _shares(keyed, by, ratio), bounded=False)
 
 
 def split_stats(split_df: DataFrame) -> DataFrame:

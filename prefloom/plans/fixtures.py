@@ -23,10 +23,6 @@ PREDICTION_ERROR = "generation timed out"
 # ---------------------------------------------------------------------------
 
 
-# tables whose rows get per-row regex / JSON / tokenising work
-TEXT_TABLES = {"documents", "pages", "orders"}
-
-
 _SCHEMAS: dict[str, object] = {}
 
 
@@ -36,20 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a source that has fewer splits than the session has cores (e.g. a
-    single-row-group file), so per-row work is not stuck on one task. With many input
-    splits (any real-size table) this is a no-op and adds no shuffle."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # e.g. a remote (Connect) session: no RDD view, keep the scan as is
-        return df
-    return df.repartition(want) if have < want else df
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _case(col: str, mapping: dict) -> F.Column:

@@ -82,40 +82,46 @@ def preference_pipeline(prompts: DataFrame, generate: Callable, judge: Callable,
     cands = generate_candidates(reqs, generate, partitions)
     if persist is not None:
         cands = persist(cands, "candidates")
-    sc = judge_candidates(cands, judge, partitions)
+    sc = judge_candidates(cands.withColumnRenamed("error", "generation_error"), judge, partitions)
     if persist is not None:
         sc = persist(sc, "scored")
     pairs = build_pairs(sc, min_gap=min_gap)
     ids = p.select(F.col("ord").alias("prompt_id"), *[c for c in ("id", "category") if c in p.columns], "ord")
     pairs = prep.default_identity(pairs.join(ids, "prompt_id", "left")).select(*PAIRS_TABLE)
-    stats = generation_stats(pair_outcomes(p, sc, min_gap=min_gap))
+    # a prompt none of whose generations came through failed; a single failure only costs
+    # its candidate, as in the reference
+    failed = sc.groupBy("prompt_id").agg(F.count_if(F.col("generation_error").isNull()).alias("_ok")).where("_ok = 0")
+    stats = generation_stats(pair_outcomes(p, sc, min_gap=min_gap, errors=failed))
     return pairs, stats
 
 
 # --- whole stage jobs: read -> process -> write -> stats -------------------------------
 
 def process_preference_job(spark, input_path: str, output_path: str, val_ratio: float = VAL_RATIO,
-                           seed: int = SEED):
-    """L1 as a job: S4 read -> L1 -> S7 write (one folder per split) -> S9 stats."""
+                           seed: int = SEED, fmt: str = "parquet"):
+    """L1 as a job: S4 read -> L1 -> S7 write (one folder per split) -> S9 stats, and the rows
+    each stage removed (F5)."""
     from prefloom.sources.readers import read_dataset, with_ordinal
-    from prefloom.sources.sinks import write_dataset, write_processing_stats
+    from prefloom.sources.sinks import write_dataset, write_processing_stats, write_rows
 
-    df = read_dataset(spark, input_path)
+    df = read_dataset(spark, input_path, fmt)
     if "ord" not in df.columns:
         df = with_ordinal(df)
     out = process_preference_data(df, val_ratio=val_ratio, seed=seed)
     write_dataset(out, output_path)
     written = spark.read.schema(out.schema).parquet(output_path)   # schema given: works when empty
     write_processing_stats(written, f"{output_path.rstrip('/')}_stats")
+    write_rows(prep.filter_report(prep.clean_columns(df)), f"{output_path.rstrip('/')}_stages")
     return written
 
 
-def process_sft_job(spark, input_path: str, output_path: str, val_ratio: float = VAL_RATIO, seed: int = SEED):
+def process_sft_job(spark, input_path: str, output_path: str, val_ratio: float = VAL_RATIO, seed: int = SEED,
+                    fmt: str = "parquet"):
     """L2 as a job: S4 read -> P6 -> T1 -> S7 write."""
     from prefloom.sources.readers import read_dataset, with_ordinal
     from prefloom.sources.sinks import write_dataset
 
-    df = read_dataset(spark, input_path)
+    df = read_dataset(spark, input_path, fmt)
     if "ord" not in df.columns:
         df = with_ordinal(df)
     out = process_sft_data(df, val_ratio=val_ratio, seed=seed)
@@ -140,9 +146,9 @@ def generate_dataset_job(spark, prompts, generate: Callable, judge: Callable, ou
     return written
 
 
-def evaluate_job(spark, predictions, items, output_path: str, detail: int = 50, numeric: bool = False):
+def evaluate_job(spark, predictions, items, output_path: str, detail: int | None = None, numeric: bool = False):
     """E3-E8 as a job: grade predictions against items, write per-model metrics and the
-    first ``detail`` result rows (S10). Returns the metrics DataFrame read back."""
+    result rows, or the first ``detail`` of them (S10). Returns the metrics DataFrame read back."""
     from prefloom.operators.evaluation import eval_metrics, grade
     from prefloom.sources.sinks import persist, write_eval
 

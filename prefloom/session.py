@@ -36,9 +36,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only if none is configured."""
+    """Return the shared checkpoint folder. Only a local master gets one set for it (tests,
+    local bench): on a cluster a folder of our choice would be a different one per machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master!r})")
         d = tempfile.mkdtemp(prefix="prefloom-ckpt-", dir=os.environ.get("PREFLOOM_LOCAL_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     try:
@@ -49,10 +53,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path under the shared checkpoint folder for a written table."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch tables this process has written so far; returns how many there
+    were. Call it when no DataFrame that reads them is needed any more."""
+    n = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def recommended_conf(advisory_partition: str = "256m", max_split: str = "256m") -> dict[str, str]:

@@ -1,15 +1,20 @@
-"""Readers with explicit schemas and an input ordinal ``ord``.
+"""Readers with explicit formats, schemas and an input ordinal ``ord``.
 
 Input order is data here (dedup "first wins", tie order, ``gen_{n}`` ids, heads), so
 readers attach a dense ``ord``: from the parquet row index, or for other formats from a
 row's position within its split (``monotonically_increasing_id`` minus the split's
 smallest id -- a position, not a global id, so it depends only on the file listing and
 the split size, which one query plan fixes).
+
+Paths are only ever opened by Spark, so any scheme it knows works. The format is an
+argument, never guessed from a name or from the first bytes. Broken records stop the read
+(``mode='FAILFAST'``); nothing is dropped silently. Of the exceptions only "path not found"
+is handled, where a reader is defined to fall back.
 """
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,15 +27,16 @@ PROMPTS_SCHEMA = T.StructType([
 ])
 TRAINER_STATE_SCHEMA = T.StructType([
     T.StructField("global_step", T.LongType()),
-    T.StructField("log_history", T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))),
+    T.StructField("log_history", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
 ])
 BETA_SWEEP_SCHEMA = "beta STRING, metrics MAP<STRING, DOUBLE>, status STRING"
 
 # --- fixed values -----------------------------------------------------------
 QA_PROMPT_ID_PREFIX = "gsm8k_"
 QA_CATEGORY, QA_DIFFICULTY = "gsm8k", "medium"
+# the reference's own cuts; pass them to have them, the defaults here cut nothing
 QA_FALLBACK_N = 200
-MAX_BROADCAST_FILES = 100_000
+PUBLIC_N = 2000
 # ---------------------------------------------------------------------------
 
 
@@ -54,63 +60,53 @@ def with_ordinal(df: DataFrame) -> DataFrame:
         blocks = x.groupBy("_f", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0"))
     w = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_f", "_s", "_off", "_r0")
-    # one row per input file/split: broadcast when the listed file count proves it small,
-    # otherwise leave the strategy to the planner's runtime size check
-    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
     return x.join(offsets, ["_f", "_s"]).withColumn("ord", (F.col("_off") + F.col("_r") - F.col("_r0")).cast("bigint")) \
         .drop("_f", "_s", "_r", "_off", "_r0")
 
 
-def _format_of(path: str) -> str:
-    """'json' for .json/.jsonl files or folders of them, else 'parquet'."""
-    p = path.rstrip("/")
-    if p.endswith((".json", ".jsonl")):
-        return "json"
-    if os.path.isdir(p):
-        names = [n for n in os.listdir(p) if not n.startswith((".", "_"))]
-        if names and all(n.endswith((".json", ".jsonl")) for n in names):
-            return "json"
-    return "parquet"
+def _found(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """The DataFrame of ``read``, or None if its path does not exist."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def read_prompts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """A JSON array of prompt records (the reference's seed file), JSON lines or
-    parquet; missing keys are NULL; ``ord`` is the record's position in input order."""
-    fmt = fmt or _format_of(path)
+def read_prompts(spark: SparkSession, path: str, fmt: str = "json_array") -> DataFrame:
+    """Prompt records: ``json_array`` (the reference's seed file), ``json_lines`` or
+    ``parquet``; missing keys are NULL; ``ord`` is the record's position in input order."""
     if fmt == "parquet":
         return with_ordinal(spark.read.parquet(path))
-    if _is_json_array(path):
-        # one file = one JSON document: order is the array order after posexplode
-        return _json_array_ordinal(spark, path)
-    return with_ordinal(spark.read.schema(PROMPTS_SCHEMA).json(path))
-
-
-def _is_json_array(path: str) -> bool:
-    try:
-        with open(path, "rb") as f:
-            head = f.read(64).lstrip()
-        return head.startswith(b"[")
-    except OSError:
-        return False
+    if fmt == "json_array":
+        return _json_array_ordinal(spark, path, PROMPTS_SCHEMA)
+    if fmt == "json_lines":
+        return with_ordinal(spark.read.schema(PROMPTS_SCHEMA).option("mode", "FAILFAST").json(path))
+    raise ValueError(f"unknown format {fmt!r}")
 
 
-def _json_array_ordinal(spark: SparkSession, path: str) -> DataFrame:
-    """Read a JSON array file as one value and ``posexplode`` it: position = order."""
-    arr = T.ArrayType(PROMPTS_SCHEMA)
+def _json_array_ordinal(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
+    """Read a JSON array file as one value and ``posexplode`` it: position = order. One
+    file is one JSON document, hence one task; whoever does slow work on its rows spreads
+    them first (``generate_candidates`` and ``judge_candidates`` do)."""
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.posexplode(F.from_json("value", arr)).alias("ord", "r")).select(
-        F.col("ord").cast("bigint").alias("ord"), "r.*")
+    parsed = F.from_json("value", T.ArrayType(record), {"mode": "FAILFAST"})
+    return raw.select(F.posexplode(parsed).alias("ord", "r")).select(F.col("ord").cast("bigint").alias("ord"), "r.*")
 
 
-def prompts_from_qa(qa: DataFrame, n: int = QA_FALLBACK_N, order: str = "ord") -> DataFrame:
+def prompts_from_qa(qa: DataFrame, n: int | None = None, order: str = "ord") -> DataFrame:
     """Fallback prompts from a Q/A set: ``id = gsm8k_{i}`` (0-based), category
-    'gsm8k', difficulty 'medium'; the first ``n`` rows by ordinal."""
-    head = head_by_ordinal(qa, n, order)
-    w = Window.orderBy(order)  # over at most n rows (after the top-n)
-    return head.select(
-        (F.row_number().over(w) - 1).cast("bigint").alias("ord"),
-        F.concat(F.lit(QA_PROMPT_ID_PREFIX), (F.row_number().over(w) - 1).cast("string")).alias("id"),
+    'gsm8k', difficulty 'medium'; with ``n`` the first n rows by ``order`` (the reference
+    takes ``QA_FALLBACK_N``), else all rows, numbered by ``order`` as it is (dense)."""
+    if n is None:
+        number = F.col(order).cast("bigint")
+    else:
+        qa = head_by_ordinal(qa, n, order)
+        number = (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint")  # over at most n rows
+    return qa.select(
+        number.alias("ord"),
+        F.concat(F.lit(QA_PROMPT_ID_PREFIX), number.cast("string")).alias("id"),
         F.col("question").alias("prompt"),
         F.lit(QA_CATEGORY).alias("category"), F.lit(QA_DIFFICULTY).alias("difficulty"),
     )
@@ -126,56 +122,72 @@ def head_by_ordinal(df: DataFrame, n: int, order: str = "ord", dense: bool = Fal
     return df.orderBy(order).limit(n)
 
 
-def read_dataset(spark: SparkSession, path: str, table: bool = False) -> DataFrame:
-    """A saved directory (parquet, optionally split folders), a JSON array/lines
-    file, or a catalog table."""
-    if table:
+def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A saved directory (``parquet``, optionally in split folders), ``json_lines``, a
+    ``json_array`` file, or a catalog ``table``."""
+    if fmt == "table":
         return spark.read.table(path)
-    if _format_of(path) == "json":
-        if _is_json_array(path):
-            return spark.read.option("multiLine", "true").json(path)
-        return with_ordinal(spark.read.json(path))
+    if fmt == "json_array":
+        return spark.read.option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    if fmt == "json_lines":
+        return with_ordinal(spark.read.option("mode", "FAILFAST").json(path))
+    if fmt != "parquet":
+        raise ValueError(f"unknown format {fmt!r}")
     return spark.read.parquet(path)
 
 
-def read_sft_source(spark: SparkSession, processed: str, raw: str) -> DataFrame:
+def read_sft_source(spark: SparkSession, processed: str, raw: str, raw_fmt: str = "parquet") -> DataFrame:
     """The processed SFT directory if it exists, else the raw Q/A set."""
-    return read_dataset(spark, processed if os.path.exists(processed) else raw)
+    found = _found(lambda: read_dataset(spark, processed))
+    return read_dataset(spark, raw, raw_fmt) if found is None else found
 
 
-def read_preference_source(spark: SparkSession, processed: str | None, pairs: str | None,
-                           public: str | None = None, public_n: int = 2000) -> DataFrame:
+def read_preference_source(spark: SparkSession, processed: str | None, pairs: str | None, public: str | None = None,
+                           public_n: int | None = None, public_fmt: str = "parquet") -> DataFrame:
     """First of: processed split set, raw pair directory, public preference set
-    (first ``public_n`` rows, columns renamed by P12)."""
+    (columns renamed by P12; with ``public_n`` its first rows only, the reference takes
+    ``PUBLIC_N``)."""
     from prefloom.operators.prep import rename_preference
 
     for p in (processed, pairs):
-        if p and os.path.exists(p):
-            return read_dataset(spark, p)
+        if p and (found := _found(lambda: read_dataset(spark, p))) is not None:
+            return found
     if public is None:
         raise FileNotFoundError("no preference source found")
-    df = read_dataset(spark, public)
-    if "ord" not in df.columns:
-        df = with_ordinal(df)
-    return rename_preference(head_by_ordinal(df, public_n, dense=True))
+    df = read_dataset(spark, public, public_fmt)
+    if public_n is not None:
+        df = head_by_ordinal(df if "ord" in df.columns else with_ordinal(df), public_n, dense=True)
+    return rename_preference(df)
 
 
 def read_train_logs(spark: SparkSession, glob: str) -> DataFrame:
     """``*/trainer_state.json`` files -> long table (method, step, metric, value);
-    the method is the folder name. Absent files give an empty table."""
-    try:
-        raw = spark.read.schema(TRAINER_STATE_SCHEMA).option("multiLine", "true").json(glob)
-    except Exception:  # no file matched
-        return spark.createDataFrame([], "method string, step bigint, metric string, value double")
-    x = raw.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("method"),
-                   F.explode("log_history").alias("rec"))
-    x = x.select("method", F.col("rec")["step"].cast("bigint").alias("step"), F.explode("rec").alias("metric", "value"))
-    return x.where(F.col("metric") != "step")
-
-
-def read_beta_sweep(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``(beta, metrics, status)`` -> (beta DOUBLE, metric columns, status)."""
-    df = spark.read.schema(BETA_SWEEP_SCHEMA).json(path)
-    return df.select(F.col("beta").cast("double").alias("beta"), "status",
-                     *[F.col("metrics")[k].alias(k) for k in ("accuracy", "diversity", "mode_collapse_score",
-                                                              "train_loss")])
+    the method is the folder name. Absent files give an empty table. A metric that is not
+    a number keeps its row with value NULL and its text in ``text``."""
+    raw = _found(lambda: spark.read.schema(TRAINER_STATE_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST").json(glob))
+    if raw is None:
+        return spark.createDataFrame([], "method string, step bigint, metric string, value double, text string")
+    x = raw.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("method"), F.explode("log_history").alias("rec"))
+    x = x.select("method", F.col("rec")["step"].try_cast("double").cast("bigint").alias("step"), F.explode("rec").alias("metric", "text"))
+    return x.where(F.col("metric") != "step").select("method", "step", "metric", F.col("text").try_cast("double").alias("value"), "text")
+
+
+def read_beta_sweep(spark: SparkSession, path: str, fmt: str = "json_lines") -> DataFrame:
+    """(beta DOUBLE, metrics MAP, status): every metric is kept. ``json_lines``: rows
+    (beta, metrics, status) as :func:`prefloom.sources.sinks.write_beta_sweep` writes them;
+    ``json_object``: the reference's file, one object keyed by the beta text."""
+    if fmt == "json_lines":
+        df = spark.read.schema(BETA_SWEEP_SCHEMA).option("mode", "FAILFAST").json(path)
+    elif fmt == "json_object":
+        raw = spark.read.text(path, wholetext=True)
+        parsed = F.from_json("value", "MAP<STRING, STRUCT<metrics: MAP<STRING, STRING>, status: STRING>>", {"mode": "FAILFAST"})
+        df = raw.select(F.explode(parsed).alias("beta", "r")).select(
+            "beta", F.transform_values("r.metrics", lambda _, v: v.try_cast("double")).alias("metrics"), "r.status")
+    else:
+        raise ValueError(f"unknown format {fmt!r}")
+    return df.select(F.col("beta").cast("double").alias("beta"), "metrics", "status")
+
+
+def beta_metrics(sweep: DataFrame) -> DataFrame:
+    """The long form of :func:`read_beta_sweep`: (beta, metric, value, status)."""
+    return sweep.select("beta", F.explode("metrics").alias("metric", "value"), "status")

@@ -28,11 +28,16 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_pairs_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines for inspection, UTF-8, non-ASCII kept, NULL fields kept."""
+    write_rows(df, path, mode)
+
+
+def write_rows(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON lines with NULL fields kept, in as many files as there are partitions."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_record(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A small aggregate (stats, metrics, summary) as one JSON file."""
+    """A one-row aggregate (stats, summary) as one JSON file."""
     df.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
@@ -46,11 +51,17 @@ def write_processing_stats(split_df: DataFrame, path: str) -> None:
     write_record(s, path)
 
 
-def write_eval(metrics: DataFrame, results: DataFrame, path: str, detail: int = 50, order: str = "item_id") -> None:
-    """The metrics record and the first ``detail`` result rows (a top-k by order)."""
-    write_record(metrics, f"{path.rstrip('/')}/metrics")
-    results.orderBy(order).limit(detail).coalesce(1).write.mode("overwrite") \
-        .option("ignoreNullFields", "false").json(f"{path.rstrip('/')}/detailed_results")
+# the reference's own number of detail rows
+EVAL_DETAIL = 50
+
+
+def write_eval(metrics: DataFrame, results: DataFrame, path: str, detail: int | None = None,
+               order=("model", "item_id", "sample_idx")) -> None:
+    """The metrics and the result rows; with ``detail`` only the first rows by
+    ``order`` (a total order; the reference keeps ``EVAL_DETAIL``)."""
+    write_rows(metrics, f"{path.rstrip('/')}/metrics")
+    rows = results if detail is None else results.orderBy(*[c for c in order if c in results.columns]).limit(detail)
+    write_rows(rows, f"{path.rstrip('/')}/detailed_results")
 
 
 def write_beta_sweep(results: DataFrame, path: str) -> None:
@@ -61,7 +72,7 @@ def write_beta_sweep(results: DataFrame, path: str) -> None:
     out = results.select(F.col("beta").cast("string").alias("beta"), m.alias("metrics"),
                          F.coalesce(F.col("status"), F.lit("success")).alias("status")
                          if "status" in results.columns else F.lit("success").alias("status"))
-    write_record(out, path)
+    write_rows(out, path)
 
 
 def write_generation_stats(stats: DataFrame, path: str) -> None:

@@ -76,13 +76,13 @@ def test_dedup_first_wins_and_idempotent(spark):
     assert rows(deduplicate(once)) == rows(once)
 
 
-def test_dedup_hot_key_plan_limits_before_shuffle(spark):
-    # two keys, each holding half of all rows: the group limit runs on the map side
+def test_dedup_reduces_hot_keys_before_the_shuffle_and_sorts_no_text(spark):
+    # two keys, each holding half of all rows: the partial aggregate runs on the map side
     df = spark.range(0, 5000).select(F.col("id").alias("ord"),
                                      F.concat(F.lit("same"), (F.col("id") % 2).cast("string")).alias("prompt"))
     out = deduplicate(df)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "HashAggregate" in plan and "partial_min(" in plan and "SortAggregate" not in plan and "Window" not in plan
     assert sorted(r.ord for r in out.collect()) == [0, 1]
 
 

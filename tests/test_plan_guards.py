@@ -5,11 +5,12 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from prefloom.plans import registry
 
 HOOKS = {"generate_candidates", "judge_candidates", "compute_reward"}  # the only Python operators
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_plan_guards(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()

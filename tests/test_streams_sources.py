@@ -125,7 +125,7 @@ def test_sinks_round_trip(spark):
                                   "train_loss double, status string")
     sinks.write_beta_sweep(betas, f"{d}/beta")
     rb = {r.beta: r for r in readers.read_beta_sweep(spark, f"{d}/beta").collect()}
-    assert rb[0.5].status == "failed: x" and rb[0.1].accuracy == 0.67
+    assert rb[0.5].status == "failed: x" and rb[0.1].metrics["accuracy"] == 0.67 and len(rb[0.1].metrics) == 4
 
 
 def test_persist_cuts_lineage(spark):
@@ -194,7 +194,7 @@ def test_with_ordinal_json_lines_many_splits(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
-        df = readers.read_prompts(spark, d + "/")
+        df = readers.read_prompts(spark, d + "/", fmt="json_lines")
         assert spark.read.json(d).rdd.getNumPartitions() > 3
         got = [r.prompt for r in df.orderBy("ord").collect()]
         ords = [r.ord for r in df.orderBy("ord").collect()]
@@ -207,7 +207,7 @@ def test_evaluate_and_analysis_jobs(spark):
     from prefloom.plans.pipelines import analysis_job, evaluate_job
 
     d = tempfile.mkdtemp(prefix="prefloom-eval-")
-    m = evaluate_job(spark, FX.predictions(spark, SF_SMALL), FX.qa_items(spark, SF_SMALL), f"{d}/eval")
+    m = evaluate_job(spark, FX.predictions(spark, SF_SMALL), FX.qa_items(spark, SF_SMALL), f"{d}/eval", detail=50)
     rows = m.collect()
     assert sum(r.total for r in rows) == FX.qa_items(spark, SF_SMALL).count()
     detail = spark.read.json(f"{d}/eval/detailed_results")
