@@ -168,8 +168,9 @@ def query(docs: DataFrame) -> DataFrame:
     """op3: per document its paragraphs, those with a licence, and the families found."""
     model = fit(docs)
     n = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[\p{L}\p{N}]")))
-    narrow = docs.select("doc_id", "text")
-    found = scan(narrow, model).withColumn("n_paragraphs", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"))
+    # counted before the scan's join, which then moves no text
+    narrow = docs.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_paragraphs"))
+    found = scan(narrow, model)
     families = F.array_sort(F.array_distinct(F.col("licenses.family")))
     return found.select("doc_id", "n_paragraphs", F.size("licenses").cast("long").alias("n_licensed"), F.array_join(families, ",").alias("families"),
                         F.array_max("licenses.probability").alias("probability"))
