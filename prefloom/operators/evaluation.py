@@ -47,10 +47,10 @@ def eval_metrics(results: DataFrame, by=("model",)) -> DataFrame:
         F.count_if(has_reasoning("response")).alias("_reason"),
     ).select(
         *by,
-        F.round(F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(0.0), 9).alias("accuracy"),
+        F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(0.0).alias("accuracy"),
         "correct", "total",
-        F.round(F.coalesce(F.col("_len"), F.lit(0.0)), 9).alias("avg_response_length"),
-        F.round(F.when(F.col("total") > 0, F.col("_reason") / F.col("total")).otherwise(0.0), 9).alias("reasoning_ratio"),
+        F.coalesce(F.col("_len"), F.lit(0.0)).alias("avg_response_length"),
+        F.when(F.col("total") > 0, F.col("_reason") / F.col("total")).otherwise(0.0).alias("reasoning_ratio"),
     )
 
 
@@ -72,7 +72,7 @@ def pass_at_k(results: DataFrame, ks=(1, 2, 5), item: str = "item_id") -> DataFr
     return x.groupBy("k").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.count_if(n >= k).alias("n_scored"),
-        F.round(F.avg(F.when(n >= k, est)), 9).alias("pass_at_k"),
+        F.avg(F.when(n >= k, est)).alias("pass_at_k"),
     )
 
 
@@ -81,8 +81,8 @@ def format_quality(results: DataFrame, by=("model",)) -> DataFrame:
     pat = F.when(F.col("predicted").isNotNull(), answer_pattern(F.col("response")))
     errs = F.col("response").startswith(ERROR_RESPONSE_PREFIX) & F.col("predicted").isNull()
     aggs = [F.count(F.lit(1)).alias("n"),
-            F.round(F.avg(F.col("predicted").isNotNull().cast("double")), 9).alias("parsed_share")]
+            F.avg(F.col("predicted").isNotNull().cast("double")).alias("parsed_share")]
     aggs += [F.count_if(pat == i).alias(f"pattern_{i}") for i in range(1, 6)]
-    aggs += [F.round(F.avg(has_reasoning("response").cast("double")), 9).alias("reasoning_share"),
-             F.round(F.avg(errs.cast("double")), 9).alias("error_share")]
+    aggs += [F.avg(has_reasoning("response").cast("double")).alias("reasoning_share"),
+             F.avg(errs.cast("double")).alias("error_share")]
     return results.groupBy(*by).agg(*aggs)

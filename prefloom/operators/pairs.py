@@ -133,5 +133,5 @@ def generation_stats(outcomes: DataFrame) -> DataFrame:
         F.count_if(s == "error").alias("errors"),
     ).withColumn(
         "success_rate",
-        F.round(F.col("successful_pairs") / F.greatest(F.col("total_prompts"), F.lit(1)) * 100.0, 6),
+        F.col("successful_pairs") / F.greatest(F.col("total_prompts"), F.lit(1)) * 100.0,
     )

@@ -137,8 +137,8 @@ def filter_report(df: DataFrame, key: str = "prompt", order: str = "ord",
     return a.select(F.inline(stages)).select(
         "stage_no", "stage", "rows_in", "rows_out",
         (F.col("rows_in") - F.col("rows_out")).alias("removed"),
-        F.round(F.when(F.col("rows_in") > 0, (F.col("rows_in") - F.col("rows_out")) / F.col("rows_in") * 100.0)
-                .otherwise(0.0), 6).alias("removed_pct"),
+        F.when(F.col("rows_in") > 0, (F.col("rows_in") - F.col("rows_out")) / F.col("rows_in") * 100.0)
+        .otherwise(0.0).alias("removed_pct"),
     )
 
 

@@ -56,8 +56,8 @@ def batch_reward_stats(rewards: DataFrame, logging_steps: int = LOGGING_STEPS) -
     extra = [c for c in ("kl", "entropy") if c in rewards.columns]
     return rewards.groupBy("epoch", "batch").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("reward"), 9).alias("mean_reward"),
-        *[F.round(F.avg(c), 9).alias(f"mean_{c}") for c in extra],
+        F.avg("reward").alias("mean_reward"),
+        *[F.avg(c).alias(f"mean_{c}") for c in extra],
     ).withColumn("logged", F.col("batch") % logging_steps == 0)
 
 

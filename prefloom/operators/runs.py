@@ -28,9 +28,12 @@ DEFAULT_BETAS = [0.05, 0.1, 0.2, 0.5]
 
 
 def loss_curves(logs: DataFrame, metric: str = "train_loss", methods=METHODS) -> DataFrame:
-    """G1: mean loss per step, one column per method."""
-    return (logs.where(F.col("metric") == metric).groupBy("step").pivot("method", list(methods))
-            .agg(F.round(F.avg("value"), 9)))
+    """G1: mean loss per step, one column per method; ``other_rows`` counts the rows of
+    methods that are not listed."""
+    listed = F.coalesce(F.col("method").isin(*methods), F.lit(False))
+    return logs.where(F.col("metric") == metric).groupBy("step").agg(
+        *[F.avg(F.when(F.col("method") == m, F.col("value"))).alias(m) for m in methods],
+        F.count_if(~listed).alias("other_rows"))
 
 
 def final_values(logs: DataFrame, metric: str) -> DataFrame:
@@ -41,17 +44,18 @@ def final_values(logs: DataFrame, metric: str) -> DataFrame:
 
 def accuracy_progression(logs: DataFrame, base: float = BASE_ACCURACY, metric: str = "eval_accuracy") -> DataFrame:
     """Final accuracy by stage base -> sft -> dpo -> ppo, gain over the previous stage
-    and over base. The stage table has at most four rows."""
+    and over base. A method that is no stage keeps its row, with ``stage_no`` and
+    ``gain_prev`` NULL. One row per method in one task."""
     f = final_values(logs, metric).select("method", F.col("final").alias("accuracy"))
     order = F.create_map(*[x for i, s in enumerate(STAGES) for x in (F.lit(s), F.lit(i))])
     base_row = f.sparkSession.range(1).select(F.lit("base").alias("method"), F.lit(float(base)).alias("accuracy"))
-    t = f.where(F.col("method").isin(*STAGES[1:])).unionByName(base_row).withColumn("stage_no", order[F.col("method")])
-    w = Window.partitionBy(F.lit(0)).orderBy("stage_no")
+    t = f.unionByName(base_row).withColumn("stage_no", F.try_element_at(order, F.col("method")))
+    w = Window.partitionBy(F.col("stage_no").isNull()).orderBy("stage_no")
     return t.select(
         F.col("method").alias("stage"), "stage_no",
-        F.round("accuracy", 9).alias("accuracy"),
-        F.round(F.col("accuracy") - F.lag("accuracy").over(w), 9).alias("gain_prev"),
-        F.round(F.col("accuracy") - F.lit(float(base)), 9).alias("gain_base"),
+        "accuracy",
+        (F.col("accuracy") - F.when(F.col("stage_no").isNotNull(), F.lag("accuracy").over(w))).alias("gain_prev"),
+        (F.col("accuracy") - F.lit(float(base))).alias("gain_base"),
     )
 
 
@@ -62,8 +66,8 @@ def reward_margins(logs: DataFrame, method: str = "dpo") -> DataFrame:
         F.avg(F.when(F.col("metric") == "rewards_chosen", F.col("value"))).alias("chosen"),
         F.avg(F.when(F.col("metric") == "rewards_rejected", F.col("value"))).alias("rejected"),
     )
-    return g.select("step", F.round("chosen", 9).alias("rewards_chosen"), F.round("rejected", 9).alias("rewards_rejected"),
-                    F.round(F.col("chosen") - F.col("rejected"), 9).alias("margin"))
+    return g.select("step", F.col("chosen").alias("rewards_chosen"), F.col("rejected").alias("rewards_rejected"),
+                    (F.col("chosen") - F.col("rejected")).alias("margin"))
 
 
 def beta_ablation(results: DataFrame) -> DataFrame:
@@ -71,7 +75,7 @@ def beta_ablation(results: DataFrame) -> DataFrame:
     s = F.col("mode_collapse_score")
     risk = F.when(s > RISK_HIGH, "high").when(s > RISK_MEDIUM, "medium").otherwise("low")
     cols = ["accuracy", "diversity", "mode_collapse_score", "train_loss"]
-    return results.select("beta", *[F.round(c, 9).alias(c) for c in cols], risk.alias("risk")).orderBy("beta")
+    return results.select("beta", *cols, risk.alias("risk")).orderBy("beta")
 
 
 def beta_sweep_status(sweep: DataFrame) -> DataFrame:
@@ -94,13 +98,13 @@ def resource_efficiency(summary: DataFrame, baseline: str = "ppo", limit_gb: flo
 
     return summary.select(
         "method",
-        F.round("memory_gb", 9).alias("memory_gb"), "training_time_min",
-        F.round("final_accuracy", 9).alias("final_accuracy"),
+        "memory_gb", "training_time_min",
+        "final_accuracy",
         (F.col("memory_gb") > F.lit(limit_gb)).alias("over_limit"),
-        F.round((F.col("memory_gb") - base("memory_gb")) / base("memory_gb") * 100.0, 9).alias("memory_delta_pct"),
-        F.round((F.col("training_time_min") - base("training_time_min")) / base("training_time_min") * 100.0, 9)
+        ((F.col("memory_gb") - base("memory_gb")) / base("memory_gb") * 100.0).alias("memory_delta_pct"),
+        ((F.col("training_time_min") - base("training_time_min")) / base("training_time_min") * 100.0)
         .alias("time_delta_pct"),
-        F.round((F.col("final_accuracy") - base("final_accuracy")) * 100.0, 9).alias("accuracy_delta_points"),
+        ((F.col("final_accuracy") - base("final_accuracy")) * 100.0).alias("accuracy_delta_points"),
     )
 
 
@@ -130,10 +134,10 @@ def analysis_summary(summary: DataFrame, betas: DataFrame, best_of=("dpo", "ppo"
         of(a, "time").alias("_a_t"), of(p, "time").alias("_p_t"),
     )
     return g.select(
-        "best_method", F.round("best_accuracy", 9).alias("best_accuracy"), "optimal_beta",
-        F.round((F.col("_a_acc") - F.col("_p_acc")) * 100.0, 9).alias("accuracy_gain_points"),
-        F.round((F.col("_p_mem") - F.col("_a_mem")) / F.col("_p_mem") * 100.0, 9).alias("memory_saving_pct"),
-        F.round((F.col("_p_t") - F.col("_a_t")) / F.col("_p_t") * 100.0, 9).alias("time_saving_pct"),
+        "best_method", "best_accuracy", "optimal_beta",
+        ((F.col("_a_acc") - F.col("_p_acc")) * 100.0).alias("accuracy_gain_points"),
+        ((F.col("_p_mem") - F.col("_a_mem")) / F.col("_p_mem") * 100.0).alias("memory_saving_pct"),
+        ((F.col("_p_t") - F.col("_a_t")) / F.col("_p_t") * 100.0).alias("time_saving_pct"),
     )
 
 
@@ -156,7 +160,7 @@ def distinct_n(responses: DataFrame, by=("group",), n: int = 4, hashed: bool = F
     return g.groupBy(*by).agg(
         F.count(F.lit(1)).alias("ngrams"),
         F.count_distinct("ngram").alias("distinct_ngrams"),
-    ).withColumn("distinct_n", F.round(F.col("distinct_ngrams") / F.col("ngrams"), 9))
+    ).withColumn("distinct_n", F.col("distinct_ngrams") / F.col("ngrams"))
 
 
 def mode_collapse(responses: DataFrame, by=("group",), prompt: str = "prompt_id", text: str = "response") -> DataFrame:
@@ -168,7 +172,7 @@ def mode_collapse(responses: DataFrame, by=("group",), prompt: str = "prompt_id"
     return per.groupBy(*by).agg(
         F.sum("_n").alias("responses"),
         F.sum(F.when(F.col("_p") >= 2, F.col("_n")).otherwise(0)).alias("collapsed"),
-    ).withColumn("mode_collapse", F.round(F.col("collapsed") / F.col("responses"), 9))
+    ).withColumn("mode_collapse", F.col("collapsed") / F.col("responses"))
 
 
 def throughput_rollup(runs: DataFrame) -> DataFrame:
@@ -274,9 +278,9 @@ def preference_objective(logps: DataFrame, betas=DEFAULT_BETAS, label_smoothing:
         for lt in LOSS_TYPES:
             aggs.append(F.avg(losses[lt]).alias(f"loss_{i}_{lt}"))
             rows.append(F.struct(F.lit(b).alias("beta"), F.lit(lt).alias("loss_type"),
-                                 F.round(F.col(f"loss_{i}_{lt}"), 9).alias("loss"),
-                                 F.round(F.col(f"acc_{i}"), 9).alias("reward_accuracy"),
-                                 F.round(F.col(f"margin_{i}"), 9).alias("reward_margin")))
+                                 F.col(f"loss_{i}_{lt}").alias("loss"),
+                                 F.col(f"acc_{i}").alias("reward_accuracy"),
+                                 F.col(f"margin_{i}").alias("reward_margin")))
     aggs.append(F.count(F.lit(1)).alias("pairs"))
     return logps.agg(*aggs).select("pairs", F.inline(F.array(*rows))).select(
         "beta", "loss_type", "loss", "reward_accuracy", "reward_margin", "pairs")

@@ -42,15 +42,15 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], bounded: bool = Fa
     return left.join(F.broadcast(right) if bounded else right, cond).drop(*[f"_r_{k}" for k in keys])
 
 
-def _first(df: DataFrame, strata: list[str], bucket: str, order: list, need, bounded: bool) -> DataFrame:
+def _first(df: DataFrame, strata: list[str], bucket: str, order: list, need, bounded: bool, sums: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``_in``: whether a row is among the ``need`` first of its stratum by
     (bucket, order). ``need``: a DataFrame (strata..., _need), or a column over the bucket
-    table when there are no strata."""
-    counts = df.groupBy(*strata, bucket).agg(F.count(F.lit(1)).alias("_cnt"))
+    table (with its ``_cnt`` and the ``sums`` of columns) when there are no strata."""
+    counts = df.groupBy(*strata, bucket).agg(F.count(F.lit(1)).alias("_cnt"), *[F.sum(c).alias(f"_sum{c}") for c in sums])
     upto = Window.partitionBy(*strata).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = counts.withColumn("_end", F.sum("_cnt").over(upto)).withColumn("_start", F.col("_end") - F.col("_cnt"))
     cuts = cuts.withColumn("_need", need) if isinstance(need, Column) else _join(cuts, need, strata)
-    rows = _join(df, cuts.drop("_cnt"), [*strata, bucket], bounded)
+    rows = _join(df, cuts.drop("_cnt", *[f"_sum{c}" for c in sums]), [*strata, bucket], bounded)
     edge = (F.col("_start") < F.col("_need")) & (F.col("_end") > F.col("_need"))
     sure = rows.where(~edge).withColumn("_in", F.col("_end") <= F.col("_need"))
     place = F.row_number().over(Window.partitionBy(*strata, bucket).orderBy(*order))
@@ -96,11 +96,9 @@ def _shares(keyed: DataFrame, by: str, ratio: float) -> DataFrame:
     exact = F.col("_n") * F.lit(float(ratio))
     sizes = sizes.withColumn("_floor", F.floor(exact).cast("bigint")).withColumn("_rem", exact - F.floor(exact))
     sizes = sizes.withColumn("_rb", F.floor((F.lit(1.0) - F.col("_rem")) * 4096).cast("int"))
-    total = sizes.agg(F.sum("_n").alias("_n"), F.sum("_floor").alias("_f"))  # one row
-    extra = total.select((F.ceil(F.col("_n") * F.lit(float(ratio))) - F.col("_f")).cast("bigint").alias("_extra"))
-    one = F.lit(0).alias("_one")
-    cut = _first(sizes.withColumn("_one", F.lit(0)), ["_one"], "_rb", [F.desc("_rem"), F.asc(by)],
-                 extra.select(one, F.col("_extra").alias("_need")), bounded=True)
+    everything = Window.partitionBy()  # over at most 4097 buckets
+    extra = (F.ceil(F.sum("_sum_n").over(everything) * F.lit(float(ratio))) - F.sum("_sum_floor").over(everything)).cast("bigint")
+    cut = _first(sizes, [], "_rb", [F.desc("_rem"), F.asc(by)], extra, bounded=True, sums=("_n", "_floor"))
     return cut.select(by, (F.col("_floor") + F.col("_in").cast("bigint")).alias("_need"))
 
 

@@ -53,6 +53,16 @@ def documents(spark, d) -> DataFrame:
     return table(spark, d, "documents").withColumn("ord", F.col("doc_id"))
 
 
+def doc_pairs(spark, d) -> DataFrame:
+    """A pair per document: its first line as the prompt, its text as chosen, the text of the
+    document with the next id as rejected (NULL for the last)."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("rejected"))
+    return docs.join(other, "doc_id", "left").select(
+        F.col("doc_id").alias("prompt_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("prompt"),
+        F.col("text").alias("chosen"), "rejected")
+
+
 def doc_candidates(spark, d) -> DataFrame:
     """Quality pairs input: documents joined with labels; one prompt per (lang, source);
     the document is the candidate, ``score = quality * 10``."""

@@ -32,9 +32,14 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def query(name: str, sql: str | None = None):
+def rounded(df: DataFrame, digits: int) -> DataFrame:
+    """Double columns rounded, for the comparison by value; operators return full doubles."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(name: str, sql: str | None = None, digits: int | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = fn if digits is None else lambda spark, d: rounded(fn(spark, d), digits)
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -128,7 +133,7 @@ SELECT count(*) AS total_prompts, count(*) FILTER (WHERE status = 'pair') AS suc
   count(*) FILTER (WHERE status = 'too_few') AS skipped_too_few,
   count(*) FILTER (WHERE status = 'error') AS errors,
   round(count(*) FILTER (WHERE status = 'pair') / greatest(count(*), 1) * 100.0, 6) AS success_rate
-FROM ({_OUTCOMES_SQL}) o""")
+FROM ({_OUTCOMES_SQL}) o""", digits=6)
 def q_generation_stats(spark, d):
     return generation_stats(q_pair_outcomes(spark, d))
 
@@ -207,7 +212,7 @@ FROM (
   SELECT 1 AS stage_no, 'dedup' AS stage, (SELECT count(*) FROM documents_v) AS rows_in, (SELECT count(*) FROM k) AS rows_out
   UNION ALL SELECT 2, 'length', (SELECT count(*) FROM k), (SELECT count(*) FROM k WHERE l)
   UNION ALL SELECT 3, 'validate', (SELECT count(*) FROM k WHERE l), (SELECT count(*) FROM k WHERE l AND v)
-) s""".replace("FROM k", f"FROM (SELECT length(text) BETWEEN 20 AND 2048 AS l, {_valid_sql(['text', 'lang', 'source'])} AS v FROM ({_DEDUP_SQL}) d0) k"))
+) s""".replace("FROM k", f"FROM (SELECT length(text) BETWEEN 20 AND 2048 AS l, {_valid_sql(['text', 'lang', 'source'])} AS v FROM ({_DEDUP_SQL}) d0) k"), digits=6)
 def q_filter_report(spark, d):
     return prep.filter_report(FX.documents(spark, d), key="text", order="ord", prompt_bounds=(20, 2048),
                               fields=["text", "lang", "source"])
@@ -266,14 +271,15 @@ def q_head(spark, d):
 
 # === preference pairs from documents: L1, L3, P2, P8, P11, P12 ========================
 
-_DOC_PAIRS = ("doc_pairs_v", _pairs_sql("doc_candidates_v", 2.0))
+_DOC_PAIRS = ("doc_pairs_v", """SELECT a.doc_id AS prompt_id, split_part(a.text, chr(10), 1) AS prompt, a.text AS chosen, b.text AS rejected
+  FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1""")
 
 
 def _doc_pairs(spark, d) -> DataFrame:
-    return build_pairs(FX.doc_candidates(spark, d), min_gap=2.0)
+    return FX.doc_pairs(spark, d)
 
 
-@query("clean_columns", O.with_views("doc_candidates_v", extra=[_DOC_PAIRS]) + f"""
+@query("clean_columns", O.with_views(extra=[_DOC_PAIRS]) + f"""
 SELECT prompt_id, {O.clean('prompt')} AS prompt, {O.clean('chosen')} AS chosen, {O.clean('rejected')} AS rejected
 FROM doc_pairs_v""")
 def q_clean_columns(spark, d):
@@ -284,20 +290,20 @@ _L1_SQL = f"""
 SELECT * FROM (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY md5(lower({O.strip('prompt')})) ORDER BY prompt_id) AS rn FROM (
-      SELECT prompt_id, {O.clean('prompt')} AS prompt, {O.clean('chosen')} AS chosen, {O.clean('rejected')} AS rejected,
-             chosen_score, rejected_score FROM doc_pairs_v) c) d WHERE rn = 1) e
+      SELECT prompt_id, {O.clean('prompt')} AS prompt, {O.clean('chosen')} AS chosen, {O.clean('rejected')} AS rejected
+      FROM doc_pairs_v) c) d WHERE rn = 1) e
 WHERE length(prompt) BETWEEN 10 AND 1024 AND length(chosen) BETWEEN 20 AND 2048 AND length(rejected) BETWEEN 20 AND 2048
   AND {_valid_sql(['prompt', 'chosen', 'rejected'])}"""
 
 
-@query("process_preference", O.with_views("doc_candidates_v", extra=[_DOC_PAIRS, ("l1_v", _L1_SQL)])
-       + _split_sql("l1_v", "prompt_id", 0.1, keep="prompt_id, prompt, chosen, rejected, chosen_score, rejected_score"))
+@query("process_preference", O.with_views(extra=[_DOC_PAIRS, ("l1_v", _L1_SQL)])
+       + _split_sql("l1_v", "prompt_id", 0.1, keep="prompt_id, prompt, chosen, rejected"))
 def q_process_preference(spark, d):
     out = L.process_preference_data(_doc_pairs(spark, d), order="prompt_id", key="prompt_id")
-    return out.select("prompt_id", "prompt", "chosen", "rejected", "chosen_score", "rejected_score", "split")
+    return out.select("prompt_id", "prompt", "chosen", "rejected", "split")
 
 
-@query("format_dpo", O.with_views("doc_candidates_v", extra=[_DOC_PAIRS]) + """
+@query("format_dpo", O.with_views(extra=[_DOC_PAIRS]) + """
 SELECT prompt_id, prompt, chosen, rejected FROM doc_pairs_v""")
 def q_format_dpo(spark, d):
     p = _doc_pairs(spark, d).select("prompt_id", F.col("prompt").alias("question"),
@@ -305,7 +311,7 @@ def q_format_dpo(spark, d):
     return prep.format_for_dpo(p).select("prompt_id", "prompt", "chosen", "rejected")
 
 
-@query("rename_preference", O.with_views("doc_candidates_v", extra=[_DOC_PAIRS]) + """
+@query("rename_preference", O.with_views(extra=[_DOC_PAIRS]) + """
 SELECT prompt, chosen, rejected FROM doc_pairs_v""")
 def q_rename_preference(spark, d):
     p = _doc_pairs(spark, d).withColumnRenamed("prompt", "instruction")
@@ -321,7 +327,7 @@ def q_ensure_instruction(spark, d):
     return prep.ensure_instruction(FX.prompts(spark, d)).select("ord", "prompt")
 
 
-@query("dpo_training_table", O.with_views("doc_candidates_v", extra=[
+@query("dpo_training_table", O.with_views(extra=[
     _DOC_PAIRS, ("l3_v", f"SELECT prompt_id, {_ensure_sql('prompt')} AS prompt, chosen, rejected FROM doc_pairs_v")])
        + _split_sql("l3_v", "prompt_id", 0.05, keep="prompt_id, prompt, chosen, rejected"))
 def q_dpo_training_table(spark, d):
@@ -446,14 +452,14 @@ SELECT {by}, round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE correct) /
 
 
 @query("eval_metrics", O.with_views("predictions_v", "qa_items_v") + _metrics_sql("model") + f"""
-FROM ({_GRADE_SQL}) g GROUP BY model""")
+FROM ({_GRADE_SQL}) g GROUP BY model""", digits=9)
 def q_eval_metrics(spark, d):
     return ev.eval_metrics(_graded(spark, d))
 
 
 @query("compare_models", O.with_views("predictions_v", "qa_items_v") + f"""
 SELECT *, string_split(model_path, '/')[-1] AS model_name FROM (""" + _metrics_sql("model_path") + f"""
-FROM (SELECT 'models/' || model AS model_path, * FROM ({_GRADE_SQL}) g0) g GROUP BY model_path) m""")
+FROM (SELECT 'models/' || model AS model_path, * FROM ({_GRADE_SQL}) g0) g GROUP BY model_path) m""", digits=9)
 def q_compare_models(spark, d):
     r = _graded(spark, d).withColumn("model_path", F.concat(F.lit("models/"), F.col("model")))
     return ev.compare_models(r)
@@ -465,7 +471,7 @@ SELECT k, count(*) AS n_items, count(*) FILTER (WHERE n >= k) AS n_scored,
     ELSE 1.0 - list_reduce(list_transform(range(n - c + 1, n + 1), lambda i: 1.0::DOUBLE - k / i), lambda a, b: a * b) END) END), 9) AS pass_at_k
 FROM (SELECT item, count(*) AS n, count(*) FILTER (WHERE correct) AS c
       FROM (SELECT item_id // 5 AS item, correct FROM ({_GRADE_SQL}) g0) g GROUP BY item) t, (VALUES (1), (2), (5)) ks(k)
-GROUP BY k""")
+GROUP BY k""", digits=9)
 def q_pass_at_k(spark, d):
     r = _graded(spark, d).withColumn("item", F.floor(F.col("item_id") / 5))
     return ev.pass_at_k(r, ks=(1, 2, 5), item="item")
@@ -477,7 +483,7 @@ SELECT model, count(*) AS n, round(avg(CAST(predicted IS NOT NULL AS DOUBLE)), 9
                  for i in range(1, 6)) + f""",
   round(avg(CAST(coalesce({O.has_reasoning('response')}, false) AS DOUBLE)), 9) AS reasoning_share,
   round(avg(CAST(starts_with(response, 'ERROR: ') AND predicted IS NULL AS DOUBLE)), 9) AS error_share
-FROM ({_GRADE_SQL}) g GROUP BY model""")
+FROM ({_GRADE_SQL}) g GROUP BY model""", digits=9)
 def q_format_quality(spark, d):
     return ev.format_quality(_graded(spark, d))
 
@@ -506,7 +512,7 @@ def q_scoring_text(spark, d):
 
 @query("batch_reward_stats", O.with_views("reward_input_v") + f"""
 SELECT epoch, batch, count(*) AS n, round(avg({O.reward_sql('response')}), 9) AS mean_reward, batch % 5 = 0 AS logged
-FROM reward_input_v GROUP BY epoch, batch""")
+FROM reward_input_v GROUP BY epoch, batch""", digits=9)
 def q_batch_reward_stats(spark, d):
     r = FX.reward_input(spark, d).withColumn("reward", heuristic_reward("response"))
     return batch_reward_stats(r)
@@ -541,8 +547,9 @@ def q_normalize_response(spark, d):
 
 @query("loss_curves", O.with_views("run_logs_v") + """
 SELECT step, round(avg(value) FILTER (WHERE method = 'sft'), 9) AS sft, round(avg(value) FILTER (WHERE method = 'dpo'), 9) AS dpo,
-       round(avg(value) FILTER (WHERE method = 'ppo'), 9) AS ppo
-FROM run_logs_v WHERE metric = 'train_loss' GROUP BY step""")
+       round(avg(value) FILTER (WHERE method = 'ppo'), 9) AS ppo,
+       count(*) FILTER (WHERE coalesce(method NOT IN ('sft', 'dpo', 'ppo'), true)) AS other_rows
+FROM run_logs_v WHERE metric = 'train_loss' GROUP BY step""", digits=9)
 def q_loss_curves(spark, d):
     return G.loss_curves(FX.run_logs(spark, d))
 
@@ -555,7 +562,7 @@ FROM (
     SELECT method, arg_max(v, step) AS accuracy FROM (
       SELECT method, step, avg(value) AS v FROM run_logs_v WHERE metric = 'eval_accuracy' GROUP BY method, step) s GROUP BY method
     UNION ALL SELECT 'base', {G.BASE_ACCURACY}::DOUBLE) u
-) t""")
+) t""", digits=9)
 def q_accuracy_progression(spark, d):
     return G.accuracy_progression(FX.run_logs(spark, d))
 
@@ -563,7 +570,7 @@ def q_accuracy_progression(spark, d):
 @query("reward_margins", O.with_views("run_logs_v") + """
 SELECT step, round(c, 9) AS rewards_chosen, round(r, 9) AS rewards_rejected, round(c - r, 9) AS margin FROM (
   SELECT step, avg(value) FILTER (WHERE metric = 'rewards_chosen') AS c, avg(value) FILTER (WHERE metric = 'rewards_rejected') AS r
-  FROM run_logs_v WHERE method = 'dpo' AND metric IN ('rewards_chosen', 'rewards_rejected') GROUP BY step) s""")
+  FROM run_logs_v WHERE method = 'dpo' AND metric IN ('rewards_chosen', 'rewards_rejected') GROUP BY step) s""", digits=9)
 def q_reward_margins(spark, d):
     return G.reward_margins(FX.run_logs(spark, d))
 
@@ -572,7 +579,7 @@ def q_reward_margins(spark, d):
 SELECT beta, round(accuracy, 9) AS accuracy, round(diversity, 9) AS diversity,
   round(mode_collapse_score, 9) AS mode_collapse_score, round(train_loss, 9) AS train_loss,
   CASE WHEN mode_collapse_score > {G.RISK_HIGH} THEN 'high' WHEN mode_collapse_score > {G.RISK_MEDIUM} THEN 'medium' ELSE 'low' END AS risk
-FROM beta_results_v ORDER BY beta""")
+FROM beta_results_v ORDER BY beta""", digits=9)
 def q_beta_ablation(spark, d):
     return G.beta_ablation(FX.beta_results(spark, d))
 
@@ -594,7 +601,7 @@ SELECT method, round(memory_gb, 9) AS memory_gb, training_time_min, round(final_
   round((final_accuracy - ba) * 100.0, 9) AS accuracy_delta_points
 FROM (SELECT *, max(CASE WHEN method = 'ppo' THEN memory_gb END) OVER () AS bm,
              max(CASE WHEN method = 'ppo' THEN training_time_min END) OVER () AS bt,
-             max(CASE WHEN method = 'ppo' THEN final_accuracy END) OVER () AS ba FROM method_resources_v) s""")
+             max(CASE WHEN method = 'ppo' THEN final_accuracy END) OVER () AS ba FROM method_resources_v) s""", digits=9)
 def q_resource_efficiency(spark, d):
     return G.resource_efficiency(FX.method_resources(spark, d))
 
@@ -606,7 +613,7 @@ SELECT (SELECT arg_max(method, final_accuracy) FROM method_resources_v) AS best_
   round((a.final_accuracy - p.final_accuracy) * 100.0, 9) AS accuracy_gain_points,
   round((p.memory_gb - a.memory_gb) / p.memory_gb * 100.0, 9) AS memory_saving_pct,
   round((p.training_time_min - a.training_time_min) / p.training_time_min * 100.0, 9) AS time_saving_pct
-FROM (SELECT * FROM method_resources_v WHERE method = 'dpo') a, (SELECT * FROM method_resources_v WHERE method = 'ppo') p""")
+FROM (SELECT * FROM method_resources_v WHERE method = 'dpo') a, (SELECT * FROM method_resources_v WHERE method = 'ppo') p""", digits=9)
 def q_analysis_summary(spark, d):
     return G.analysis_summary(FX.method_resources(spark, d), FX.beta_results(spark, d))
 
@@ -625,7 +632,7 @@ SELECT grp AS "group", count(*) AS ngrams, count(DISTINCT ng) AS distinct_ngrams
 FROM (SELECT grp, array_to_string(toks[i:i + 3], ' ') AS ng
       FROM (SELECT grp, regexp_extract_all(coalesce(response, ''), {O.lit(O.NON_WS + '+')}) AS toks FROM resp_v) t,
            range(1, len(toks) - 2) r(i)) x
-GROUP BY grp""")
+GROUP BY grp""", digits=9)
 def q_distinct_n(spark, d):
     return G.distinct_n(_responses_by_beta(spark, d), by=("group",), n=4)
 
@@ -636,7 +643,7 @@ SELECT grp AS "group", CAST(sum(n) AS BIGINT) AS responses, CAST(sum(CASE WHEN p
 FROM (SELECT grp, h, count(*) AS n, count(DISTINCT prompt_id) AS p FROM (
   SELECT grp, prompt_id, md5(lower({O.strip(f"regexp_replace(response, {O.lit(O.WS + '+')}, ' ', 'g')")})) AS h FROM resp_v) a
   GROUP BY grp, h) b
-GROUP BY grp""")
+GROUP BY grp""", digits=9)
 def q_mode_collapse(spark, d):
     return G.mode_collapse(_responses_by_beta(spark, d), by=("group",))
 
@@ -700,6 +707,6 @@ def _objective_sql() -> str:
     return "\nUNION ALL\n".join(sel)
 
 
-@query("preference_objective", O.with_views("logps_v") + _objective_sql())
+@query("preference_objective", O.with_views("logps_v") + _objective_sql(), digits=9)
 def q_preference_objective(spark, d):
     return G.preference_objective(FX.logged_logps(spark, d))

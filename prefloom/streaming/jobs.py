@@ -2,8 +2,8 @@
 
 * :func:`reward_monitor` -- mean reward per method and event-time window as logs
   arrive; watermark bounds the state, late rows are dropped, append mode emits a
-  window once the watermark passes its end (windows still open at the end of the
-  input are not emitted).
+  window once the watermark passes its end. Windows still open when a finite input ends are
+  closed by :func:`close_windows`.
 * :func:`scored_stream` -- judge outputs arriving as a stream are parsed natively
   (C4) and de-duplicated within the watermark (a redelivered judgement is dropped),
   then appended to the ``scored`` table; pairs (R1) run as a batch over that table.
@@ -27,12 +27,22 @@ WINDOW = "1 hour"
 # ---------------------------------------------------------------------------
 
 
-def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A file stream over one table's parquet files (schema taken from the files)."""
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session of its own for a stream, so that its number of state partitions (fixed for
+    a stream's lifetime; size it to the key cardinality) touches no other query's settings."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.conf.get("spark.sql.shuffle.partitions")))
+    return own
+
+
+def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1000) -> DataFrame:
+    """A file stream over one table's parquet files (schema taken from the files), at most
+    ``max_files`` files a micro-batch, so that a backlog is worked off in bounded steps."""
     from prefloom.plans.fixtures import table
 
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", max_files).parquet(sf_dir)
 
 
 def as_utc_instant(col: str, dtype) -> F.Column:
@@ -50,13 +60,21 @@ def as_utc_instant(col: str, dtype) -> F.Column:
 def reward_monitor(logs: DataFrame, ts: str = "ts", method: str = "method", value: str = "value",
                    watermark: str = WATERMARK, window: str = WINDOW) -> DataFrame:
     """ST1: windowed mean per method, window bounds as epoch seconds (time-zone free)."""
-    x = logs.withColumn(ts, as_utc_instant(ts, logs.schema[ts].dataType)).withWatermark(ts, watermark)
+    x = logs.withColumn(ts, as_utc_instant(ts, logs.schema[ts].dataType))
+    x = x.withWatermark(ts, watermark) if logs.isStreaming else x
     g = x.groupBy(F.window(ts, window).alias("w"), method).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"))
     return g.select(
         F.unix_seconds("w.start").alias("window_start"),
         F.unix_seconds("w.end").alias("window_end"),
-        method, "n", F.round("mean_value", 9).alias("mean_value"))
+        method, "n", F.col("mean_value").alias("mean_value"))
+
+
+def close_windows(emitted: DataFrame, logs: DataFrame, **kw) -> DataFrame:
+    """The closing step for a finite source: ``emitted`` (the stream's output) and, from a
+    batch over the same ``logs``, the windows that were still open when the input ended."""
+    keys = ["window_start", kw.get("method", "method")]
+    return emitted.unionByName(reward_monitor(logs, **kw).join(emitted.select(*keys), keys, "left_anti"))
 
 
 def scored_stream(judged: DataFrame, ts: str = "ts", watermark: str = WATERMARK,
@@ -67,27 +85,15 @@ def scored_stream(judged: DataFrame, ts: str = "ts", watermark: str = WATERMARK,
     return with_judge_scores(x, "judge_text", response="response", error="error").select(*keys, "score", "reason")
 
 
-def run_available_now(df: DataFrame, name: str, output_mode: str = "append", base: str | None = None,
-                      state_partitions: int | None = None) -> DataFrame:
+def run_available_now(df: DataFrame, name: str, output_mode: str = "append", base: str | None = None) -> DataFrame:
     """Run a streaming DataFrame over everything available, into a parquet sink on the
     shared folder, and return the sink read as a batch. Passing the same ``base`` again
     resumes from its checkpoint (state and watermark included) and appends.
-
-    ``state_partitions`` fixes the number of state-store partitions of a new query (a
-    stream keeps it for its lifetime; size it to the key cardinality). It applies to this
-    query's start only: the stream clones the session conf when it starts.
     """
     spark = df.sparkSession
     base = base or scratch_path(spark, name)
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    if state_partitions:
-        spark.conf.set(key, str(state_partitions))
-    try:
-        q = (df.writeStream.format("parquet").outputMode(output_mode)
-             .option("checkpointLocation", f"{base}/_checkpoint")
-             .trigger(availableNow=True).start(f"{base}/data"))
-    finally:
-        spark.conf.set(key, old)
+    q = (df.writeStream.format("parquet").outputMode(output_mode)
+         .option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start(f"{base}/data"))
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/data")

@@ -17,7 +17,7 @@ from prefloom.streaming import jobs as ST
 def test_reward_monitor_closed_windows_equal_batch(spark):
     ev = ST.read_table_stream(spark, SF_CHECK, "events")
     out = ST.run_available_now(ST.reward_monitor(ev.select("ts", F.col("event_type").alias("method"), "value")), "t-mon")
-    got = {(r.window_start, r.method): (r.n, r.mean_value) for r in out.collect()}
+    got = {(r.window_start, r.method): (r.n, round(r.mean_value, 9)) for r in out.collect()}
     # batch: hourly buckets of epoch seconds; closed = end <= max(ts) - 10 minutes
     b = FX.table(spark, SF_CHECK, "events").withColumn("t", F.unix_seconds(ST.as_utc_instant("ts", T.TimestampNTZType())))
     mx = b.agg(F.max("t")).first()[0]
@@ -26,6 +26,11 @@ def test_reward_monitor_closed_windows_equal_batch(spark):
     closed = g.where(F.col("ws") + 3600 <= mx - 600).collect()
     expect = {(r.ws, r.method): (r.n, r.m) for r in closed}
     assert got == expect and len(got) == 3380
+    # the closing step of a finite source adds the windows that were still open
+    logs = FX.table(spark, SF_CHECK, "events").select("ts", F.col("event_type").alias("method"), "value")
+    every = {(r.ws, r.method): (r.n, r.m) for r in g.collect()}
+    full = {(r.window_start, r.method): (r.n, round(r.mean_value, 9)) for r in ST.close_windows(out, logs).collect()}
+    assert full == every and len(full) == 3385
 
 
 def test_reward_monitor_ignores_session_time_zone(spark):
