@@ -17,12 +17,7 @@ _SEP = "[:" + WS_CHARS + "]*"
 
 # --- fixed values -----------------------------------------------------------
 # The five answer patterns, tried in this order; the first match of the first
-# pattern that hits wins. Written in Python form:
-#   1  [Tt]he answer is[:\s]*([+-]?\d[\d,]*\.?\d*)
-#   2  ####\s*([+-]?\d[\d,]*\.?\d*)
-#   3  [Aa]nswer[:\s]*([+-]?\d[\d,]*\.?\d*)
-#   4  =\s*([+-]?\d[\d,]*\.?\d*)\s*$
-#   5  (\d[\d,]*\.?\d*)\s*$
+# pattern that hits wins.
 ANSWER_PATTERNS = [
     "[Tt]he answer is" + _SEP + _NUM,
     "####" + WS + "*" + _NUM,
