@@ -1,7 +1,6 @@
 """Goldens (FIXTURES §3) and randomised checks of the native text expressions against
 plain-Python statements of the same rules."""
 
-import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
