@@ -42,6 +42,7 @@ from prefloom.llm.words import LOW, NONSPACE, Words, slices, window_hashes
 SHINGLE = 4
 PERCENT = 85
 SKETCH = 22
+FILTER = 25
 _CHUNK = 12
 
 
@@ -64,15 +65,15 @@ def frequency_classes(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
     counted over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH, dtype=np.int64)
+        total = np.zeros(1 << SKETCH, dtype=np.uint32)
         for b in batches:
             for _, data, offsets in slices(b.column(0)):
                 words = Words(LOW[data], offsets, NONSPACE)
                 full = window_hashes(words.hashes, size)
-                total += np.bincount((full >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
+                np.add.at(total, (full >> np.uint64(64 - SKETCH)).astype(np.int64), np.uint32(1))
         rows = total.reshape(-1, 1 << _CHUNK)
         used = np.flatnonzero(rows.any(axis=1))
-        packed = [zlib.compress(np.minimum(rows[i], 0xFFFFFFFF).astype("<u4").tobytes(), 1) for i in used]
+        packed = [zlib.compress(rows[i].astype("<u4").tobytes(), 1) for i in used]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,15 +127,39 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return sizes & (F.least(n1 - p1, n2 - p2) >= _needed(n1, n2, percent))
 
 
+def _bit(id_: str) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(1 << FILTER))
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER bits that holds every id of ``ids`` (by a hash), whatever their
+    number: lets most texts without a candidate pair stay where they are."""
+
+    def pack(bits: pa.Table) -> pa.Table:
+        at = bits.column("bit").to_numpy()
+        flags = np.zeros(1 << 15, dtype=bool)
+        flags[at & 0x7FFF] = True
+        return pa.table({"chunk": pa.array([int(at[0]) >> 15], pa.int32()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    bits = ids.select(_bit("id").alias("bit")).distinct()  # at most 2**15 in a group
+    out = np.zeros((1 << FILTER - 15, 1 << 12), dtype=np.uint8)
+    for r in bits.groupBy(F.shiftright("bit", 15)).applyInArrow(pack, "chunk int, bits binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
 def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``pairs`` (u, v) with nu, nv and the size of the intersection of their sets."""
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select(F.col("u").alias("id")).union(pairs.select("v"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for b in batches:
+            at = b.column(1).to_numpy()
+            b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                own = [s.tobytes() for s in shingle_sets(part.column(1), size)]
+                own = [s.tobytes() for s in shingle_sets(part.column(2), size)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["id", "set"])
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +170,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
             cols = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["u", "v", "nu", "nv", "common"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(wanted, "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).select("id", _bit("id").alias("bit"), text_col)
     known = written(texts.mapInArrow(sets, "id long, set binary").distinct(), "sets")
     left = pairs.join(known.select(F.col("id").alias("u"), F.col("set").alias("su")), "u")
     both = left.join(known.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v").select("u", "v", "su", "sv")
@@ -153,13 +178,15 @@ def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
     return found
 
 
-def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) whose components are those of all links between different sets."""
-    nodes = signed.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "n", "prefix")).alias("s"))
-    entries = nodes.select(F.col("s.id").alias("id"), F.col("s.n").alias("n"), F.posexplode("s.prefix").alias("pos", "token"))
+    # written, as are the other tables of keys below: a join with a table, unlike one with an
+    # aggregate in the same stage, can be split by adaptive execution where a key is hot
+    entries = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     # the least of (position, a few bits of the id): a hub per list, by a plain long
     rank = F.shiftleft(F.col("pos").cast("long"), 24).bitwiseOR(F.xxhash64("id").bitwiseAND(0xFFFFFF))
     lists = entries.groupBy("token").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    lists = written(lists, "lists")
     meets = written(entries.join(lists, "token").select("token", "id", "n", "pos", (rank == F.col("first")).alias("is_hub")), "meets")
 
     hubs = meets.filter("is_hub").drop("is_hub")
@@ -172,7 +199,7 @@ def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col:
     tied = components(first)
     named = meets.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_lists = named.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(F.when(F.col("is_hub"), F.col("component"))).alias("main"))
-    open_lists = open_lists.filter("a <> b").select("token", "main")
+    open_lists = written(open_lists.filter("a <> b").select("token", "main"), "open-lists")
     named = named.join(open_lists, "token")
     # what the list's hub already knows of each entry
     hub = named.filter("is_hub").groupBy("token").agg(F.min("id").alias("hub"))
@@ -196,9 +223,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id) of every row of ``docs``."""
     signed = signatures(docs, id_col, text_col, size, percent)
     narrow = signed.select("id", "n", "digest")
-    same = narrow.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    tied = links(docs, signed, id_col, text_col, size, percent)
-    rows = narrow.join(same, "digest", "left")
+    least = signed.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "n", "prefix")).alias("s"))
+    nodes = written(least.select("digest", "s.*"), "nodes")
+    tied = links(docs, nodes, id_col, text_col, size, percent)
+    rows = narrow.join(nodes.select("digest", F.col("id").alias("rep")), "digest", "left")
     # an id with several texts ties their sets together
     shared = rows.filter("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     edges = tied.union(shared.select(F.col("a").alias("u"), F.col("b").alias("v")))
