@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 
 from prefloom.session import scratch_path
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """State that a Python worker keeps from task to task (a tokenizer, tables): made once,
+    and dropped when another operator's tasks ask the same worker for theirs."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import two_level_rank, written
+from prefloom.llm.common import held, two_level_rank, written
 
 CAPACITY = 2048
 #: texts of these characters only are cut at white space, and every part is tokenized once per
@@ -40,7 +40,7 @@ CAPACITY = 2048
 _PLAIN = re.compile(r"[\t\n\r -~¡-¬®-ÿ]*")
 # fixed value: the tokenizer's own word pattern
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_CACHE_ENTRIES = 600_000
+_CACHE_ENTRIES = 600_000  # in each of two generations
 
 
 def _byte_letters() -> dict[int, int]:
@@ -61,37 +61,40 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before; what is used again moves up
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            if len(self.words) > _CACHE_ENTRIES:
-                self.words.clear()
+        """Ids of one word of the tokenizer's pattern."""
+        if (ids := self.known.get(word)) is None:
+            if (ids := self.older.get(word)) is not None:
+                self.known[word] = ids
+                return ids
             own = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(own))
+            ids = self.known[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(own)])
         return ids
 
     def plain(self, text: str) -> bytes:
-        parts, known = text.lower().split(), self.parts
-        for p in parts:
-            if p not in known:
-                if len(known) > _CACHE_ENTRIES:
-                    known.clear()
-                    return self.plain(text)
+        if len(self.known) > _CACHE_ENTRIES:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        parts = text.lower().split()
+        for p in [p for p in parts if p not in known]:
+            if p in older:
+                known[p] = older[p]
+            elif p.isalpha():  # letters only: one word
+                self._word(p)
+            else:
                 known[p] = b"".join(map(self._word, _WORDS.findall(p)))
         return b"".join(map(known.__getitem__, parts))
 
 
-_ENCODERS: dict[str, _Encoder] = {}
-
-
 def token_bytes(texts: list[str | None], path: str, end_id: int = 0) -> Iterator[bytes]:
     """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Encoder(path))
+    encoder = held(("encoder", path), lambda: _Encoder(path))
     end = end_id.to_bytes(4, "little")
     for text in texts:
         text = text or ""

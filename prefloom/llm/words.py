@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from prefloom.llm.common import held
+
 LOW = np.arange(256, dtype=np.uint8)
 LOW[65:91] += 32
 #: decontamination words: digits, a-z and everything beyond ASCII
@@ -28,17 +30,15 @@ _LONG_WORD = 1 << 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_POW: list[np.ndarray] = []
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _POW:
-        n = _BLOCK + _LONG_WORD + 1
-        for p in (_P, _P_INV):
-            a = np.full(n, p, dtype=np.uint64)
-            a[0] = 1
-            _POW.append(np.multiply.accumulate(a))
-    return _POW[0], _POW[1]
+    def make() -> tuple[np.ndarray, ...]:
+        a = np.full((2, _BLOCK + _LONG_WORD + 1), [[_P], [_P_INV]], dtype=np.uint64)
+        a[:, 0] = 1
+        return tuple(np.multiply.accumulate(a, axis=1))
+
+    return held("powers", make)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(h + np.uint64(size))
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows of at most about ``most`` bytes each
     (one row at least), null as empty: bounds the arrays that the caller builds."""
     if isinstance(texts, pa.ChunkedArray):

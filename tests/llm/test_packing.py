@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from prefloom.llm import packing
+from prefloom.llm import common, packing
 
 PATH = packing.default_tokenizer()
 
@@ -96,7 +96,7 @@ def test_cache_limit_changes_nothing(monkeypatch):
     texts = [f"alpha{i} beta gamma{i}, delta." for i in range(200)]
     want = list(packing.token_bytes(texts, PATH))
     monkeypatch.setattr(packing, "_CACHE_ENTRIES", 3)
-    packing._ENCODERS.clear()
+    common._HELD.clear()
     assert list(packing.token_bytes(texts, PATH)) == want
 
 
