@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prefloom.functions.answers import answer_pattern, extract_answer, extract_ground_truth
+from prefloom.functions.judge import with_judge_scores
 from prefloom.operators import evaluation as ev
 from prefloom.operators import prep
 from prefloom.operators import runs as G
@@ -151,6 +153,46 @@ def q_split_null_keys(spark, d):
     return train_val_split(docs, ratio=0.1, seed=42, key="ord").groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# --- answers and judgements in every form -------------------------------------------------
+
+_FORMS = ["The answer is: {}", "the answer is {} apples", "#### {}", "Answer: -{}", "total = {}", "so it costs {}", "Answers {},000", "x = +{},5 ", "no number here"]
+
+
+@query("extract_answer_forms", f"""
+SELECT o_orderkey AS item_id, {O.extract_answer('t')} AS answer, {O.answer_pattern('t')} AS pattern FROM (
+  SELECT o_orderkey, CASE o_orderkey % 9 {" ".join(f"WHEN {i} THEN replace('{f}', '{{}}', CAST(o_custkey AS VARCHAR))" for i, f in enumerate(_FORMS))} END AS t FROM orders) x""")
+def q_extract_answer_forms(spark, d):
+    """E1 and E10's pattern number over texts that reach all five patterns."""
+    o = FX.table(spark, d, "orders")
+    text = F.lit(None).cast("string")
+    for i, f in enumerate(_FORMS):
+        text = F.when(F.col("o_orderkey") % 9 == i, F.replace(F.lit(f), F.lit("{}"), F.col("o_custkey").cast("string"))).otherwise(text)
+    t = o.select(F.col("o_orderkey").alias("item_id"), text.alias("t"))
+    return t.select("item_id", extract_answer("t").alias("answer"), answer_pattern("t").alias("pattern"))
+
+
+@query("extract_answer_conversations", f"""
+SELECT conv_id, turn, {O.extract_answer('text')} AS answer, {O.ground_truth('text')} AS ground_truth FROM conversations""")
+def q_extract_answer_conversations(spark, d):
+    """E1 and E2 over every turn of every conversation."""
+    c = FX.table(spark, d, "conversations")
+    return c.select("conv_id", "turn", extract_answer("text").alias("answer"), extract_ground_truth("text").alias("ground_truth"))
+
+
+_VERDICTS = ['{"score": 7, "reason": null}', '{"score": "8"}', '{"score": true, "reason": "yes"}', '{"score": null}', '{"score": [1]}', 'Score 3.5 of 10', '{"score": "8/10"}',
+             'nothing', 'text {"score": 99, "reason": "high"} more', '{"score": -4}', '']
+
+
+@query("judge_parse_forms", O.judge_select(f"""(SELECT o_orderkey AS item_id, CASE o_orderkey % 11 {" ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_VERDICTS))} END AS t FROM orders) v""", "item_id"))
+def q_judge_parse_forms(spark, d):
+    """C4 over JSON numbers, strings, booleans, null, arrays, prose, fractions and nothing."""
+    o = FX.table(spark, d, "orders")
+    text = F.lit(None).cast("string")
+    for i, v in enumerate(_VERDICTS):
+        text = F.when(F.col("o_orderkey") % 11 == i, F.lit(v)).otherwise(text)
+    return with_judge_scores(o.select(F.col("o_orderkey").alias("item_id"), text.alias("t")), "t").select("item_id", "score", "reason")
+
+
 # --- R5 -----------------------------------------------------------------------------------
 
 def sometimes_failing(prompts: list[str]) -> list[str]:

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from prefloom.functions import answers as A
 from prefloom.functions import judge as J
-from prefloom.functions import reward as R
 from prefloom.functions.text import CTRL_CLASS, NON_WS, WS
 from prefloom.plans import fixtures as FX
 
@@ -80,10 +79,10 @@ SELECT {keep},
        WHEN json_ok THEN (CASE WHEN isnan(js) THEN 0.0 ELSE least(greatest(js, 0.0), 10.0) END)
        WHEN num <> '' THEN least(greatest(CAST(num AS DOUBLE), 0.0), 10.0)
        ELSE 0.0 END AS score,
-  CASE WHEN json_err THEN {lit(J.NOT_A_NUMBER_REASON)}
-       WHEN json_ok THEN coalesce(jreason, '')
-       WHEN num <> '' THEN substring(coalesce(t, ''), 1, {J.REASON_CHARS})
-       ELSE {lit(J.FAILED_REASON)} END AS reason
+  CASE WHEN json_err THEN 'Judge error: score is not a number'
+       WHEN json_ok THEN (CASE WHEN coalesce(rt, '') <> 'NULL' THEN coalesce(jreason, '') END)
+       WHEN num <> '' THEN substring(coalesce(t, ''), 1, 200)
+       ELSE 'Failed to parse judge output' END AS reason
 FROM (
   SELECT *,
     valid AND coalesce(jt IN ('NULL', 'ARRAY', 'OBJECT'), false) AS json_err,
@@ -97,6 +96,7 @@ FROM (
       sl <> '' AND json_valid(sl) AS valid,
       CASE WHEN sl <> '' AND json_valid(sl) THEN json_type(sl, '$.score') END AS jt,
       CASE WHEN sl <> '' AND json_valid(sl) THEN json_extract_string(sl, '$.score') END AS raw,
+      CASE WHEN sl <> '' AND json_valid(sl) THEN json_type(sl, '$.reason') END AS rt,
       CASE WHEN sl <> '' AND json_valid(sl) THEN json_extract_string(sl, '$.reason') END AS jreason
     FROM (SELECT *, {JUDGE_HELPERS} FROM {src}) s0
   ) s1
@@ -107,19 +107,15 @@ FROM (
 def reward_terms_sql(x: str) -> dict[str, str]:
     r = f"coalesce({x}, '')"
     n = words(r)
-    length = (f"(CASE WHEN {n} BETWEEN {R.LENGTH_GOOD[0]} AND {R.LENGTH_GOOD[1]} THEN 1.0::DOUBLE "
-              f"WHEN {n} < {R.LENGTH_SHORT} THEN ({R.LENGTH_SHORT_TERM})::DOUBLE "
-              f"WHEN {n} > {R.LENGTH_LONG} THEN ({R.LENGTH_LONG_TERM})::DOUBLE ELSE 0.0::DOUBLE END)")
-    hits = " + ".join(f"CAST(contains(lower({r}), {lit(w)}) AS INTEGER)" for w in R.STEP_KEYWORDS)
-    step = f"least(CAST({hits} AS DOUBLE) * {R.STEP_WEIGHT}::DOUBLE, {R.STEP_CAP}::DOUBLE)"
-    ans = " OR ".join(f"contains(lower({r}), {lit(p)})" for p in R.ANSWER_PHRASES)
-    answer = f"(CASE WHEN {ans} THEN {R.ANSWER_BONUS}::DOUBLE ELSE 0.0::DOUBLE END)"
-    nota = " OR ".join(f"contains({r}, {lit(ch)})" for ch in R.NOTATION_CHARS)
-    notation = f"(CASE WHEN {nota} THEN {R.NOTATION_BONUS}::DOUBLE ELSE 0.0::DOUBLE END)"
+    # stated here once more, apart from the Spark side, so that a wrong value on one side shows
+    length = f"(CASE WHEN {n} >= 50 AND {n} <= 300 THEN 1.0::DOUBLE WHEN {n} < 20 THEN -2.0::DOUBLE WHEN {n} > 500 THEN -0.5::DOUBLE ELSE 0.0::DOUBLE END)"
+    hits = " + ".join(f"CAST(contains(lower({r}), '{w}') AS INTEGER)" for w in "step first then next therefore so thus hence".split())
+    step = f"least(CAST({hits} AS DOUBLE) * 0.3::DOUBLE, 1.5::DOUBLE)"
+    answer = f"(CASE WHEN contains(lower({r}), 'the answer is') OR contains(lower({r}), 'answer:') OR contains(lower({r}), '= ') THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END)"
+    notation = f"(CASE WHEN regexp_matches({r}, '[×÷+=²³]') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)"
     parts = f"string_split({r}, '.')"
     ratio = f"(CAST(len(list_distinct({parts})) AS DOUBLE) / CAST(greatest(len({parts}), 1) AS DOUBLE))"
-    rep = (f"(CASE WHEN {ratio} < {R.REPETITION_THRESHOLD}::DOUBLE THEN (-{R.REPETITION_PENALTY})::DOUBLE "
-           f"ELSE 0.0::DOUBLE END)")
+    rep = f"(CASE WHEN {ratio} < 0.5::DOUBLE THEN -2.0::DOUBLE ELSE 0.0::DOUBLE END)"
     return {"length_term": length, "step_term": step, "answer_term": answer,
             "notation_term": notation, "repetition_term": rep}
 
