@@ -41,9 +41,10 @@ from prefloom.session import scratch_path
 
 LENGTH = 50
 GRAM = 24
-PART_ROWS = 1 << 14
+PART_ROWS = 1 << 12
 BUCKET_BYTES = 64 << 20
-_SLICE = 1 << 18
+LEAST_BUCKETS = 128
+_SLICE = 1 << 16
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
 
@@ -70,7 +71,7 @@ def _gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Runs:
     """Runs of neighbouring suffix heads with one sample, for a slice of texts: ``lo`` first
     head (byte position in the slice), ``n`` heads, ``text`` index, ``sample`` and ``content``
-    keys; ``heads`` the hash of every head."""
+    keys; ``heads`` a hash of every head, not yet mixed."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         none = np.empty(0, dtype=np.int64)
@@ -82,7 +83,7 @@ class Runs:
             grams, heads = _gram_hashes(data)
         bits = _U(max(1, int(len(grams)).bit_length()))
         mask = (_U(1) << bits) - _U(1)
-        grams = mix(grams)
+        grams = (grams ^ (grams >> _U(29))) * _U(0xBF58476D1CE4E5B9)
         key = (grams & ~mask) | np.arange(len(grams), dtype=_U)
         width, have = LENGTH - GRAM + 1, 1
         while have < width:  # minimum over `have` grams, doubled up to the window
@@ -101,17 +102,18 @@ class Runs:
         first = np.flatnonzero(new)
         self.n = np.diff(np.r_[first, len(i)])
         self.lo = i[first]
-        self.heads = mix(heads)
+        self.heads = heads
         self.text = np.searchsorted(offsets, self.lo, "right") - 1
         self.sample = grams[at[self.lo]] >> _U(24)
-        self.content = mix(self.heads[self.lo] * _U(0xD6E8FEB86659FD93) + self.heads[self.lo + self.n - 1] + self.n.astype(_U)) >> _U(16)
+        first, last = mix(heads[self.lo]), mix(heads[self.lo + self.n - 1])
+        self.content = mix(first * _U(0xD6E8FEB86659FD93) + last + self.n.astype(_U)) >> _U(16)
 
     def expanded(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(run, head position, head key) of the single heads of the chosen runs."""
         run = np.repeat(which, self.n[which])
         inside = np.arange(len(run)) - np.repeat(np.cumsum(self.n[which]) - self.n[which], self.n[which])
         at = self.lo[run] + inside
-        return run, at, self.heads[at] >> _U(16)
+        return run, at, mix(self.heads[at]) >> _U(16)
 
 
 def _key(sample: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -302,7 +304,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     src.select(part.alias("part"), "id", "text").write.option("compression", "zstd").parquet(path)
     rows = docs.sparkSession.read.schema("part long, id long, text string").parquet(path)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, -(-total // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     block = "bucket int, part long, n int, data binary"
     runs_path = _answers(rows.mapInArrow(lambda it: _first_pass(it, buckets), block), "runs")
     heads_path = _answers(rows.mapInArrow(lambda it: _second_pass(it, buckets, runs_path), block), "heads")
