@@ -36,6 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefloom.llm.common import lean
 from prefloom.llm.words import _BYTE, mix, slices
 from prefloom.session import scratch_path
 
@@ -104,7 +105,7 @@ class Runs:
         self.lo = i[first]
         self.heads = heads
         self.text = np.searchsorted(offsets, self.lo, "right") - 1
-        self.sample = grams[at[self.lo]] >> _U(24)
+        self.sample = mix(grams[at[self.lo]]) >> _U(24)  # mixed again: least hashes are all small, and buckets are ranges
         first, last = mix(heads[self.lo]), mix(heads[self.lo + self.n - 1])
         self.content = mix(first * _U(0xD6E8FEB86659FD93) + last + self.n.astype(_U)) >> _U(16)
 
@@ -244,6 +245,9 @@ def _scanned(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         yield row, data, offsets, ids[row : row + len(offsets) - 1], Runs(data, offsets)
 
 
+@lean
+
+
 def _first_pass(batches, buckets: int):
     part, found = None, []
     for now, b in _by_part(batches):
@@ -255,6 +259,9 @@ def _first_pass(batches, buckets: int):
     yield from _blocks(part, found, buckets)
 
 
+@lean
+
+
 def _second_pass(batches, buckets: int, runs_path: str):
     part, found, known = None, [], None
     for now, b in _by_part(batches):
@@ -269,6 +276,9 @@ def _second_pass(batches, buckets: int, runs_path: str):
     yield from _blocks(part, found, buckets)
 
 
+@lean
+
+
 def _last_pass(batches, runs_path: str, heads_path: str, schema: pa.Schema):
     part, runs, heads = None, None, None
     for now, b in _by_part(batches):
