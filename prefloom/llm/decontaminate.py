@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefloom.llm.common import written
+from prefloom.llm.common import lean, written
 from prefloom.llm.words import ALNUM, LOW, Words, slices, window_hashes
 
 WINDOW = 13
@@ -138,6 +138,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     blocks = _blocks(benchmark, item_col, item_text_col, window, block_windows)
 
     def one(known, frame: DataFrame) -> DataFrame:
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 r = pa.array(_reports_list(b.column(text_col), known.value), type=arrow_report())
@@ -152,6 +153,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     # written table between two scans, so that a task holds one block's windows at a time
     frame = one(sets[0], docs)
     for known in sets[1:]:
+        @lean
         def more(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 new = _reports_list(b.column(text_col), known.value)

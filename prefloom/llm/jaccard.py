@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import written
+from prefloom.llm.common import lean, written
 from prefloom.llm.components import components
 from prefloom.llm.words import LOW, NONSPACE, Words, slices, window_hashes
 
@@ -64,6 +64,8 @@ def frequency_classes(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
     """Frequency class (eighths of a power of two) of each of 2**SKETCH shingle buckets,
     counted over all documents."""
 
+    @lean
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH, dtype=np.uint32)
         for b in batches:
@@ -76,6 +78,8 @@ def frequency_classes(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
         packed = [zlib.compress(rows[i].astype("<u4").tobytes(), 1) for i in used]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
 
+    @lean
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
@@ -97,6 +101,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     """(id, n, digest of the set, prefix in the global order) of every document, written."""
     known = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, text_col, size))
 
+    @lean
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = known.value
         for b in batches:
@@ -116,8 +122,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
-    """The overlap that sets of these sizes need."""
-    return F.ceil((a + b) * percent / F.lit(100.0 + percent) - 1e-9)
+    """The overlap that sets of these sizes need: (a + b) * percent / (100 + percent), rounded
+    up in whole numbers."""
+    over = (a + b) * percent + (99 + percent)
+    return ((over - F.pmod(over, F.lit(100 + percent))) / F.lit(100 + percent)).cast("long")
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -152,6 +160,8 @@ def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
     """``pairs`` (u, v) with nu, nv and the size of the intersection of their sets."""
     wanted = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select(F.col("u").alias("id")).union(pairs.select("v"))))
 
+    @lean
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for b in batches:
@@ -162,6 +172,8 @@ def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
                 own = [s.tobytes() for s in shingle_sets(part.column(2), size)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["id", "set"])
 
+    @lean
+
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lambda x: np.frombuffer(x, dtype=np.uint64)
         for b in batches:
@@ -172,8 +184,9 @@ def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).select("id", _bit("id").alias("bit"), text_col)
     known = written(texts.mapInArrow(sets, "id long, set binary").distinct(), "sets")
-    left = pairs.join(known.select(F.col("id").alias("u"), F.col("set").alias("su")), "u")
-    both = left.join(known.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v").select("u", "v", "su", "sv")
+    # neither the pairs nor the sets have a proven bound: no broadcast, at any size
+    left = pairs.join(known.select(F.col("id").alias("u"), F.col("set").alias("su")).hint("merge"), "u")
+    both = left.join(known.select(F.col("id").alias("v"), F.col("set").alias("sv")).hint("merge"), "v").select("u", "v", "su", "sv")
     found = both.mapInArrow(common, "u long, v long, nu long, nv long, common long")
     return found
 

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import held, two_level_rank, written
+from prefloom.llm.common import held, lean, two_level_rank, written
 
 CAPACITY = 2048
 #: texts of these characters only are cut at white space, and every part is tokenized once per
@@ -40,7 +40,7 @@ CAPACITY = 2048
 _PLAIN = re.compile(r"[\t\n\r -~¡-¬®-ÿ]*")
 # fixed value: the tokenizer's own word pattern
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_CACHE_ENTRIES = 600_000  # in each of two generations
+_CACHE_ENTRIES = 400_000  # in each of two generations
 
 
 def _byte_letters() -> dict[int, int]:
@@ -110,8 +110,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text_col:
     key_field = f"`{key}` {dict(docs.dtypes)[key]}"
     step = 4 * capacity
 
+    @lean
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             rows: list[list] = [[], [], [], [], [], []]
             for i, buf in enumerate(token_bytes(b.column(text_col).to_pylist(), tokenizer_path)):
                 for k, at in enumerate(range(0, len(buf), step)):
@@ -184,6 +186,8 @@ def place(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Data
     ranked = two_level_rank(bucketed, ["length"], "_b", ["salt", key, "piece"], "_rank").drop("_b", "salt")
     own = [f for f in ranked.schema.fields if f.name != "_rank"]
 
+    @lean
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = known.value
         bits = np.int64(48)

@@ -27,7 +27,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from string import ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import written
+from prefloom.llm.common import held, lean, written
 
 SAMPLE = 12_000
 CANDIDATES = 50_000
@@ -64,8 +65,10 @@ tú ti tuyo tuya usted ustedes vosotros vos
 """.split())
 
 _TOKEN = re.compile(r"[^\W_]+(?:[@$!|*0-9]+[^\W\d_]+)*")
-_MIXED = re.compile(r"[^\W\d_][@$!|*0-9]+[^\W\d_]|(?<![^\W_])(?:[^\W\d_][.*_-]){3,}[^\W\d_](?![^\W_])")
-_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
+_SIGN = re.compile(r"[@$!|*0-9]")
+_MIXED = re.compile(r"[@$!|*0-9]+[^\W\d_]")
+_DOTTED = re.compile(r"[.*_-][^\W\d_][.*_-][^\W\d_]")
+_CAPITAL_RUN = re.compile(r"[A-Z]{2,}")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": ""})
 _NEAR = 6
 FEATURES = ("insults", "learned_weight", "learned", "learned_most", "learned_count", "learned_kinds", "near_second_person", "second_person",
@@ -75,7 +78,7 @@ FEATURES = ("insults", "learned_weight", "learned", "learned_most", "learned_cou
 def words_of(text: str) -> list[str]:
     """Lower-case words, with digits and signs inside words read as the letters they stand for."""
     out = _TOKEN.findall(text.lower())
-    return [w if w.isalpha() else w.translate(_LEET) for w in out]
+    return [w if w.isalpha() else w.translate(_LEET) for w in out] if _SIGN.search(text) else out
 
 
 def stems(word: str) -> list[str]:
@@ -83,30 +86,43 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in (4, 5, 6) if len(word) > n)]
 
 
-def text_features(text: str, lexicon: dict[str, float]) -> list[float]:
+class Lexicon(dict):
+    """Weights of stems; ``heads`` are the stems' first four letters, a cheap first test."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__(weights)
+        self.heads = {s[:4] for s in weights}
+
+    def weight(self, word: str) -> float:
+        return max((self[s] for s in stems(word) if s in self), default=0.0)
+
+
+def _stretched(text: str) -> int:
+    """Places where a letter stands three times in a row (by bytes)."""
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    same = raw[1:] == raw[:-1]
+    return int((same[1:] & same[:-1] & (raw[2:] >= 65)).sum()) if len(raw) > 2 else 0
+
+
+def text_features(text: str, lexicon: Lexicon) -> list[float]:
     words = words_of(text)
     if not words:
         return [0.0] * len(FEATURES)
     n, chars = len(words), len(text)
     kinds = Counter(words)
-    weight = {}
-    for w in kinds:
-        own = [lexicon[s] for s in stems(w) if s in lexicon]
-        if own:
-            weight[w] = max(own)
-    insults = {w for w in kinds if w in INSULTS}
+    heads = lexicon.heads
+    weight = {w: v for w in kinds if w[:4] in heads and (v := lexicon.weight(w))}
+    insults = kinds.keys() & INSULTS
+    second_person = kinds.keys() & SECOND_PERSON
     hits = sum(kinds[w] for w in weight)
     near = 0
-    if (insults or weight) and not SECOND_PERSON.isdisjoint(kinds):
-        last = -n
-        places = [i for i, w in enumerate(words) if w in weight or w in insults]
-        second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-        at = 0
-        for i in places:
+    if (insults or weight) and second_person:
+        last, at = -n, 0
+        second = [i for i, w in enumerate(words) if w in second_person]
+        for i in [i for i, w in enumerate(words) if w in weight or w in insults]:
             while at < len(second) and second[at] <= i:
                 last, at = second[at], at + 1
             near += i - last <= _NEAR or (at < len(second) and second[at] - i <= _NEAR)
-    raw = text.split()
     return [
         sum(kinds[w] for w in insults) / n,
         sum(v * kinds[w] for w, v in weight.items()) / n,
@@ -115,13 +131,13 @@ def text_features(text: str, lexicon: dict[str, float]) -> list[float]:
         math.log1p(hits),
         math.log1p(len(weight)),
         near / n,
-        sum(kinds[w] for w in SECOND_PERSON & kinds.keys()) / n,
-        sum(map(str.isupper, text)) / chars,
-        sum(len(w) > 1 and w.isupper() for w in raw) / n,
+        sum(kinds[w] for w in second_person) / n,
+        sum(map(text.count, ascii_uppercase)) / chars,
+        len(_CAPITAL_RUN.findall(text)) / n,
         text.count("!") / chars,
-        sum(text.count(c) for c in ".,;:?!*#@$%&") / chars,
-        len(_MIXED.findall(text)) / n,
-        len(_STRETCHED.findall(text)) / n,
+        sum(map(text.count, ".,;:?!*#@$%&")) / chars,
+        (len(_MIXED.findall(text)) + len(_DOTTED.findall(text))) / n,
+        _stretched(text) / n,
         math.log1p(n),
         chars / n,
     ]
@@ -146,6 +162,8 @@ def learn_lexicons(sample: DataFrame, size: int = LEXICON) -> list[dict[str, flo
     """Log-odds weights of stems: for each fold f a lexicon learned without it, then one of all."""
     sc = sample.sparkSession.sparkContext
 
+    @lean
+
     def toxic_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for fold, text in zip(b.column("fold").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -159,6 +177,8 @@ def learn_lexicons(sample: DataFrame, size: int = LEXICON) -> list[dict[str, flo
     toxic = np.array([[r[f"n{f}"] for f in range(FOLDS)] for r in top], dtype=np.int64).reshape(-1, FOLDS)
     known = sc.broadcast({s: i for i, s in enumerate(names)})
 
+    @lean
+
     def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = known.value
         counts = np.zeros((len(index), FOLDS), dtype=np.int64)
@@ -187,17 +207,20 @@ def learn_lexicons(sample: DataFrame, size: int = LEXICON) -> list[dict[str, flo
     return [lexicon([g for g in range(FOLDS) if g != f]) for f in range(FOLDS)] + [lexicon(list(range(FOLDS)))]
 
 
-def _featured(df: DataFrame, text_col: str, lexicons: list[dict[str, float]], fold: str | None) -> DataFrame:
+def _featured(df: DataFrame, text_of: Callable[[pa.RecordBatch], pa.Array], lexicons: list[dict[str, float]], fold: str | None) -> DataFrame:
     """``df`` with an array column ``_f``; by the lexicon of ``fold``, or the last."""
-    known = df.sparkSession.sparkContext.broadcast(lexicons)
+    known = df.sparkSession.sparkContext.broadcast([Lexicon(x) for x in lexicons])
     names = df.columns
 
+    @lean
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity", dict)  # a worker that served another operator drops its tables
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 folds = b.column(fold).to_pylist() if fold else [-1] * b.num_rows
-                rows = [text_features(t or "", known.value[f]) for t, f in zip(b.column(text_col).to_pylist(), folds, strict=True)]
+                rows = [text_features(t or "", known.value[f]) for t, f in zip(text_of(b).to_pylist(), folds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*names, "_f"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -215,9 +238,9 @@ class ToxicityModel:
         if self.trees is None:
             return df.withColumn(out, F.lit(float(self.prior)))
         kept = [c for c in df.columns if c != out]
-        # under another name, as the models add columns of their own
-        inner = df.select(F.struct(*kept).alias("_row"), F.col(text_col).alias("_text"))
-        scored = _raw(self.trees, _featured(inner, "_text", [self.lexicon], None))
+        # under one name, as the models add columns of their own
+        inner = df.select(F.struct(*kept).alias("_row"))
+        scored = _raw(self.trees, _featured(inner, lambda b: b.column(0).field(text_col), [self.lexicon], None))
         scored = self.isotonic.transform(scored)
         value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_iso") * 0.999 + F.col("_p") * 0.001))
         return scored.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], value.alias(out))
@@ -237,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     if not counts.get(0) or not counts.get(1):
         return ToxicityModel(prior)
     lexicons = learn_lexicons(rows)
-    featured = _featured(rows, "text", lexicons, "fold").select("_f", "fold", F.col("label").cast("double").alias("_y"))
+    featured = _featured(rows, lambda b: b.column("text"), lexicons, "fold").select("_f", "fold", F.col("label").cast("double").alias("_y"))
     featured = written(featured, "toxicity-features").withColumn("_vector", array_to_vector("_f"))
     held = F.col("fold") == FOLDS - 1
     kinds = {(r["held"], r["_y"]) for r in featured.select(held.alias("held"), "_y").distinct().collect()}
@@ -250,13 +273,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
 
 
 def held_out(id_: Column) -> Column:
-    """Rows whose labels are never learned from."""
-    return F.crc32(id_.cast("string").cast("binary")) % 4 == 2
+    """Rows whose labels are never learned from (a null id is none of them)."""
+    return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
-    model = fit(docs, labels, ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    model = fit(docs, labels, ~held_out(F.col("doc_id")))
     scored = model.score(docs, "text")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import written
+from prefloom.llm.common import lean, written
 from prefloom.session import scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
@@ -96,6 +96,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     revisit = (F.octet_length("html") >= revisit_from) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     rows = src.join(first, "sha").select("id", "url", "html", "first", revisit.alias("revisit"))
 
+    @lean
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
             for b in batches:
@@ -210,6 +212,8 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
               ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64())]
     schema = pa.schema([x for x in fields if payload or x[0] != "payload"])
 
+    @lean
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
