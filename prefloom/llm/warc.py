@@ -9,6 +9,8 @@ Reader: a file is cut into byte ranges. A task looks for gzip magic from its ran
 validates a candidate by decoding its header (``WARC/1.``, a complete header block of the
 stated length) and by what follows the member (the end of the file or another magic), and owns
 every record that starts inside its range; the last may end beyond it. No index is needed.
+Records of any type and writer are returned (gzip member a record); headers that are not there are null.
+A payload is what follows the HTTP header as stored; transfer and content codings are not undone.
 
 Archives are opened by path in the tasks: local or mounted paths directly, other schemes
 through pyarrow's file systems.
@@ -24,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -152,8 +155,8 @@ def _member(src: _Bytes, at: int) -> tuple[bytes, int] | None:
     end = pos - len(unpack.unused_data)
     data = b"".join(parts)
     head, mark, rest = data.partition(b"\r\n\r\n")
-    length = [x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    if not (data.startswith(b"WARC/1.") and mark and length and len(rest) == int(length[0].split(b":")[1]) + 4):
+    length = _whole(_headers(head).get("content-length"))
+    if not (data.startswith(b"WARC/1.") and mark and length is not None and len(rest) == length + 4):
         return None
     follows = src.get(end, 3)
     return (data, end) if not follows or follows == MAGIC else None
@@ -186,30 +189,59 @@ def records_in(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             return
 
 
+def _headers(block: bytes) -> dict[str, str]:
+    """Fields of a header block by lower-case name: any space around the colon, folded lines joined."""
+    lines: list[str] = []
+    for x in block.decode("utf-8", "replace").split("\r\n")[1:]:
+        if x[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + x.strip()
+        elif ":" in x:
+            lines.append(x)
+    return {k.strip(" \t").lower(): v.strip(" \t") for k, v in (x.split(":", 1) for x in reversed(lines))}
+
+
+def _page(name: str | None) -> int | None:
+    """The page id of a record id of this module's writer; null for any other."""
+    own = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
+    return int(own[1]) if own else None
+
+
+def _whole(value: str | None) -> int | None:
+    return int(value) if value and value.isascii() and value.isdigit() else None
+
+
 def parse(data: bytes) -> dict:
-    """Fields of a decoded record."""
+    """Fields of a decoded record of any type; what its headers do not state is null."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    h = {k.lower(): v for k, v in (x.split(": ", 1) for x in head.decode().split("\r\n")[1:])}
-    page = lambda k: int(x) if (x := h.get(k, "")[10:-1]) else None
-    revisit = h["warc-type"] == "revisit"
-    payload = rest[: int(h["content-length"])].partition(b"\r\n\r\n")[2]
+    h = _headers(head)
+    kind = h.get("warc-type")
+    revisit = kind == "revisit"
+    body = rest[: int(h["content-length"])]
+    http = h.get("content-type", "").lower().startswith("application/http")
+    payload = body.partition(b"\r\n\r\n")[2] if http else body
+    stated = h.get("warc-payload-digest")
     return {
-        "page_id": page("warc-record-id"), "url": h["warc-target-uri"], "record_type": h["warc-type"],
+        "page_id": _page(h.get("warc-record-id")), "url": h.get("warc-target-uri"), "record_type": kind,
         "payload": None if revisit else payload,
-        "payload_bytes": int(h["x-payload-length"]) if revisit else len(payload),
-        "payload_digest": h["warc-payload-digest"][5:] if revisit else base32_sha1(payload),
-        "refers_to": page("warc-refers-to") if revisit else None,
+        "payload_bytes": _whole(h.get("x-payload-length")) if revisit else len(payload),
+        # as stated in a revisit (without the name of SHA-1), computed from any other payload
+        "payload_digest": (re.sub(r"(?i)^sha1:", "", stated) if stated else None) if revisit else base32_sha1(payload),
+        "refers_to": _page(h.get("warc-refers-to")) if revisit else None,
+        "record_id": h.get("warc-record-id"), "refers_to_id": h.get("warc-refers-to"),
     }
 
 
 def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
     """Records of ``files`` (path, bytes): page_id, url, record_type, payload (null in a
-    revisit), payload_bytes, payload_digest, refers_to, path, offset."""
+    revisit), payload_bytes, payload_digest, refers_to, path, offset, record_id, refers_to_id.
+    ``page_id`` and ``refers_to`` are null but for ids of this module's writer; the ids as
+    written are ``record_id`` and ``refers_to_id``."""
     ranges = files.filter(F.col("bytes") > 0).select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.withColumn("end", F.least("bytes", F.col("start") + split_bytes)).drop("bytes")
     n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0]
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
-              ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64())]
+              ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()),
+              ("record_id", pa.string()), ("refers_to_id", pa.string())]
     schema = pa.schema([x for x in fields if payload or x[0] != "payload"])
 
     @lean
@@ -227,7 +259,7 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
                             rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    ddl = "page_id long, url string, record_type string, " + "payload binary, " * payload + "payload_bytes long, payload_digest string, refers_to long, path string, offset long"
+    ddl = "page_id long, url string, record_type string, " + "payload binary, " * payload + "payload_bytes long, payload_digest string, refers_to long, path string, offset long, record_id string, refers_to_id string"
     return ranges.repartition(int(max(1, n or 0))).mapInArrow(run, ddl)
 
 

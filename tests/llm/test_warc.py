@@ -76,3 +76,26 @@ def test_broken_file():
 
 def test_empty(spark):
     assert warc.query(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_an_archive_of_another_writer(spark, tmp_path):
+    """warcinfo without a target, request, uuid ids, other header spacing, a revisit without lengths."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    records = [
+        (b"warc-type:warcinfo\r\nWARC-Record-ID:<urn:uuid:0>\r\nContent-Type: application/warc-fields", b"software: x\r\n\r\nformat: WARC\r\n"),
+        (b"WARC-Type:  request\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x/\r\nContent-Type:application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"),
+        (b"WARC-Type: response\r\nWARC-Record-ID:\t<urn:uuid:2>\r\nWARC-Target-URI: http://x/?a:b\r\nContent-Type: application/http;\r\n msgtype=response", http + b"<p>one</p>"),
+        (b"WARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Refers-To: <urn:uuid:2>\r\nContent-Type: application/http\r\nWARC-Payload-Digest: sha1:ABC", http),
+        (b"WARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:4>", b""),
+        (b"WARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:5>", b""),
+    ]
+    data = b"".join(gzip.compress(b"WARC/1.0\r\n" + head + b"\r\nContent-Length :%d\r\n\r\n" % len(body) + body + b"\r\n\r\n") for head, body in records)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(str(tmp_path / "a.warc.gz"), len(data))], "path string, bytes long")
+    for split in (150, 1 << 20):
+        got = {r["record_id"]: r for r in warc.read_warc(files, split_bytes=split).collect()}
+        assert [got[f"<urn:uuid:{i}>"]["record_type"] for i in range(6)] == ["warcinfo", "request", "response", "revisit", "metadata", "revisit"]
+        assert [got[f"<urn:uuid:{i}>"]["url"] for i in range(4)] == [None, "http://x/", "http://x/?a:b", None]
+        assert [got[f"<urn:uuid:{i}>"]["payload"] for i in range(6)] == [records[0][1], b"", b"<p>one</p>", None, b"", None]
+        assert (got["<urn:uuid:3>"]["refers_to_id"], got["<urn:uuid:3>"]["payload_digest"], got["<urn:uuid:3>"]["payload_bytes"]) == ("<urn:uuid:2>", "ABC", None)
+        assert got["<urn:uuid:5>"]["payload_digest"] is None and all(r["page_id"] is None and r["refers_to"] is None for r in got.values())
