@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK
+from helpers import SF_CHECK
 from prefloom.operators import evaluation as ev
 from prefloom.operators import runs as G
 from prefloom.operators.candidates import fan_out, generate_candidates, judge_candidates

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK, rows
+from helpers import SF_CHECK, rows
 from prefloom.operators.pairs import build_pairs, generation_stats, pair_outcomes
 from prefloom.operators.prep import deduplicate, filter_by_length, validate_format
 from prefloom.operators.split import stratified_split, train_val_split
@@ -136,7 +136,7 @@ def test_partition_independence(spark, name):
     """Same rows with 1 shuffle partition (AQE off) as with 8 (AQE on)."""
     import __spark_entry__ as E
 
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
 
     q = E.queries()[name]
     base = sorted(map(tuple, q(spark, SF_SMALL).collect()), key=str)

@@ -4,7 +4,7 @@ scans read only the columns they need."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from prefloom.plans import registry
 
 HOOKS = {"generate_candidates", "judge_candidates", "compute_reward"}  # the only Python operators

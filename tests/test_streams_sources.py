@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import SF_CHECK, SF_SMALL
+from helpers import SF_CHECK, SF_SMALL
 from prefloom.plans import fixtures as FX
 from prefloom.sources import readers, sinks
 from prefloom.streaming import jobs as ST
