@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import decontaminate, jaccard, licenses, linedup, packing, shard, simhash, suffix, topk, toxicity, warc
+from prefloom.llm import alignment, decontaminate, divergence, jaccard, licenses, linedup, packing, shard, simhash, suffix, topk, toxicity, warc
 from prefloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,9 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": lambda s, d: suffix.query(table(s, d, "documents")),
     "op9_warc": lambda s, d: warc.query(table(s, d, "pages")),
     "op10_exact_top_k": lambda s, d: topk.query(table(s, d, "embeddings")),
+    "op11_tokenizer_alignment": lambda s, d: alignment.query(table(s, d, "documents")),
     "op12_simhash_near_dedup": lambda s, d: simhash.query(table(s, d, "documents")),
+    "op13_source_divergence": lambda s, d: divergence.query(table(s, d, "documents")),
 }
 
 ORACLE: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE: dict[str, str] = {
     "op7_line_dedup": linedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_exact_top_k": topk.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
