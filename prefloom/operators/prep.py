@@ -1,7 +1,7 @@
 """Cleaning, dedup, filters, validation and format conversion.
 
 Everything is a projection or predicate fused into whole-stage codegen, except
-:func:`deduplicate`, which is one shuffle on the md5 key with a map-side group limit.
+:func:`deduplicate`: one narrow aggregation by the md5 key and one join on the ordinal.
 Column choice by presence (``example.get(a, example.get(b))``) is decided at plan
 time from ``df.columns``.
 """
@@ -39,16 +39,25 @@ def clean_columns(df: DataFrame, cols=CLEAN_COLUMNS) -> DataFrame:
     return df.withColumns({c: clean_text(c) for c in present}) if present else df
 
 
-def deduplicate(df: DataFrame, key: str = "prompt", order: str = "ord") -> DataFrame:
+def first_rows(keys: DataFrame, order: str = "ord", key: str = "_key") -> DataFrame:
+    """(key, _first): each key's least ordinal, from a table that has the key as a column."""
+    return keys.groupBy(key).agg(F.min(order).alias("_first"))
+
+
+def deduplicate(df: DataFrame, key: str = "prompt", order: str = "ord", unique_order: bool = True) -> DataFrame:
     """key = md5(strip(key).lower()); the first row in input order wins.
 
     The winners' ordinals come from a narrow aggregation (key and ``order`` only, reduced
     on every map task, so a key with a third of all rows is one row per task); the rows
-    meet them by an equi-join. No text is sorted. ``order`` is unique within a key (the
-    readers' ordinal), so exactly one row per key stays.
+    meet them by an equi-join. No text is sorted, and a key is computed once per row: the readers'
+    ordinal is unique, so the other side of the join needs no key. For an order that
+    repeats between keys, or is NULL, pass ``unique_order=False``: the join then compares keys too.
     """
+    if unique_order:
+        first = first_rows(df.select(dedup_key(key).alias("_key"), F.col(order)), order)
+        return df.join(first.select(F.col("_first").alias(order)), order, "left_semi").select(*df.columns)
     keyed = df.withColumn("_key", dedup_key(key))
-    first = keyed.groupBy("_key").agg(F.min(order).alias("_first")).withColumnRenamed("_key", "_k")
+    first = first_rows(keyed.select("_key", order), order).withColumnRenamed("_key", "_k")
     same = keyed["_key"].eqNullSafe(first["_k"]) & keyed[order].eqNullSafe(first["_first"])
     return keyed.join(first, same, "left_semi").drop("_key")
 
@@ -106,28 +115,22 @@ def require_columns(df: DataFrame, cols=DPO_FIELDS) -> DataFrame:
     return df
 
 
-def filter_report(df: DataFrame, key: str = "prompt", order: str = "ord",
-                  prompt_bounds=PROMPT_BOUNDS, response_bounds=RESPONSE_BOUNDS, fields=DPO_FIELDS) -> DataFrame:
-    """rows in/out and removed percent for dedup -> length -> validate.
+def stage_flags(df: DataFrame, key: str = "prompt", order: str = "ord", prompt_bounds=PROMPT_BOUNDS,
+                response_bounds=RESPONSE_BOUNDS, fields=DPO_FIELDS) -> dict[str, Column]:
+    """What the stages D1, F1 and F2 decide by, each computed once per row: the key, the
+    order, and whether the row is in bounds (``_len``) and valid (``_valid``)."""
+    return {"_key": dedup_key(key), "_order": F.col(order), "_len": length_ok(df, prompt_bounds, response_bounds, key),
+            "_valid": valid_format(df, fields)}
 
-    The input count and the deduplicated rows (with one boolean per later stage) are
-    unioned and counted in a single aggregate, instead of one count action per stage.
-    """
-    kept = deduplicate(df, key, order)
-    flags = kept.select(
-        F.lit(1).alias("_src"),
-        length_ok(kept, prompt_bounds, response_bounds, key).alias("_len"),
-        valid_format(kept, fields).alias("_valid"),
-    )
-    allr = df.select(F.lit(0).alias("_src"), F.lit(None).cast("boolean").alias("_len"),
-                     F.lit(None).cast("boolean").alias("_valid"))
-    src = F.col("_src")
-    a = allr.unionByName(flags).agg(
-        F.count_if(src == 0).alias("n0"),
-        F.count_if(src == 1).alias("n1"),
-        F.count_if((src == 1) & F.col("_len")).alias("n2"),
-        F.count_if((src == 1) & F.col("_len") & F.col("_valid")).alias("n3"),
-    )
+
+def flags_report(flags: DataFrame) -> DataFrame:
+    """F5 from a table of :func:`stage_flags`: one aggregation by key (count, and the flags of
+    the row that D1 keeps), then one over the keys."""
+    kept = F.min(F.struct(F.col("_order").isNull(), "_order", "_len", "_valid")).alias("_kept")
+    keys = flags.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), kept)
+    ok, valid = F.col("_kept._len"), F.col("_kept._valid")
+    a = keys.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n0"), F.count(F.lit(1)).alias("n1"),
+                 F.count_if(ok).alias("n2"), F.count_if(ok & valid).alias("n3"))
 
     def stage(no, name, a_in, a_out):
         return F.struct(F.lit(no).alias("stage_no"), F.lit(name).alias("stage"),
@@ -142,6 +145,13 @@ def filter_report(df: DataFrame, key: str = "prompt", order: str = "ord",
     )
 
 
+def filter_report(df: DataFrame, key: str = "prompt", order: str = "ord",
+                  prompt_bounds=PROMPT_BOUNDS, response_bounds=RESPONSE_BOUNDS, fields=DPO_FIELDS) -> DataFrame:
+    """rows in/out and removed percent for dedup -> length -> validate, from one scan of
+    the input (its ordinals are unique, as D1's)."""
+    return flags_report(df.select(*[c.alias(n) for n, c in stage_flags(df, key, order, prompt_bounds, response_bounds, fields).items()]))
+
+
 # --- format conversion -------------------------------------------------------
 
 def format_for_sft(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from prefloom.operators import prep
 from prefloom.operators.candidates import fan_out, generate_candidates, judge_candidates
 from prefloom.operators.pairs import build_pairs, generation_stats, pair_outcomes
 from prefloom.operators.split import train_val_split
+from prefloom.sources.sinks import persist as _persist
 
 # --- fixed values -----------------------------------------------------------
 VAL_RATIO, SEED = 0.1, 42
@@ -25,17 +26,31 @@ PAIRS_TABLE = ["prompt", "chosen", "rejected", "chosen_score", "rejected_score",
 # ---------------------------------------------------------------------------
 
 
+def cleaned_rows(df: DataFrame, order: str = "ord") -> DataFrame:
+    """P2 with everything that L1's later stages decide by, in one projection: the cleaned rows,
+    a row number (fixed once the table is written), the stage flags and a content hash."""
+    x = prep.clean_columns(df)
+    return x.withColumns({**prep.stage_flags(x, order=order), "_sig": F.xxhash64(*x.columns), "_row": F.monotonically_increasing_id()})
+
+
 def process_preference_data(df: DataFrame, val_ratio: float = VAL_RATIO, seed: int = SEED,
-                            order: str = "ord", key: str | None = None) -> DataFrame:
+                            order: str = "ord", key: str | None = None, cleaned: DataFrame | None = None) -> DataFrame:
     """L1: clean -> dedup(prompt) -> length filter -> validate -> DPO format -> split.
-    Dedup precedes the length filter (a short first copy removes a later good copy)."""
-    x = prep.clean_columns(df)
-    x = prep.deduplicate(x, key="prompt", order=order)
-    x = prep.filter_by_length(x)
-    x = prep.validate_format(x, prep.DPO_FIELDS)
-    x = prep.format_for_dpo(x)
-    # dedup is a shuffle: checkpoint once before the split's three passes
-    return train_val_split(x, ratio=val_ratio, seed=seed, key=key or order, materialize=True)
+    Dedup precedes the length filter (a short first copy removes a later good copy).
+
+    The cleaned rows are written once (``cleaned``, if the caller has them already). Dedup,
+    filters and split read only their narrow columns (key, order, flags); one join by row
+    number brings the survivors' split back to the texts.
+    """
+    rows = cleaned if cleaned is not None else _persist(cleaned_rows(df, order), "cleaned")
+    key = key or order
+    narrow = rows.select("_row", "_key", "_order", "_sig", F.col(key).alias("_by"), (F.col("_len") & F.col("_valid")).alias("_ok"))
+    first = prep.first_rows(narrow, "_order").withColumnRenamed("_key", "_k")
+    same = narrow["_key"].eqNullSafe(first["_k"]) & narrow["_order"].eqNullSafe(first["_first"])
+    kept = narrow.join(first, same, "left_semi").where("_ok").select("_row", "_by", "_sig")
+    kept = train_val_split(kept, ratio=val_ratio, seed=seed, key="_by", materialize=True, tie=["_sig"])
+    out = rows.select(*df.columns, "_row").join(kept.select("_row", "split"), "_row").drop("_row")
+    return prep.format_for_dpo(out)
 
 
 def process_sft_data(df: DataFrame, val_ratio: float = VAL_RATIO, seed: int = SEED, key: str = "ord") -> DataFrame:
@@ -72,8 +87,6 @@ def preference_pipeline(prompts: DataFrame, generate: Callable, judge: Callable,
     twice for one candidate; ``persist=False`` keeps everything lazy. Returns (pairs, stats).
     """
     if persist is None or persist is True:
-        from prefloom.sources.sinks import persist as _persist
-
         persist = _persist
     elif persist is False:
         persist = None
@@ -107,11 +120,12 @@ def process_preference_job(spark, input_path: str, output_path: str, val_ratio:
     df = read_dataset(spark, input_path, fmt)
     if "ord" not in df.columns:
         df = with_ordinal(df)
-    out = process_preference_data(df, val_ratio=val_ratio, seed=seed)
+    cleaned = _persist(cleaned_rows(df), "cleaned")
+    out = process_preference_data(df, val_ratio=val_ratio, seed=seed, cleaned=cleaned)
     write_dataset(out, output_path)
     written = spark.read.schema(out.schema).parquet(output_path)   # schema given: works when empty
     write_processing_stats(written, f"{output_path.rstrip('/')}_stats")
-    write_rows(prep.filter_report(prep.clean_columns(df)), f"{output_path.rstrip('/')}_stages")
+    write_rows(prep.flags_report(cleaned), f"{output_path.rstrip('/')}_stages")
     return written
 
 

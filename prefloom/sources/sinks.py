@@ -17,7 +17,7 @@ def persist(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     files instead of recomputing (e.g. calling a model again)."""
     p = path or scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(p)
-    return df.sparkSession.read.parquet(p)
+    return df.sparkSession.read.schema(df.schema).parquet(p)  # schema given: works when empty
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:

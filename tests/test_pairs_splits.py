@@ -94,26 +94,27 @@ def test_length_and_validity(spark):
     assert validate_format(filter_by_length(df)).count() == 1
 
 
-@pytest.mark.parametrize("n,ratio,digits", [(1000, 0.1, 4), (997, 0.05, 1), (30, 0.1, 1), (5, 0.5, 2), (1, 0.1, 4)])
-def test_exact_split(spark, n, ratio, digits):
+@pytest.mark.parametrize("n,ratio,bound", [(1000, 0.1, 1 << 16), (997, 0.05, 3), (30, 0.1, 1), (5, 0.5, 2), (1, 0.1, 1), (40, 1.0, 1), (40, 0.0, 1), (0, 0.1, 1)])
+def test_exact_split(spark, n, ratio, bound):
     import hashlib
 
     df = spark.range(n).withColumnRenamed("id", "ord").repartition(4)
-    out = train_val_split(df, ratio=ratio, seed=42, key="ord", digits=digits)
+    out = train_val_split(df, ratio=ratio, seed=42, key="ord", bound=bound)
     got = {r.ord: r.split for r in out.collect()}
     need = math.ceil(n * ratio)
     assert len(got) == n
     assert sum(v == "validation" for v in got.values()) == need
     order = sorted(range(n), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
     assert {k for k in order[:need]} == {k for k, v in got.items() if v == "validation"}
-    again = {r.ord: r.split for r in train_val_split(df.repartition(7), ratio, 42, "ord", digits).collect()}
+    again = {r.ord: r.split for r in train_val_split(df.repartition(7), ratio, 42, "ord", bound).collect()}
     assert again == got
 
 
-def test_stratified_split_totals(spark):
+@pytest.mark.parametrize("bound", [1, 1 << 16])
+def test_stratified_split_totals(spark, bound):
     data = [(i, ["a", "b", "c"][i % 3] if i < 200 else "a") for i in range(1001)]
     df = spark.createDataFrame(data, "ord long, s string")
-    out = stratified_split(df, by="s", ratio=0.1, digits=1)
+    out = stratified_split(df, by="s", ratio=0.1, bound=bound)
     val = out.where("split = 'validation'").groupBy("s").count().collect()
     assert sum(r["count"] for r in val) == math.ceil(1001 * 0.1)
     sizes = {r.s: r["count"] for r in df.groupBy("s").count().collect()}
@@ -162,12 +163,13 @@ def test_pair_strategies_agree(spark):
     assert a == b and len(a) > 0
 
 
-def test_stratified_split_matches_brute_force(spark):
+@pytest.mark.parametrize("bound", [1, 1 << 16])
+def test_stratified_split_matches_brute_force(spark, bound):
     import hashlib
 
     data = [(i, ["a", "b", "c", "d"][(i * 7) % 4] if i % 5 else "a") for i in range(777)]
     df = spark.createDataFrame(data, "ord long, s string").repartition(3)
-    got = {r.ord: r.split for r in stratified_split(df, by="s", ratio=0.1, digits=1).collect()}
+    got = {r.ord: r.split for r in stratified_split(df, by="s", ratio=0.1, bound=bound).collect()}
     sizes = {}
     for _, s in data:
         sizes[s] = sizes.get(s, 0) + 1
