@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import lean, two_level_rank, written
+from prefloom.llm.common import lean, root_buckets, two_level_rank, written
 
 LEAST_DOCS = 30
 PRIOR = 5
@@ -99,7 +99,7 @@ def _kept(counts: DataFrame, least_docs: int) -> DataFrame:
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
     kept = written(kept.drop("docs"), "kept-terms")
     # classes of frequency, each in parts by a hash: no task ranks a whole language
-    parts = kept.count() // 65_536 + 1
+    parts = root_buckets(kept.count()) // 8 + 1
     falling = -F.floor(16 * F.log2(F.col("total").cast("double")))
     kept = kept.withColumn("bucket", falling * parts + F.pmod(F.xxhash64("term"), F.lit(parts)))
     return two_level_rank(kept, ["lang"], "bucket", [F.desc("total"), F.asc("term")], "id").drop("bucket")
