@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from prefloom.sources.json_array import read_json_array
+
 PROMPTS_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("prompt", T.StringType()),
     T.StructField("category", T.StringType()), T.StructField("difficulty", T.StringType()),
@@ -80,21 +82,12 @@ def read_prompts(spark: SparkSession, path: str, fmt: str = "json_array") -> Dat
     if fmt == "parquet":
         return with_ordinal(spark.read.parquet(path))
     if fmt == "json_array":
-        return _json_array_ordinal(spark, path, PROMPTS_SCHEMA)
+        return read_json_array(spark, path, PROMPTS_SCHEMA)
     if fmt == "json_lines":
         return with_ordinal(spark.read.schema(PROMPTS_SCHEMA).option("mode", "FAILFAST").json(path))
     raise ValueError(f"unknown format {fmt!r}")
 
 
-def _json_array_ordinal(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
-    """Read a JSON array file as one value and ``posexplode`` it: position = order. One
-    file is one JSON document, hence one task; whoever does slow work on its rows spreads
-    them first (``generate_candidates`` and ``judge_candidates`` do)."""
-    raw = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", T.ArrayType(record), {"mode": "FAILFAST"})
-    return raw.select(F.posexplode(parsed).alias("ord", "r")).select(F.col("ord").cast("bigint").alias("ord"), "r.*")
-
-
 def prompts_from_qa(qa: DataFrame, n: int | None = None, order: str = "ord") -> DataFrame:
     """Fallback prompts from a Q/A set: ``id = gsm8k_{i}`` (0-based), category
     'gsm8k', difficulty 'medium'; with ``n`` the first n rows by ``order`` (the reference
@@ -124,11 +117,11 @@ def head_by_ordinal(df: DataFrame, n: int, order: str = "ord", dense: bool = Fal
 
 def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A saved directory (``parquet``, optionally in split folders), ``json_lines``, a
-    ``json_array`` file, or a catalog ``table``."""
+    ``json_array`` file (read in splits, with ``ord``), or a catalog ``table``."""
     if fmt == "table":
         return spark.read.table(path)
     if fmt == "json_array":
-        return spark.read.option("multiLine", "true").option("mode", "FAILFAST").json(path)
+        return read_json_array(spark, path)
     if fmt == "json_lines":
         return with_ordinal(spark.read.option("mode", "FAILFAST").json(path))
     if fmt != "parquet":
