@@ -5,15 +5,17 @@ A encodes a space and the text, B the text (it adds the space itself). Byte offs
 each ends cut both sequences into groups; the tokens that end there are linked. A pair's
 count is the number of its links in the corpus; its best partners are a B id's highest counts.
 
-1. Coarse cuts: A's tokens have character offsets, B's come as a proto with spans (``return_type
-   "proto"``; older releases call it the immutable proto). These give the tokens' ends.
-2. Refinement: where A's next token begins inside the same character, and for B's byte-fallback
-   tokens, the end is the one before plus the token's decoded bytes. The joined bytes of both are
+1. Coarse cuts: A's tokens have character offsets, and so have B's (``offset_mapping``: the spans
+   that older sentencepiece releases give by the immutable proto, which the installed one no longer has). Where all
+   characters of a part are single bytes these are the tokens' byte ends.
+2. Refinement: a part with multibyte characters, which byte-level and byte-fallback tokens may
+   split, takes its ends from the decoded bytes of the tokens. The joined bytes of both are
    compared with the text; a text that one of them changes has no tokens.
 3. Texts are cut before a space that follows anything but white space: A's word pattern always
    begins a word there, and no merge of B crosses it if no piece has a space after
    another character (looked up in the vocabulary; otherwise texts go whole). Every distinct
-   part is aligned once per worker (``_CACHE_ENTRIES``, two generations).
+   part is aligned once per worker (``_CACHE_ENTRIES``, two generations), with the marks at its
+   end apart if no piece of B joins a letter with a mark (A's pattern never does).
 4. Each document keeps its distinct pairs with their number, in a table in the shared folder.
    Pairs are counted over all documents from it, and counts come back to the documents in
    blocks of at most ``BLOCK`` pairs, each broadcast, used and released before the next.
@@ -30,6 +32,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +43,17 @@ from prefloom.llm.common import held, lean, written
 
 #: pairs of ids in one broadcast block (24 bytes each)
 BLOCK = 1 << 21
-_CACHE_ENTRIES = 250_000  # in each of two generations
+_CACHE_ENTRIES = 500_000  # in each of two generations
 _ROWS = 256
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= .)", re.S)
 _SPACE = "▁"
+_MARKS = "!#$%&()*,./:;?|-"
+#: a part that ends in ASCII marks after an ASCII or Latin letter, and pieces that would join the two
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_TAILED = re.compile(rf"(.*[{_LETTERS}])([{re.escape(_MARKS)}]{{1,8}})", re.S)
+_MIXED = re.compile(rf"[{_LETTERS}][{re.escape(_MARKS)}]")
+_TOGETHER = 5000
 
 
 def _byte_of() -> dict[str, int]:
@@ -75,51 +84,53 @@ class Aligner:
         self.is_byte = [self.b.is_byte(i) for i in range(self.size_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if byte else p.replace(_SPACE, " ").encode() for p, byte in zip(names, self.is_byte, strict=True)]
         self.cuts = not any(_SPACE in p.lstrip(_SPACE) for p in names)
+        self.marks = self.cuts and not any(_MIXED.search(p) for p, byte in zip(names, self.is_byte, strict=True) if not byte)
+        self.sizes_a, self.sizes_b = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         self.known: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
+        self.tails: dict[str, tuple | None] = {}
 
-    def ends_a(self, part: str, ids: list[int], offsets: list[tuple[int, int]]) -> list[int]:
-        """Byte ends of A's tokens from character offsets, refined inside characters."""
-        if part.isascii():
-            return [e for _, e in offsets]
-        at = np.cumsum([0, *(len(c.encode()) for c in part)]).tolist()
-        ends, last = [], 0
-        for k, (i, (_, e)) in enumerate(zip(ids, offsets, strict=True)):
-            inside = k + 1 < len(ids) and offsets[k + 1][0] < e
-            last = last + len(self.bytes_a[i]) if inside else at[e]
-            ends.append(last)
-        return ends
-
-    def ends_b(self, pieces: list) -> list[int]:
-        """Byte ends of B's tokens from the spans, shifted by the added space; byte-fallback
-        tokens by their decoded byte."""
-        ends, last = [], 0
-        for p in pieces:
-            last = last + 1 if self.is_byte[p.id] else p.end + 1
-            ends.append(last)
-        return ends
-
-    def align(self, part: str, of_a, of_b) -> tuple | None:
-        """(tokens of A, tokens of B, groups, links, their number) of a part that begins with a
-        space; None where a tokenizer changes its bytes."""
-        ids_a, pieces, raw = of_a.ids, of_b.pieces, part.encode()
-        ids_b = [p.id for p in pieces]
-        if b"".join([self.bytes_a[i] for i in ids_a]) != raw or b"".join([self.bytes_b[i] for i in ids_b]) != raw:
-            return None
-        a, b = self.ends_a(part, ids_a, of_a.offsets), self.ends_b(pieces)
-        groups, links, i, j = [], [], 0, 0
-        both = set(a).intersection(b)
-        for end in sorted(both):
-            i1, j1 = a.index(end, i) + 1, b.index(end, j) + 1
-            groups.append(f"{','.join(map(str, ids_a[i:i1]))}|{','.join(map(str, ids_b[j:j1]))}")
-            links.append(ids_a[i1 - 1] * self.size_b + ids_b[j1 - 1])
-            i, j = i1, j1
-        return len(ids_a), len(ids_b), ";".join(groups).encode(), np.array(links, dtype=np.int64).tobytes(), len(links)
+    def _ends(self, ids: np.ndarray, sizes: np.ndarray, part: np.ndarray, spans: list[int], plain: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Byte ends of the tokens of consecutive parts: the spans where all characters are single
+        bytes, elsewhere refined by the decoded bytes."""
+        return np.where(plain[part], base[part] + np.array(spans, dtype=np.int64), np.cumsum(sizes[ids]))
 
     def encoded(self, parts: list[str]) -> list[tuple | None]:
-        """Alignments of parts without their leading space."""
-        of_a = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        return [self.align(" " + p, x, y) for p, x, y in zip(parts, of_a, self.b.encode(parts, return_type="proto", num_threads=1), strict=True)]
+        """(tokens of A, tokens of B, groups, links, their number) of every part, given without the space
+        it begins with; None where a tokenizer changes its bytes."""
+        texts = [" " + p for p in parts]
+        of_a = self.a.encode_batch(texts, add_special_tokens=False)
+        of_b = self.b.encode(parts, return_type="offset_mapping", num_threads=1)
+        own_a, own_b, raw = [e.ids for e in of_a], [e["ids"] for e in of_b], [t.encode() for t in texts]
+        good = [b"".join([self.bytes_a[i] for i in x]) == r and b"".join([self.bytes_b[i] for i in y]) == r for x, y, r in zip(own_a, own_b, raw, strict=True)]
+        if not all(good):
+            kept = iter(self.encoded([p for p, g in zip(parts, good, strict=True) if g])) if any(good) else None
+            return [next(kept) if g else None for g in good]
+        n_a, n_b = [len(x) for x in own_a], [len(y) for y in own_b]
+        ids_a, ids_b = (np.array(list(chain.from_iterable(x)), dtype=np.int64) for x in (own_a, own_b))
+        part_a, part_b = np.repeat(np.arange(len(parts)), n_a), np.repeat(np.arange(len(parts)), n_b)
+        stop = np.cumsum([len(r) for r in raw])
+        base = np.r_[0, stop[:-1]]
+        plain = np.array([t.isascii() for t in texts])
+        ends_a = self._ends(ids_a, self.sizes_a, part_a, [e for x in of_a for _, e in x.offsets], plain, base)
+        ends_b = self._ends(ids_b, self.sizes_b, part_b, [e + 1 for x in of_b for _, e in x["offsets"]], plain, base)
+        ends, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+
+        links = ids_a[at_a] * self.size_b + ids_b[at_b]
+        upto = np.r_[0, np.searchsorted(ends, stop, "right")]  # groups before each part's end
+        data = links.tobytes()
+        # every token's text with what follows it, A's before B's in each group
+        group = [np.searchsorted(at, np.arange(len(ids))) for at, ids in ((at_a, ids_a), (at_b, ids_b))]
+        after = [np.zeros(len(ids), dtype=np.int64) for ids in (ids_a, ids_b)]
+        after[0][at_a] = 1
+        after[1][at_b] = 2
+        after[1][at_b[upto[1:] - 1]] = 3
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        mark = [",", "|", ";", "\n"]
+        pieces = [f"{i}{mark[m]}" for i, m in zip(np.concatenate([ids_a, ids_b])[order].tolist(), np.concatenate(after)[order].tolist(), strict=True)]
+        groups = "".join(pieces).encode().split(b"\n")
+        cut = upto.tolist()
+        return [(a, b, g, data[8 * x : 8 * y], y - x) for a, b, g, x, y in zip(n_a, n_b, groups, cut, cut[1:], strict=False)]
 
     def parts(self, text: str) -> list[str]:
         """The text's parts, each without the space it begins with."""
@@ -129,24 +140,56 @@ class Aligner:
             return text.split(" ")
         return [p[1:] for p in _CUT.split(" " + text)]
 
-    def aligned(self, text: str) -> list[tuple] | None:
-        parts = self.parts(text)
+    def _with_tail(self, core: tuple | None, tail: str) -> tuple | None:
+        """A part from its core, which ends in a letter, and the marks after it: neither tokenizer
+        joins a letter with a mark."""
+        if tail not in self.tails:
+            if (found := self.encoded(["a" + tail])[0]) is not None:  # without the group of its first letter
+                n_a, n_b, groups, links, n = found
+                found = (n_a - 1, n_b - 1, groups.partition(b";")[2], links[8:], n - 1)
+            self.tails[tail] = found
+        end = self.tails[tail]
+        return core and end and (core[0] + end[0], core[1] + end[1], core[2] + b";" + end[2], core[3] + end[3], core[4] + end[4])
+
+    def learn(self, parts: set[str]) -> None:
+        """Align the parts that are not known yet."""
         if len(self.known) > _CACHE_ENTRIES:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = []
-        for p in {p for p in parts if p not in known}:
+        new, tailed = set(), []
+        for p in parts:
+            if p in known:
+                continue
             if p in older:
                 known[p] = older[p]
+            elif self.marks and (m := _TAILED.fullmatch(p)):
+                tailed.append((p, m[1], m[2]))
+                if m[1] not in known:
+                    if m[1] in older:
+                        known[m[1]] = older[m[1]]
+                    else:
+                        new.add(m[1])
             else:
-                new.append(p)
-        for at in range(0, len(new), 1000):
-            known.update(zip(new[at : at + 1000], self.encoded(new[at : at + 1000]), strict=True))
-        found = [known[p] for p in parts]
-        if None in found:  # decided by the whole text
-            whole = self.encoded([text])[0]
-            return None if whole is None else [whole]
-        return found
+                new.add(p)
+        new = list(new)
+        for at in range(0, len(new), _TOGETHER):
+            some = new[at : at + _TOGETHER]
+            known.update(zip(some, self.encoded(some), strict=True))
+        for p, core, tail in tailed:
+            known[p] = self._with_tail(known[core], tail)
+
+    def aligned(self, texts: list[str | None]) -> list[list[tuple] | None]:
+        """The parts' alignments of every text, None for a text without tokens."""
+        parts = [self.parts(t) if t else [] for t in texts]
+        self.learn(set(chain.from_iterable(parts)))
+        known, out = self.known, []
+        for text, own in zip(texts, parts, strict=True):
+            found = [known[p] for p in own]
+            if None in found:  # decided by the whole text
+                whole = self.encoded([text])[0]
+                found = [] if whole is None else [whole]
+            out.append(found or None)
+        return out
 
 
 def default_paths() -> tuple[str, str]:
@@ -168,9 +211,7 @@ def aligned_documents(docs: DataFrame, paths: tuple[str, str], id_col: str = "do
         aligner = held(("aligner", paths), lambda: Aligner(*paths))
         for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             rows, texts, pairs, times = [], [], [], []
-            for t in b.column(1):
-                text = t.as_py()
-                found = aligner.aligned(text) if text else None
+            for found in aligner.aligned(b.column(1).to_pylist()):
                 n_a, n_b, own, links, n = zip(*(found or [empty]), strict=True)
                 own = b";".join(own)
                 pair, time = np.unique(np.frombuffer(b"".join(links), dtype=np.int64), return_counts=True)

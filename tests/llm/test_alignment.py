@@ -69,7 +69,8 @@ def got(df):
 
 ODD = ["a", " ", "  ", " a", "a ", "a  ", "  a   b  ", "a\nb \n c\n", "tab\tand\x0b \x0cform", "nbsp  x  y", "日本語 の テキスト", "😀 😀😃 a😀b", "é é ﬁ ½",
        "<|endoftext|> <s> </s> <unk> <0x0A>", "x ▁ y", "▁", "null\x00 byte", "don't I'll we've 'S", "a　 b", "Zürich   x", "\U0001f468‍\U0001f469‍\U0001f467 family",
-       "١٢٣ 123 १२३", "ẞß ſ", "\x1c \x1d x", "\u0085 x", "........ !!!!! ----", "https://a.b/c?d=e&f=%20", "​ ﻿ x", "अनुच्छेद ใช้ 한국어", "\x7f \x80\x81"]
+       "١٢٣ 123 १२३", "ẞß ſ", "\x1c \x1d x", "\u0085 x", "........ !!!!! ----", "https://a.b/c?d=e&f=%20", "​ ﻿ x", "अनुच्छेद ใช้ 한국어", "\x7f \x80\x81",
+       "end. End, (a) b!! c%%% d... é, ü! e-f g/h. i'j, x|y| 'tis it's. A.B. ..x *y* z*", "日本, テ. word日! naïve? Ω. ʰ, º!", "a.\nb, \nc!! d"]
 
 
 def test_odd_texts(docs, both):
