@@ -165,7 +165,8 @@ def distinct_n(responses: DataFrame, by=("group",), n: int = 4, hashed: bool = F
 
 def mode_collapse(responses: DataFrame, by=("group",), prompt: str = "prompt_id", text: str = "response") -> DataFrame:
     """G9 (our definition): share of responses whose normalised text (whitespace
-    collapsed, stripped, lower-cased) occurs under at least two prompts of the group."""
+    collapsed, stripped, lower-cased) occurs under at least two prompts of the group.
+    :func:`prefloom.operators.near.near_mode_collapse` counts nearly identical ones too."""
     norm = dedup_key(collapse_ws(text))
     x = responses.withColumn("_h", norm)
     per = x.groupBy(*by, "_h").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(prompt).alias("_p"))
