@@ -78,11 +78,12 @@ def close_windows(emitted: DataFrame, logs: DataFrame, **kw) -> DataFrame:
 
 
 def scored_stream(judged: DataFrame, ts: str = "ts", watermark: str = WATERMARK,
-                  keys=("prompt_id", "cand_idx")) -> DataFrame:
+                  keys=("prompt_id", "cand_idx"), keep: tuple[str, ...] = ()) -> DataFrame:
     """ST2: parse judge outputs (blank -> 'Empty response', error -> 'Judge error: ...')
-    and drop repeated deliveries of one (prompt_id, cand_idx) within the watermark."""
+    and drop repeated deliveries of one (prompt_id, cand_idx) within the watermark. ``keep``
+    names columns to carry on (with ``ts`` among them, a later operator goes on in event time)."""
     x = judged.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
-    return with_judge_scores(x, "judge_text", response="response", error="error").select(*keys, "score", "reason")
+    return with_judge_scores(x, "judge_text", response="response", error="error").select(*keys, "score", "reason", *keep)
 
 
 def run_available_now(df: DataFrame, name: str, output_mode: str = "append", base: str | None = None) -> DataFrame:
