@@ -110,8 +110,7 @@ FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, {_METHOD_SQL} AS method, co
       FROM events GROUP BY 1, 2) g""", digits=9)
 def q_stream_reward_monitor(spark, d):
     """The stream's closed windows and, at the end of the input, those still open."""
-    m = F.coalesce(FX._case("event_type", FX.METHOD_BY_EVENT), F.col("event_type"))
-    logs = lambda ev: ev.select("ts", m.alias("method"), "value")
+    logs = lambda ev: ev.select("ts", FX.event_method().alias("method"), "value")
     own = ST.stream_session(spark, _state_parts(spark))
     emitted = ST.run_available_now(ST.reward_monitor(logs(ST.read_table_stream(own, d, "events"))), "reward-monitor")
     path = emitted.inputFiles()

@@ -176,11 +176,15 @@ def predictions(spark, d) -> DataFrame:
 
 # --- events: run logs, beta sweep ----------------------------------------------------
 
+def event_method() -> F.Column:
+    return F.coalesce(_case("event_type", METHOD_BY_EVENT), F.col("event_type"))
+
+
 def run_logs(spark, d) -> DataFrame:
-    """(method, step, metric, value): method by event type, step = props.k, metric by user_id % 4."""
-    e = table(spark, d, "events").where(F.col("event_type").isin(*METHOD_BY_EVENT))
-    return e.select(
-        _case("event_type", METHOD_BY_EVENT).alias("method"),
+    """(method, step, metric, value): method by event type (types without one are methods of their
+    own), step = props.k, metric by user_id % 4."""
+    return table(spark, d, "events").select(
+        event_method().alias("method"),
         F.get_json_object("props", "$.k").cast("bigint").alias("step"),
         _by_index(F.col("user_id") % 4, RUN_METRICS).alias("metric"),
         F.col("value").cast("double").alias("value"),
@@ -209,8 +213,7 @@ def beta_results(spark, d) -> DataFrame:
 
 def method_resources(spark, d) -> DataFrame:
     """Per method: peak memory (GB), training minutes and final accuracy from the logs."""
-    e = table(spark, d, "events").where(F.col("event_type").isin(*METHOD_BY_EVENT))
-    return e.groupBy(_case("event_type", METHOD_BY_EVENT).alias("method")).agg(
+    return table(spark, d, "events").groupBy(event_method().alias("method")).agg(
         (F.max("value") / 25.0).alias("memory_gb"),
         F.count_distinct(F.get_json_object("props", "$.k")).cast("bigint").alias("training_time_min"),
         (F.avg("value") / BETA_VALUE_SCALE).alias("final_accuracy"),

@@ -34,6 +34,33 @@ def q_read_prompts(spark, d):
                  F.count_distinct("id").alias("ids"), F.sum(F.length("prompt")).alias("chars"))
 
 
+def _write_array(rows, path: str) -> None:
+    """``rows`` as one JSON array per file, without line breaks between the objects: the objects as
+    lines of a comma-separated text, in a file per partition."""
+    from pyspark.sql import Window
+
+    part = F.spark_partition_id()
+    lines = rows.select(part.alias("p"), F.monotonically_increasing_id().alias("i"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    lines = sinks.persist(lines, "array-lines")  # partition and number are fixed from here on
+    ends = lines.groupBy("p").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    x = lines.join(ends, "p").select("p", "i", F.concat(F.when(F.col("i") == F.col("lo"), "[").otherwise(","), "value", F.when(F.col("i") == F.col("hi"), "]").otherwise("")).alias("value"))
+    x.repartition("p").sortWithinPartitions("p", "i").select("p", "value").write.partitionBy("p").option("lineSep", " ").text(path)
+
+
+@query("read_prompts_array", """
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS ordinals, CAST(count(*) - 1 AS BIGINT) AS last, CAST(sum(length(text)) AS BIGINT) AS chars,
+       CAST(sum(length(text) - length(replace(replace(replace(text, '}', ''), '[', ''), chr(34), ''))) AS BIGINT) AS marks FROM documents""")
+def q_read_prompts_array(spark, d):
+    """S1, array form: whole documents as prompts, with brackets and quotes inside their strings."""
+    path = scratch_path(spark, "prompt-arrays")
+    docs = FX.documents(spark, d)
+    _write_array(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("prompt"), F.col("lang").alias("category")), path)
+    p = readers.read_prompts(spark, f"{path}/*", fmt="json_array")
+    marks = F.length("prompt") - F.length(F.translate("prompt", '}["', ""))
+    return p.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("ord").alias("ordinals"), F.max("ord").alias("last"),
+                 F.sum(F.length("prompt")).alias("chars"), F.sum(marks).alias("marks"))
+
+
 @query("dataset_roundtrip", ORACLE["split_exact"])
 def q_dataset_roundtrip(spark, d):
     """S7 (a folder per split), then S4."""
@@ -66,12 +93,18 @@ def q_read_train_logs(spark, d):
     """One trainer state per method, the mean of each metric at each step (as many
     entries as there are steps), read back from the folder names."""
     base = scratch_path(spark, "logs")
-    logs = FX.run_logs(spark, d).groupBy("method", "step", "metric").agg(F.avg("value").alias("value"))
-    entry = F.map_concat(F.create_map(F.lit("step"), F.col("step").cast("double")), F.create_map("metric", "value"))
-    state = logs.groupBy("method").agg(F.max("step").alias("global_step"), F.collect_list(entry).alias("log_history"))
-    for m in FX.METHOD_BY_EVENT.values():
-        sinks.write_rows(state.where(F.col("method") == m).drop("method"), f"{base}/{m}")
-    return readers.read_train_logs(spark, f"{base}/*/*.json").select("method", "step", "metric", "value")
+    sinks.write_train_logs(FX.run_logs(spark, d).groupBy("method", "step", "metric").agg(F.avg("value").alias("value")), base)
+    return readers.read_train_logs(spark, f"{base}/*/*.txt").select("method", "step", "metric", "value")
+
+
+@query("read_train_logs_entries", O.with_views("run_logs_v") + """
+SELECT method, metric, count(*) AS entries, count(DISTINCT step) AS steps, CAST(min(step) AS BIGINT) AS first, CAST(max(step) AS BIGINT) AS last FROM run_logs_v GROUP BY method, metric""")
+def q_read_train_logs_entries(spark, d):
+    """S11 over runs with one entry per event: as long as the table."""
+    base = scratch_path(spark, "long-logs")
+    sinks.write_train_logs(FX.run_logs(spark, d), base)
+    logs = readers.read_train_logs(spark, f"{base}/*/*.txt")
+    return logs.groupBy("method", "metric").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("step").alias("steps"), F.min("step").alias("first"), F.max("step").alias("last"))
 
 
 @query("beta_sweep_roundtrip", O.with_views("beta_results_v") + """

@@ -190,11 +190,11 @@ SELECT o_orderpriority AS model, CAST(o_orderkey AS BIGINT) AS item_id, 0 AS sam
   CASE WHEN o_orderkey % 6 = 5 THEN {lit(FX.PREDICTION_ERROR)} END AS error
 FROM orders"""),
     "run_logs_v": ([], f"""
-SELECT {_case('event_type', FX.METHOD_BY_EVENT)} AS method,
+SELECT coalesce({_case('event_type', FX.METHOD_BY_EVENT)}, event_type) AS method,
        CAST(json_extract_string(props, '$.k') AS BIGINT) AS step,
        {_by_index('user_id % 4', FX.RUN_METRICS)} AS metric,
        CAST(value AS DOUBLE) AS value
-FROM events WHERE event_type IN ({", ".join(lit(k) for k in FX.METHOD_BY_EVENT)})"""),
+FROM events"""),
     "beta_runs_v": ([], f"""
 SELECT {_by_index('user_id % 4', FX.BETAS)} AS beta,
        {_case('event_type', FX.BETA_METRIC_BY_EVENT)} AS metric,
@@ -209,11 +209,11 @@ SELECT beta,
   avg(value) FILTER (WHERE metric = 'train_loss') AS train_loss
 FROM beta_runs_v GROUP BY beta"""),
     "method_resources_v": ([], f"""
-SELECT {_case('event_type', FX.METHOD_BY_EVENT)} AS method,
+SELECT coalesce({_case('event_type', FX.METHOD_BY_EVENT)}, event_type) AS method,
   max(value) / 25.0::DOUBLE AS memory_gb,
   CAST(count(DISTINCT json_extract_string(props, '$.k')) AS BIGINT) AS training_time_min,
   avg(value) / {FX.BETA_VALUE_SCALE}::DOUBLE AS final_accuracy
-FROM events WHERE event_type IN ({", ".join(lit(k) for k in FX.METHOD_BY_EVENT)})
+FROM events
 GROUP BY 1"""),
     "infer_runs_v": ([], """
 SELECT 'm-' || l_returnflag || l_linestatus AS model,

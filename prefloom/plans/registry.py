@@ -556,9 +556,9 @@ def q_loss_curves(spark, d):
 
 @query("accuracy_progression", O.with_views("run_logs_v") + f"""
 SELECT method AS stage, stage_no, round(accuracy, 9) AS accuracy,
-  round(accuracy - lag(accuracy) OVER (ORDER BY stage_no), 9) AS gain_prev, round(accuracy - {G.BASE_ACCURACY}::DOUBLE, 9) AS gain_base
+  CASE WHEN stage_no IS NOT NULL THEN round(accuracy - lag(accuracy) OVER (PARTITION BY stage_no IS NULL ORDER BY stage_no), 9) END AS gain_prev, round(accuracy - {G.BASE_ACCURACY}::DOUBLE, 9) AS gain_base
 FROM (
-  SELECT method, accuracy, CASE method WHEN 'base' THEN 0 WHEN 'sft' THEN 1 WHEN 'dpo' THEN 2 ELSE 3 END AS stage_no FROM (
+  SELECT method, accuracy, CASE method WHEN 'base' THEN 0 WHEN 'sft' THEN 1 WHEN 'dpo' THEN 2 WHEN 'ppo' THEN 3 END AS stage_no FROM (
     SELECT method, arg_max(v, step) AS accuracy FROM (
       SELECT method, step, avg(value) AS v FROM run_logs_v WHERE metric = 'eval_accuracy' GROUP BY method, step) s GROUP BY method
     UNION ALL SELECT 'base', {G.BASE_ACCURACY}::DOUBLE) u

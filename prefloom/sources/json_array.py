@@ -20,6 +20,7 @@ string or brace.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ _OPEN[[123, 91]] = _CLOSE[[125, 93]] = True
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 13, 32]] = True
 _BATCH = 4 << 20
+_NAME = re.compile(rb'("(?:[^"\\]|\\.)*")\s*:\s*\Z')
+_LONGEST_NAME = 1 << 12
 
 
 def _quotes(data: np.ndarray) -> np.ndarray:
@@ -90,18 +93,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("odd", pa.bool_()), ("outside", pa.int64()), ("within", pa.int64())]))
 
 
-_OUT = pa.schema([("file", pa.string()), ("block", pa.int64()), ("i", pa.int64()), ("kind", pa.int8()), ("value", pa.string())])
+_OUT = pa.schema([("file", pa.string()), ("block", pa.int64()), ("i", pa.int64()), ("kind", pa.int8()), ("value", pa.string()), ("label", pa.bool_())])
 _WHOLE, _PIECE, _SUMMARY = 0, 1, 2
 
 
 class _Split:
-    """The objects of one split, fed chunk by chunk. The array itself is depth 1, its objects 2."""
+    """The objects of one split, fed chunk by chunk. Without a ``key`` the file is the array: it is
+    depth 1, its objects 2. With one, the array is that member of an object: depth 2, its objects 3."""
 
-    def __init__(self, file: str, block: int, inside: bool, depth: int, last: bool):
+    def __init__(self, key: str | None, file: str, block: int, inside: bool, depth: int, last: bool):
+        self.key, self.base = key, 1 if key is None else 2
         self.file, self.block, self.inside, self.depth, self.last = file, block, inside, depth, last
         self.objects, self.closed = 0, depth == 0 and block > 0
         self.first = self.latest = None  # marks between objects: 0 a comma, 1 an object's begin
-        self.leading = depth >= 2  # begins inside an object
+        self.label = None  # whether the member that is open is the wanted one; None: as the split before ends
+        self.leading = depth > self.base  # begins inside an object
         self.rest: list[bytes] = []  # of the object that is open
         self.rows: list[dict] = []
         self.held = b""
@@ -109,8 +115,8 @@ class _Split:
     def wrong(self, what: str) -> ValueError:
         return ValueError(f"{self.file}: {what} (split at byte {self.block})")
 
-    def _row(self, i: int, kind: int, value: bytes) -> None:
-        self.rows.append({"file": self.file, "block": self.block, "i": i, "kind": kind, "value": value.decode()})
+    def _row(self, i: int, kind: int, value: bytes, label: bool | None) -> None:
+        self.rows.append({"file": self.file, "block": self.block, "i": i, "kind": kind, "value": value.decode(), "label": label})
 
     def feed(self, chunk: bytes) -> list[dict]:
         if self.block == 0 and self.held == b"" and chunk.startswith(b"\xef\xbb\xbf"):
@@ -131,9 +137,40 @@ class _Split:
         step = (_OPEN[data].astype(np.int64) - _CLOSE[data]) * ~inside
         after = self.depth + np.cumsum(step)
         before = after - step
+        begins = np.flatnonzero((step > 0) & (before == self.base))
+        ends = np.flatnonzero((step < 0) & (after == self.base))
+        if self.key is None:
+            self._check(data, quote, inside, step, before, after, begins, ends)
+            labels = [True] * len(begins)
+        else:
+            labels = self._labels(chunk, data, step, before, begins)
+        open_ = self.depth > self.base
+        at, now = 0, self.open_label if open_ and not self.leading else None
+        for end in ends:
+            if not open_:
+                k = int(np.searchsorted(begins, end)) - 1
+                at, now = begins[k], labels[k]
+            self._close(b"".join([*self.rest, chunk[at : end + 1]]), now)
+            self.rest, open_, at = [], False, end + 1
+        if after[-1] > self.base:
+            if not open_:
+                at, self.open_label = begins[-1], labels[-1]
+            self.rest.append(chunk[at:])
+        self.inside, self.depth = bool(inside[-1]), int(after[-1])
+
+    def _labels(self, chunk: bytes, data: np.ndarray, step: np.ndarray, before: np.ndarray, begins: np.ndarray) -> list[bool | None]:
+        """For every object that begins whether it is in the wanted array. A member's name is in the
+        fragment in which its array begins: no brace stands between them."""
+        members = np.flatnonzero((step > 0) & (before == 1))
+        wanted = [bool(data[m] == 91 and (name := _NAME.search(chunk, max(0, m - _LONGEST_NAME), m)) and json.loads(name[1]) == self.key) for m in members]
+        seen = [self.label, *wanted]
+        out = [seen[k] if data[b] == 123 else False for k, b in zip(np.searchsorted(members, begins), begins, strict=True)]
+        self.label = seen[-1]
+        return out
+
+    def _check(self, data, quote, inside, step, before, after, begins, ends) -> None:
+        """The rules of an array of objects."""
         top = (np.minimum(before, after) <= 1) & ~inside & ~quote  # between objects, their braces included
-        begins = np.flatnonzero((step > 0) & (before == 1))
-        ends = np.flatnonzero((step < 0) & (after == 1))
         outer = np.flatnonzero((step != 0) & (np.minimum(before, after) == 0))
         if (after < 0).any() or (data[begins] != 123).any() or (data[ends] != 125).any() or (data[outer] != np.where(step[outer] > 0, 91, 93)).any() or (before[0] == 0 and self.closed and len(outer)):
             raise self.wrong("not one array of objects")
@@ -145,23 +182,7 @@ class _Split:
         comma = other & (data == _COMMA) & (before == 1)
         if (other & ~comma).any() or (quote & (np.minimum(before, after) <= 1)).any():
             raise self.wrong("a value that is not an object")
-        self._order(comma, begins)
-        open_ = self.depth >= 2
-        at = 0
-        for end in ends:
-            value = b"".join([*self.rest, chunk[at if open_ else begins[self._at(begins, end)] : end + 1]])
-            self._close(value)
-            self.rest, open_, at = [], False, end + 1
-        if after[-1] >= 2:
-            self.rest.append(chunk[at:] if open_ else chunk[begins[-1] :])
-        self.inside, self.depth = bool(inside[-1]), int(after[-1])
-
-    @staticmethod
-    def _at(begins: np.ndarray, end: int) -> int:
-        return int(np.searchsorted(begins, end)) - 1
-
-    def _order(self, comma: np.ndarray, begins: np.ndarray) -> None:
-        """Objects and commas must alternate, here and (``_check``) from split to split."""
+        # objects and commas must alternate, here and (``_check_marks``) from split to split
         marks = np.sort(np.concatenate([np.flatnonzero(comma) * 2, begins * 2 + 1])) % 2
         if not len(marks):
             return
@@ -170,12 +191,12 @@ class _Split:
         self.first = int(marks[0]) if self.first is None else self.first
         self.latest = int(marks[-1])
 
-    def _close(self, value: bytes) -> None:
+    def _close(self, value: bytes, label: bool | None) -> None:
         if self.leading:
-            self._row(-1, _PIECE, value)
+            self._row(-1, _PIECE, value, None)
             self.leading = False
         else:
-            self._row(self.objects, _WHOLE, value)
+            self._row(self.objects, _WHOLE, value, label)
             self.objects += 1
 
     def finish(self) -> list[dict]:
@@ -184,28 +205,33 @@ class _Split:
             self._take(self.held)
         elif self.depth != 0 or self.inside:
             raise self.wrong("ends inside the array")
-        if self.depth >= 2:
-            self._row(-1 if self.leading else self.objects, _PIECE, b"".join(self.rest))
+        if self.depth > self.base:
+            self._row(-1 if self.leading else self.objects, _PIECE, b"".join(self.rest), None if self.leading else self.open_label)
             self.objects += not self.leading
-        self._row(self.objects, _SUMMARY, json.dumps([self.first, self.latest]).encode())
+        self._row(self.objects, _SUMMARY, json.dumps([self.first, self.latest]).encode(), self.label)
         rows, self.rows = self.rows, []
         return rows
 
 
-def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    split, now = None, None
-    for key, chunk in _chunks(batches):
-        if key != now:
-            if split is not None:
-                yield pa.RecordBatch.from_pylist(split.finish(), schema=_OUT)
-            split, now = _Split(*key), key
-        yield pa.RecordBatch.from_pylist(split.feed(chunk), schema=_OUT)
-    if split is not None:
-        yield pa.RecordBatch.from_pylist(split.finish(), schema=_OUT)
+def _objects(key: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, now = None, None
+        for place, chunk in _chunks(batches):
+            if place != now:
+                if split is not None:
+                    yield pa.RecordBatch.from_pylist(split.finish(), schema=_OUT)
+                split, now = _Split(key, *place), place
+            yield pa.RecordBatch.from_pylist(split.feed(chunk), schema=_OUT)
+        if split is not None:
+            yield pa.RecordBatch.from_pylist(split.finish(), schema=_OUT)
+
+    return run
 
 
-def array_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, value): the objects of the array file or files at ``path`` as JSON text."""
+def array_objects(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """(file, ord, value): the objects of the array file or files at ``path`` as JSON text; with a
+    ``key``, those of the arrays of that name in files that hold one object each. ``ord`` numbers
+    the array's objects (with a ``key``, all objects at that depth)."""
     text = spark.read.option("lineSep", "}").text(path)
     text = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     scanned = text.mapInArrow(_scan, "file string, block long, odd boolean, outside long, within long")
@@ -222,19 +248,23 @@ def array_objects(spark: SparkSession, path: str) -> DataFrame:
         text = text.withColumn("at", F.monotonically_increasing_id()).join(states, ["file", "block"])
         text = text.repartition("file", "block").sortWithinPartitions("file", "block", "at")
     text = text.select("value", "file", "block", "inside", "depth", "last")
-    rows = persist(text.mapInArrow(_objects, "file string, block long, i long, kind byte, value string"), "array-objects")
+    rows = persist(text.mapInArrow(_objects(key), "file string, block long, i long, kind byte, value string, label boolean"), "array-objects")
 
     splits = rows.where(F.col("kind") == _SUMMARY)
     whole = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
-    starts = persist(splits.select("file", "block", F.coalesce(F.sum("i").over(whole), F.lit(0)).alias("base")), "array-starts")
-    _check(splits, states)
+    carried = F.last("label", ignorenulls=True).over(before)
+    starts = persist(splits.select("file", "block", F.coalesce(F.sum("i").over(whole), F.lit(0)).alias("base"), carried.alias("carried")), "array-starts")
+    _check_splits(splits, states)
     placed = rows.where(F.col("kind") != _SUMMARY).join(starts, ["file", "block"]).withColumn("ord", F.col("base") + F.col("i"))
-    pieces = placed.where(F.col("kind") == _PIECE).groupBy("ord").agg(  # the pieces of one object
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "value"))), lambda p: p["value"]), "").alias("value"))
-    return placed.where(F.col("kind") == _WHOLE).select("ord", "value").unionByName(pieces)
+    placed = placed.withColumn("label", F.coalesce("label", "carried", F.lit(key is None)))
+    pieces = placed.where(F.col("kind") == _PIECE).groupBy("file", "ord").agg(  # the pieces of one object
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "value"))), lambda p: p["value"]), "").alias("value"),
+        F.min_by("label", "block").alias("label"))
+    found = placed.where(F.col("kind") == _WHOLE).select("file", "ord", "value", "label").unionByName(pieces)
+    return found.where("label").drop("label")
 
 
-def _check(splits: DataFrame, states: DataFrame) -> None:
+def _check_splits(splits: DataFrame, states: DataFrame) -> None:
     """Over all splits of a file: as many splits as were scanned first, objects and commas in turn."""
     marks = F.from_json("value", "array<int>")
     by_file = Window.partitionBy("file").orderBy("block")

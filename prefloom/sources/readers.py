@@ -21,16 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from prefloom.sources.json_array import read_json_array
+from prefloom.sources.json_array import array_objects, read_json_array
 
 PROMPTS_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("prompt", T.StringType()),
     T.StructField("category", T.StringType()), T.StructField("difficulty", T.StringType()),
 ])
-TRAINER_STATE_SCHEMA = T.StructType([
-    T.StructField("global_step", T.LongType()),
-    T.StructField("log_history", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
-])
 BETA_SWEEP_SCHEMA = "beta STRING, metrics MAP<STRING, DOUBLE>, status STRING"
 
 # --- fixed values -----------------------------------------------------------
@@ -155,13 +151,16 @@ def read_preference_source(spark: SparkSession, processed: str | None, pairs: st
 
 def read_train_logs(spark: SparkSession, glob: str) -> DataFrame:
     """``*/trainer_state.json`` files -> long table (method, step, metric, value);
-    the method is the folder name. Absent files give an empty table. A metric that is not
-    a number keeps its row with value NULL and its text in ``text``."""
-    raw = _found(lambda: spark.read.schema(TRAINER_STATE_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST").json(glob))
+    the method is the folder name (of a ``name=value`` folder its value). Absent files give an
+    empty table. A metric that is not a number keeps its row with value NULL and its text in
+    ``text``. ``log_history`` is read in splits, entry by entry: no row or task holds a run."""
+    raw = _found(lambda: array_objects(spark, glob, "log_history"))
     if raw is None:
         return spark.createDataFrame([], "method string, step bigint, metric string, value double, text string")
-    x = raw.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("method"), F.explode("log_history").alias("rec"))
-    x = x.select("method", F.col("rec")["step"].try_cast("double").cast("bigint").alias("step"), F.explode("rec").alias("metric", "text"))
+    folder = F.element_at(F.split("file", "/"), -2)
+    record = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
+    x = raw.select(F.url_decode(F.regexp_replace(folder, "^[^=]*=", "")).alias("method"), record.alias("rec"))
+    x = x.select("method", F.col("rec")["step"].try_cast("double").cast("bigint").alias("step"), F.explode_outer("rec").alias("metric", "text"))
     return x.where(F.col("metric") != "step").select("method", "step", "metric", F.col("text").try_cast("double").alias("value"), "text")
 
 

@@ -83,3 +83,18 @@ def write_generation_stats(stats: DataFrame, path: str) -> None:
 def write_analysis_summary(summary: DataFrame, path: str) -> None:
     """The analysis summary record (values computed by G7, not hard-coded)."""
     write_record(summary, path)
+
+
+def write_train_logs(logs: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """S11's files: one trainer state per method, ``path/method=<name>/``, from (method, step, metric,
+    value) rows. A run is one JSON document, so one task writes it, row by row in the order of the
+    steps (sorted with spilling); no row holds a run."""
+    entry = F.to_json(F.map_concat(F.create_map(F.lit("step"), F.col("step").cast("double")), F.create_map("metric", "value")))
+    rows = logs.select("method", "step", "metric", F.lit(1).alias("at"), F.concat(F.lit(","), entry).alias("value"))
+    # the first entry follows an empty one, so that every other begins with its comma
+    runs = logs.groupBy("method").agg(F.max("step").alias("last"))
+    head = F.concat(F.lit('{"global_step": '), F.coalesce(F.col("last").cast("string"), F.lit("0")), F.lit(', "log_history": [{}'))
+    heads = runs.select("method", F.lit(None).cast("bigint").alias("step"), F.lit(None).cast("string").alias("metric"), F.lit(0).alias("at"), head.alias("value"))
+    tails = runs.select("method", F.lit(None).cast("bigint").alias("step"), F.lit(None).cast("string").alias("metric"), F.lit(2).alias("at"), F.lit("]}").alias("value"))
+    rows = rows.withColumn("step", F.col("step").cast("bigint")).unionByName(heads).unionByName(tails)
+    rows.repartition("method").sortWithinPartitions("method", "at", "step", "metric").select("method", "value").write.mode(mode).partitionBy("method").text(path)
