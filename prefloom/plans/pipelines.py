@@ -28,9 +28,12 @@ PAIRS_TABLE = ["prompt", "chosen", "rejected", "chosen_score", "rejected_score",
 
 def cleaned_rows(df: DataFrame, order: str = "ord") -> DataFrame:
     """P2 with everything that L1's later stages decide by, in one projection: the cleaned rows,
-    a row number (fixed once the table is written), the stage flags and a content hash."""
+    a row number (fixed once the table is written), the stage flags and a content hash. A row that
+    the filters remove still takes part in dedup, but needs no text: its columns are NULL."""
     x = prep.clean_columns(df)
-    return x.withColumns({**prep.stage_flags(x, order=order), "_sig": F.xxhash64(*x.columns), "_row": F.monotonically_increasing_id()})
+    x = x.withColumns({**prep.stage_flags(x, order=order), "_sig": F.xxhash64(*x.columns), "_row": F.monotonically_increasing_id()})
+    x = x.withColumn("_ok", F.col("_len") & F.col("_valid"))
+    return x.withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in df.columns})
 
 
 def process_preference_data(df: DataFrame, val_ratio: float = VAL_RATIO, seed: int = SEED,
@@ -44,12 +47,12 @@ def process_preference_data(df: DataFrame, val_ratio: float = VAL_RATIO, seed: i
     """
     rows = cleaned if cleaned is not None else _persist(cleaned_rows(df, order), "cleaned")
     key = key or order
-    narrow = rows.select("_row", "_key", "_order", "_sig", F.col(key).alias("_by"), (F.col("_len") & F.col("_valid")).alias("_ok"))
+    narrow = rows.select("_row", "_key", "_order", "_sig", F.col(key).alias("_by"), "_ok")
     first = prep.first_rows(narrow, "_order").withColumnRenamed("_key", "_k")
     same = narrow["_key"].eqNullSafe(first["_k"]) & narrow["_order"].eqNullSafe(first["_first"])
     kept = narrow.join(first, same, "left_semi").where("_ok").select("_row", "_by", "_sig")
     kept = train_val_split(kept, ratio=val_ratio, seed=seed, key="_by", materialize=True, tie=["_sig"])
-    out = rows.select(*df.columns, "_row").join(kept.select("_row", "split"), "_row").drop("_row")
+    out = rows.where("_ok").select(*df.columns, "_row").join(kept.select("_row", "split"), "_row").drop("_row")
     return prep.format_for_dpo(out)
 
 
