@@ -36,29 +36,32 @@ def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
-def generate_candidates(requests: DataFrame, fn: Callable[[list[str]], list[str]],
-                        partitions: int | None = None) -> DataFrame:
-    """Run ``fn(prompts) -> responses`` per Arrow batch (stripped output). When a batch
-    fails, its rows are tried one by one, so the model may see a prompt twice; a row that
-    fails again has response '' and its message in ``error``.
+def generate_candidates(requests: DataFrame, fn: Callable[..., list[str]],
+                        partitions: int | None = None, indexed: bool = False) -> DataFrame:
+    """Run ``fn(prompts) -> responses`` per Arrow batch (stripped output), with ``indexed``
+    ``fn(prompts, cand_idx)``: a model that draws its candidates by a seed needs to know which one
+    it is. When a batch fails, its rows are tried one by one, so the model may see a prompt twice;
+    a row that fails again has response '' and its message in ``error``.
 
     ``partitions``: see :func:`spread`.
     """
     df = spread(requests, partitions)
+    call = fn if indexed else lambda prompts, _: fn(prompts)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             prompts = pdf["prompt"].fillna("").tolist()
+            which = pdf["cand_idx"].tolist() if indexed else [None] * len(prompts)
             errs: list[str | None] = [None] * len(prompts)
             try:
-                out = [("" if r is None else str(r)).strip() for r in fn(prompts)]
+                out = [("" if r is None else str(r)).strip() for r in call(prompts, which)]
                 if len(out) != len(prompts):
                     raise ValueError("model returned a different number of outputs")
             except Exception:
                 out = []
-                for i, p in enumerate(prompts):
+                for i, (p, k) in enumerate(zip(prompts, which, strict=True)):
                     try:
-                        out.append(("" if (r := fn([p])[0]) is None else str(r)).strip())
+                        out.append(("" if (r := call([p], [k])[0]) is None else str(r)).strip())
                     except Exception as e:
                         out.append("")
                         errs[i] = str(e) or type(e).__name__

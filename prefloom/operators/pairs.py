@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefloom.functions.judge import JUDGE_ERROR_PREFIX
 from prefloom.functions.text import is_blank
 
 PAIR_COLUMNS = [
@@ -94,18 +95,21 @@ def gap_filter(pairs: DataFrame, min_gap: float) -> DataFrame:
 
 
 def pair_outcomes(prompts: DataFrame, scored: DataFrame, min_gap: float = 2.0,
-                  prompt_key: str = "ord", key: str = "prompt_id", errors: DataFrame | None = None) -> DataFrame:
+                  prompt_key: str = "ord", key: str = "prompt_id", errors: DataFrame | None = None,
+                  judge_failures: bool = False) -> DataFrame:
     """One status per prompt: ``pair`` / ``too_few`` / ``low_gap`` / ``error``.
 
     The reference counts ``too_few`` and ``low_gap`` together as ``skipped_low_gap``;
     they are kept apart here and summed in :func:`generation_stats`. ``errors`` (optional)
-    holds the keys of prompts whose processing failed.
+    holds the keys of prompts whose processing failed. With ``judge_failures`` the column of that
+    name counts a prompt's candidates whose judge failed (their reason says so, C3).
     """
     # only the count and the score range matter here: fixed-width buffers, so this is a
     # hash aggregation that carries no text (best - worst score == max - min score)
     g = eligible(scored).groupBy(F.col(key).alias("_k")).agg(
         F.count(F.lit(1)).alias("n_candidates"),
         (F.max("score") - F.min("score")).alias("score_gap"),
+        *([F.count_if(F.startswith("reason", F.lit(JUDGE_ERROR_PREFIX))).alias("judge_failures")] if judge_failures else []),
     )
     p = prompts.select(F.col(prompt_key).alias(key))
     out = p.join(g, p[key] == g["_k"], "left")
@@ -118,12 +122,14 @@ def pair_outcomes(prompts: DataFrame, scored: DataFrame, min_gap: float = 2.0,
         e = errors.select(F.col(key).alias("_e"), F.lit(True).alias("_err")).distinct()
         out = out.join(e, out[key] == e["_e"], "left")
         status = F.when(F.col("_err"), F.lit("error")).otherwise(status)
+    failures = [F.coalesce("judge_failures", F.lit(0)).cast("bigint").alias("judge_failures")] if judge_failures else []
     return out.select(key, F.coalesce(F.col("n_candidates"), F.lit(0)).cast("bigint").alias("n_candidates"),
-                      status.alias("status"))
+                      status.alias("status"), *failures)
 
 
 def generation_stats(outcomes: DataFrame) -> DataFrame:
-    """The reference's counters plus the success rate ``ok / max(total, 1) * 100``."""
+    """The reference's counters plus the success rate ``ok / max(total, 1) * 100``, and the
+    candidates whose judge failed if the outcomes count them."""
     s = F.col("status")
     return outcomes.agg(
         F.count(F.lit(1)).alias("total_prompts"),
@@ -131,6 +137,7 @@ def generation_stats(outcomes: DataFrame) -> DataFrame:
         F.count_if(s.isin("too_few", "low_gap")).alias("skipped_low_gap"),
         F.count_if(s == "too_few").alias("skipped_too_few"),
         F.count_if(s == "error").alias("errors"),
+        *([F.coalesce(F.sum("judge_failures"), F.lit(0)).alias("judge_failures")] if "judge_failures" in outcomes.columns else []),
     ).withColumn(
         "success_rate",
         F.col("successful_pairs") / F.greatest(F.col("total_prompts"), F.lit(1)) * 100.0,

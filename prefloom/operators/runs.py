@@ -24,6 +24,7 @@ GIB = 1024 ** 3
 KV_DTYPE_BYTES = 2
 LOSS_TYPES = ["sigmoid", "hinge", "ipo"]
 DEFAULT_BETAS = [0.05, 0.1, 0.2, 0.5]
+SKETCH_LG_K = 14
 # ---------------------------------------------------------------------------
 
 
@@ -155,7 +156,8 @@ def ngrams(df: DataFrame, text: str = "response", n: int = 4, hashed: bool = Fal
 
 def distinct_n(responses: DataFrame, by=("group",), n: int = 4, hashed: bool = False) -> DataFrame:
     """Distinct-n = distinct n-grams / all n-grams per group. Spark plans the
-    distinct count by shuffling on (group, ngram), so a hot group is spread out."""
+    distinct count by shuffling on (group, ngram), so a hot group is spread out. Exact; see
+    :func:`distinct_n_sketch` for a bounded state per group."""
     g = ngrams(responses, n=n, hashed=hashed)
     return g.groupBy(*by).agg(
         F.count(F.lit(1)).alias("ngrams"),
@@ -163,6 +165,30 @@ def distinct_n(responses: DataFrame, by=("group",), n: int = 4, hashed: bool = F
     ).withColumn("distinct_n", F.col("distinct_ngrams") / F.col("ngrams"))
 
 
+def distinct_n_sketch(responses: DataFrame, by=("group",), n: int = 4, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """G8 at scale, first half: (by, ngrams, sketch) with a mergeable sketch (HyperLogLog) of the distinct
+    n-grams. A task sends 2**lg_k bytes a group at most instead of its n-grams, and sketches of
+    shards, days or models add up by :func:`merge_sketches`."""
+    g = ngrams(responses, n=n)
+    return g.groupBy(*by).agg(F.count(F.lit(1)).alias("ngrams"), F.hll_sketch_agg(F.xxhash64("ngram"), F.lit(lg_k)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by=("group",)) -> DataFrame:
+    """Sketches of parts -> one per ``by``."""
+    return sketches.groupBy(*by).agg(F.sum("ngrams").alias("ngrams"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketch_error(lg_k: int = SKETCH_LG_K) -> float:
+    """Three standard errors of a sketch's count, relative to it: 2.4 % with the default."""
+    return 3 * 1.04 / 2 ** (lg_k / 2)
+
+
+def distinct_n_estimate(sketches: DataFrame) -> DataFrame:
+    """G8 at scale, second half: the columns of :func:`distinct_n`, with estimated distinct n-grams."""
+    x = sketches.withColumn("distinct_ngrams", F.hll_sketch_estimate("sketch")).drop("sketch")
+    return x.withColumn("distinct_n", F.col("distinct_ngrams") / F.col("ngrams"))
+
+
 def mode_collapse(responses: DataFrame, by=("group",), prompt: str = "prompt_id", text: str = "response") -> DataFrame:
     """G9 (our definition): share of responses whose normalised text (whitespace
     collapsed, stripped, lower-cased) occurs under at least two prompts of the group.

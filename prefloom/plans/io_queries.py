@@ -16,7 +16,7 @@ from prefloom.plans import fixtures as FX
 from prefloom.plans import oracle as O
 from prefloom.plans import pipelines as L
 from prefloom.plans.extra_queries import demo_judge
-from prefloom.plans.registry import ORACLE, query, rounded
+from prefloom.plans.registry import ORACLE, _pairs_sql, _split_sql, query, rounded
 from prefloom.session import scratch_path
 from prefloom.sources import readers, sinks
 
@@ -258,3 +258,89 @@ SELECT count(*) AS total_prompts, count(*) FILTER (WHERE length(prompt) % 7 <> 0
 def q_preference_pipeline_stats(spark, d):
     """R5 counters, with the failures of the generator counted."""
     return _r5(spark, d)[1]
+
+
+# R5 with candidates that differ: every counter is reached
+
+def varied(prompts: list[str], which: list[int]) -> list[str]:
+    """A generator whose three candidates differ by number; some are blank, some prompts refused."""
+    if any(len(p) % 7 == 0 for p in prompts):
+        raise RuntimeError("refused")
+
+    def one(p: str, k: int) -> str:
+        n = len(p)
+        if k == 0:
+            return f"Step 1. Count the characters. The answer is: {n}"
+        if k == 1:
+            return "" if n % 5 == 0 else f"About {n * 3} characters"
+        return "no idea" if n % 2 and n % 5 else " "
+
+    return [one(p, k) for p, k in zip(prompts, which, strict=True)]
+
+
+def strict_judge(prompts: list[str], responses: list[str]) -> list[str]:
+    """A judge that scores by both lengths and gives up on some answers."""
+    if any(len(p) % 3 == 0 and r.startswith("About") for p, r in zip(prompts, responses, strict=True)):
+        raise RuntimeError("no verdict")
+    return [f'{{"score": {(len(p) + 3 * len(r)) % 11}, "reason": "both lengths"}}' for p, r in zip(prompts, responses, strict=True)]
+
+
+_VARIED = ("varied_v", """SELECT ord AS prompt_id, prompt, k AS cand_idx, response,
+  CASE WHEN length(prompt) % 3 = 0 AND starts_with(response, 'About') THEN 0.0 ELSE CAST((length(prompt) + 3 * length(response)) % 11 AS DOUBLE) END AS score,
+  CASE WHEN length(prompt) % 3 = 0 AND starts_with(response, 'About') THEN 'Judge error: no verdict' ELSE 'both lengths' END AS reason
+FROM (SELECT *, CASE k WHEN 0 THEN 'Step 1. Count the characters. The answer is: ' || CAST(length(prompt) AS VARCHAR)
+                       WHEN 1 THEN CASE WHEN length(prompt) % 5 = 0 THEN '' ELSE 'About ' || CAST(length(prompt) * 3 AS VARCHAR) || ' characters' END
+                       ELSE CASE WHEN length(prompt) % 2 = 1 AND length(prompt) % 5 <> 0 THEN 'no idea' ELSE '' END END AS response
+      FROM prompts_v, range(0, 3) t(k) WHERE length(prompt) % 7 <> 0) c""")
+
+
+def _r5_varied(spark, d):
+    return L.preference_pipeline(FX.prompts(spark, d), varied, strict_judge, num_candidates=3, min_gap=2.0, indexed=True, judge_failures=True)
+
+
+@query("preference_pipeline_varied", O.with_views("prompts_v", extra=[_VARIED]) + f"""
+SELECT x.* EXCLUDE (prompt_id), p.id, 'unknown' AS category FROM ({_pairs_sql('varied_v', 2.0)}) x JOIN prompts_v p ON p.ord = x.prompt_id""")
+def q_preference_pipeline_varied(spark, d):
+    """R5 pairs with chosen and rejected that differ."""
+    return _r5_varied(spark, d)[0]
+
+
+@query("preference_pipeline_varied_stats", O.with_views("prompts_v", extra=[_VARIED]) + f"""
+SELECT count(*) AS total_prompts, count(*) FILTER (WHERE s = 'pair') AS successful_pairs, count(*) FILTER (WHERE s IN ('few', 'low')) AS skipped_low_gap,
+  count(*) FILTER (WHERE s = 'few') AS skipped_too_few, count(*) FILTER (WHERE s = 'error') AS errors, CAST(sum(f) AS BIGINT) AS judge_failures,
+  round(count(*) FILTER (WHERE s = 'pair') / greatest(count(*), 1) * 100.0, 6) AS success_rate
+FROM (SELECT ord, CASE WHEN length(any_value(p.prompt)) % 7 = 0 THEN 'error' WHEN count(v.prompt_id) < 2 THEN 'few' WHEN max(score) - min(score) < 2.0 THEN 'low' ELSE 'pair' END AS s,
+             count(*) FILTER (WHERE reason LIKE 'Judge error%') AS f
+      FROM prompts_v p LEFT JOIN (SELECT * FROM varied_v WHERE NOT {O.blank('response')}) v ON v.prompt_id = p.ord GROUP BY ord) o""", digits=6)
+def q_preference_pipeline_varied_stats(spark, d):
+    """R5 counters, none of them zero: refused prompts, too few candidates, low gaps, judge failures."""
+    return _r5_varied(spark, d)[1]
+
+
+# --- S5 and S6, branch by branch ----------------------------------------------------------
+
+@query("read_sft_processed", O.with_views("qa_items_v") + "SELECT item_id, split FROM (" + _split_sql("qa_items_v", "item_id", 0.1) + ") s")
+def q_read_sft_processed(spark, d):
+    """A processed set (a folder per split) is there, so the raw one is not read."""
+    processed = scratch_path(spark, "sft-processed")
+    sinks.write_dataset(L.process_sft_data(FX.qa_items(spark, d), key="item_id"), processed)
+    return readers.read_sft_source(spark, processed, scratch_path(spark, "sft-none")).select("item_id", "split")
+
+
+@query("read_preference_processed", ORACLE["process_preference"])
+def q_read_preference_processed(spark, d):
+    """S6, first branch: the processed set, written by L1, before raw pairs and public set."""
+    processed, pairs = scratch_path(spark, "dpo-processed"), scratch_path(spark, "dpo-pairs")
+    sinks.write_dataset(L.process_preference_data(FX.doc_pairs(spark, d), order="prompt_id", key="prompt_id"), processed)
+    found = readers.read_preference_source(spark, processed, pairs, scratch_path(spark, "none"))
+    return L.dpo_training_table(found).select("prompt_id", "prompt", "chosen", "rejected", "split")
+
+
+@query("read_preference_pairs", ORACLE["build_pairs"])
+def q_read_preference_pairs(spark, d):
+    """S6, second branch: no processed set, so the raw pairs that R1 wrote."""
+    from prefloom.plans.registry import QUERIES
+
+    pairs = scratch_path(spark, "raw-pairs")
+    QUERIES["build_pairs"](spark, d).write.parquet(pairs)
+    return readers.read_preference_source(spark, scratch_path(spark, "none"), pairs, scratch_path(spark, "none"))

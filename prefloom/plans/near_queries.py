@@ -1,9 +1,11 @@
-"""G9's near form: nearly identical texts under different prompts (registered on import)."""
+"""G9's near form and G8's sketch: nearly identical texts under different prompts, estimated
+distinct n-grams (registered on import)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prefloom.operators import runs as G
 from prefloom.operators.near import near_mode_collapse
 from prefloom.plans import fixtures as FX
 from prefloom.plans import oracle as O
@@ -36,3 +38,16 @@ def q_mode_collapse_documents(spark, d):
     """Every document as the answer to a prompt of its own, by language: exact and near copies."""
     docs = FX.documents(spark, d).select(F.col("lang").alias("group"), F.col("doc_id").alias("prompt_id"), F.col("text").alias("response"))
     return near_mode_collapse(docs, by=("group",))
+
+
+@query("distinct_n_sketch", O.with_views("documents_v").rstrip() + f"""
+SELECT lang AS "group", count(*) AS ngrams, true AS within_bound
+FROM (SELECT lang, regexp_extract_all(coalesce(text, ''), {O.lit(O.NON_WS + '+')}) AS toks FROM documents_v) t, range(1, len(toks) - 2) r(i) GROUP BY lang""")
+def q_distinct_n_sketch(spark, d):
+    """G8 by sketches of every (language, source), merged by language, held against the exact counts."""
+    docs = FX.documents(spark, d).select(F.col("lang").alias("group"), "source", F.col("text").alias("response"))
+    parts = G.distinct_n_sketch(docs, by=("group", "source"))
+    found = G.distinct_n_estimate(G.merge_sketches(parts)).select("group", "ngrams", F.col("distinct_ngrams").alias("estimate"))
+    exact = G.distinct_n(docs, hashed=True).select("group", "distinct_ngrams")
+    near = F.abs(F.col("estimate") - F.col("distinct_ngrams")) <= F.lit(G.sketch_error()) * F.col("distinct_ngrams")
+    return found.join(exact, "group").select("group", "ngrams", near.alias("within_bound"))

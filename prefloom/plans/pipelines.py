@@ -81,13 +81,15 @@ def sft_training_table(df: DataFrame, already_split: bool = False, seed: int = S
 
 def preference_pipeline(prompts: DataFrame, generate: Callable, judge: Callable, num_candidates: int = 4,
                         min_gap: float = 2.0, max_samples: int | None = None, persist: Callable | bool | None = None,
-                        partitions: int | None = None):
+                        partitions: int | None = None, indexed: bool = False, judge_failures: bool = False):
     """Prompts -> N candidates (user fn) -> judge (user fn) -> parse -> pairs + stats.
 
     ``max_samples`` cuts prompts (by ordinal), not pairs. Model outputs are written
     before reuse (by default :func:`prefloom.sources.sinks.persist`, a parquet table under
     ``spark.checkpoint.dir``), so pairs and stats -- two actions -- never call the model
-    twice for one candidate; ``persist=False`` keeps everything lazy. Returns (pairs, stats).
+    twice for one candidate; ``persist=False`` keeps everything lazy. ``indexed``: the generator
+    also gets the candidates' numbers (C2); ``judge_failures``: the stats also count the candidates
+    whose judge failed. Returns (pairs, stats).
     """
     if persist is None or persist is True:
         persist = _persist
@@ -95,7 +97,7 @@ def preference_pipeline(prompts: DataFrame, generate: Callable, judge: Callable,
         persist = None
     p = prompts if max_samples is None else prompts.where(F.col("ord") < max_samples)
     reqs = fan_out(p, num_candidates)
-    cands = generate_candidates(reqs, generate, partitions)
+    cands = generate_candidates(reqs, generate, partitions, indexed)
     if persist is not None:
         cands = persist(cands, "candidates")
     sc = judge_candidates(cands.withColumnRenamed("error", "generation_error"), judge, partitions)
@@ -107,7 +109,7 @@ def preference_pipeline(prompts: DataFrame, generate: Callable, judge: Callable,
     # a prompt none of whose generations came through failed; a single failure only costs
     # its candidate, as in the reference
     failed = sc.groupBy("prompt_id").agg(F.count_if(F.col("generation_error").isNull()).alias("_ok")).where("_ok = 0")
-    stats = generation_stats(pair_outcomes(p, sc, min_gap=min_gap, errors=failed))
+    stats = generation_stats(pair_outcomes(p, sc, min_gap=min_gap, errors=failed, judge_failures=judge_failures))
     return pairs, stats
 
 

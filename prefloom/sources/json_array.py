@@ -79,18 +79,21 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes]]:
             yield now, b"}".join(held) + b"}"
 
 
+_SPLITS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("size", pa.int64()), ("odd", pa.bool_()), ("outside", pa.int64()), ("within", pa.int64()), ("bytes", pa.int64())])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, block, odd, outside, within) per split."""
+    """(file, block, size, odd, outside, within, bytes) per split."""
     found: dict[tuple, list] = {}
     for key, chunk in _chunks(batches):
         data = np.frombuffer(chunk, dtype=np.uint8)
-        odd, outside, within = found.setdefault(key, [False, 0, 0])
+        odd, outside, within, size = found.setdefault(key, [False, 0, 0, 0])
         quote = _quotes(data)
         inside = _inside(quote, odd)
         step = _OPEN[data].astype(np.int64) - _CLOSE[data]
-        found[key] = [bool((int(quote.sum()) + odd) % 2), outside + int(step[~inside].sum()), within + int(step[inside].sum())]
-    rows = [{"file": k[0], "block": k[1], "odd": v[0], "outside": v[1], "within": v[2]} for k, v in found.items()]
-    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("odd", pa.bool_()), ("outside", pa.int64()), ("within", pa.int64())]))
+        found[key] = [bool((int(quote.sum()) + odd) % 2), outside + int(step[~inside].sum()), within + int(step[inside].sum()), size + len(chunk)]
+    rows = [dict(zip(_SPLITS.names, [*k, *v], strict=True)) for k, v in found.items()]
+    yield pa.RecordBatch.from_pylist(rows, schema=_SPLITS)
 
 
 _OUT = pa.schema([("file", pa.string()), ("block", pa.int64()), ("i", pa.int64()), ("kind", pa.int8()), ("value", pa.string()), ("label", pa.bool_())])
@@ -101,9 +104,9 @@ class _Split:
     """The objects of one split, fed chunk by chunk. Without a ``key`` the file is the array: it is
     depth 1, its objects 2. With one, the array is that member of an object: depth 2, its objects 3."""
 
-    def __init__(self, key: str | None, file: str, block: int, inside: bool, depth: int, last: bool):
+    def __init__(self, key: str | None, file: str, block: int, inside: bool, depth: int, last: bool, braced: bool):
         self.key, self.base = key, 1 if key is None else 2
-        self.file, self.block, self.inside, self.depth, self.last = file, block, inside, depth, last
+        self.file, self.block, self.inside, self.depth, self.last, self.braced = file, block, inside, depth, last, braced
         self.objects, self.closed = 0, depth == 0 and block > 0
         self.first = self.latest = None  # marks between objects: 0 a comma, 1 an object's begin
         self.label = None  # whether the member that is open is the wanted one; None: as the split before ends
@@ -121,7 +124,7 @@ class _Split:
     def feed(self, chunk: bytes) -> list[dict]:
         if self.block == 0 and self.held == b"" and chunk.startswith(b"\xef\xbb\xbf"):
             chunk = chunk[3:]
-        chunk, self.held = self.held + chunk, b"}"  # the last brace waits: a file's last fragment has none
+        chunk, self.held = self.held + chunk, b"}"  # the last brace waits: a file's last fragment may have none
         self._take(chunk[:-1])
         rows, self.rows = self.rows, []
         return rows
@@ -201,9 +204,9 @@ class _Split:
 
     def finish(self) -> list[dict]:
         """The rows left at the split's end, and its summary (``i``: objects that begin here)."""
-        if not self.last:
+        if not self.last or self.braced:
             self._take(self.held)
-        elif self.depth != 0 or self.inside:
+        if self.last and (self.depth != 0 or self.inside):
             raise self.wrong("ends inside the array")
         if self.depth > self.base:
             self._row(-1 if self.leading else self.objects, _PIECE, b"".join(self.rest), None if self.leading else self.open_label)
@@ -233,21 +236,24 @@ def array_objects(spark: SparkSession, path: str, key: str | None = None) -> Dat
     ``key``, those of the arrays of that name in files that hold one object each. ``ord`` numbers
     the array's objects (with a ``key``, all objects at that depth)."""
     text = spark.read.option("lineSep", "}").text(path)
-    text = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    scanned = text.mapInArrow(_scan, "file string, block long, odd boolean, outside long, within long")
+    text = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
+    scanned = text.mapInArrow(_scan, "file string, block long, size long, odd boolean, outside long, within long, bytes long")
+    text = text.drop("size")
     by_file = Window.partitionBy("file").orderBy("block")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
     odd = F.coalesce(F.sum(F.col("odd").cast("int")).over(before), F.lit(0)) % 2 == 1
     states = scanned.withColumn("inside", odd).withColumn("step", F.when(F.col("inside"), F.col("within")).otherwise(F.col("outside")))
     states = states.select("file", "block", "inside", F.coalesce(F.sum("step").over(before), F.lit(0)).alias("depth"),
-                           F.lead("block").over(by_file).isNull().alias("last"))
+                           F.lead("block").over(by_file).isNull().alias("last"),
+                           # whether the file ends with the brace that its last fragment is given
+                           (F.sum("bytes").over(Window.partitionBy("file")) == F.col("size")).alias("braced"))
     states = persist(states, "array-splits")
     if states.count() <= STATES_SENT:
         text = text.join(F.broadcast(states), ["file", "block"])
     else:
         text = text.withColumn("at", F.monotonically_increasing_id()).join(states, ["file", "block"])
         text = text.repartition("file", "block").sortWithinPartitions("file", "block", "at")
-    text = text.select("value", "file", "block", "inside", "depth", "last")
+    text = text.select("value", "file", "block", "inside", "depth", "last", "braced")
     rows = persist(text.mapInArrow(_objects(key), "file string, block long, i long, kind byte, value string, label boolean"), "array-objects")
 
     splits = rows.where(F.col("kind") == _SUMMARY)

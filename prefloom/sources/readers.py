@@ -157,9 +157,11 @@ def read_train_logs(spark: SparkSession, glob: str) -> DataFrame:
     raw = _found(lambda: array_objects(spark, glob, "log_history"))
     if raw is None:
         return spark.createDataFrame([], "method string, step bigint, metric string, value double, text string")
-    folder = F.element_at(F.split("file", "/"), -2)
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    folder = decoded(F.element_at(F.split("file", "/"), -2))  # file paths are URIs, and values in folder names are escaped once more
+    method = F.when(folder.contains("="), decoded(F.regexp_replace(folder, "^[^=]*=", ""))).otherwise(folder)
     record = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
-    x = raw.select(F.url_decode(F.regexp_replace(folder, "^[^=]*=", "")).alias("method"), record.alias("rec"))
+    x = raw.select(method.alias("method"), record.alias("rec"))
     x = x.select("method", F.col("rec")["step"].try_cast("double").cast("bigint").alias("step"), F.explode_outer("rec").alias("metric", "text"))
     return x.where(F.col("metric") != "step").select("method", "step", "metric", F.col("text").try_cast("double").alias("value"), "text")
 
