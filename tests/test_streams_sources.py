@@ -219,7 +219,7 @@ def test_evaluate_and_analysis_jobs(spark):
     assert detail.count() == 50
     out = analysis_job(spark, FX.run_logs(spark, SF_SMALL), FX.beta_results(spark, SF_SMALL),
                        FX.method_resources(spark, SF_SMALL), f"{d}/analysis")
-    assert out["accuracy_progression"].count() == 4
+    assert out["accuracy_progression"].count() == 6  # base and a method per event type
     assert spark.read.json(f"{d}/analysis/analysis_summary").count() == 1
 
 
