@@ -9,6 +9,12 @@ from prefloom.llm import linedup
 
 
 def windows(lines):
+    for s, n in every_window(lines):
+        if sum(len(x.split()) for x in lines[s : s + n]) >= 3:
+            yield s, n
+
+
+def every_window(lines):
     for s in range(len(lines)):
         if s + 3 <= len(lines):
             yield s, 3
@@ -84,3 +90,30 @@ def test_empty_and_columns(docs):
     d = docs([(1, "a\nb\nc"), (2, "a\nb\nc")]).withColumnRenamed("lang", "place").withColumnRenamed("source", "fp")
     out = linedup.dedup_lines(d)
     assert out.columns == d.columns and {r["doc_id"]: r["text"] for r in out.collect()} == {1: "a\nb\nc", 2: ""}
+
+
+def test_blank_lines_stay(docs):
+    rows = [(1, "a b c\n\n\n\n\nd e f"), (2, "x y z\n\n\n\nw v"), (3, "\n\n\n\n")]
+    kept = {r["doc_id"]: r["text"] for r in linedup.dedup_lines(docs(rows)).collect()}
+    assert kept == dict(rows)
+
+
+def test_many_lines_cost_their_number(docs):
+    """100,000 lines in one document, half of them repeated: whole windows would be 10**10 hashes."""
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"line number {k}" for k in range(n))
+        start = time.monotonic()
+        out = linedup.dedup_lines(docs([(1, text), (2, text + "\nmore")]), removed="gone").collect()
+        assert sorted((r["doc_id"], r["gone"], len(r["text"])) for r in out) == [(1, 0, len(text)), (2, n, len("more"))]
+        return time.monotonic() - start
+
+    seconds(1000)
+    assert seconds(100_000) < 20 * max(1.0, seconds(10_000))
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c\nd\ne", 7, 8, "x", 1), (2, "a b c\nd\ne", 9, 8, "y", 2)], "doc_id long, text string, _id int, _tk int, _gone string, _parts int")
+    out = {r["doc_id"]: tuple(r) for r in linedup.dedup_lines(df).collect()}
+    assert out == {1: (1, "a b c\nd\ne", 7, 8, "x", 1), 2: (2, "", 9, 8, "y", 2)}
