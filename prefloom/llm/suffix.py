@@ -1,34 +1,39 @@
 """Substring deduplication: bytes of a document covered by a 50-byte string that also starts
 in a document with a smaller id are removed.
 
-Suffixes are sorted blockwise, one bucket at a time, only as deep as ``LENGTH`` bytes, and long ties are
-resolved by ranks of a cover sample that are computed first. The cover is not a positional
-difference cover but one chosen by content, which needs far fewer samples to move (README,
-"Substring deduplication"):
+Equal strings of ``LENGTH`` bytes are found bucket by bucket through a sample of the positions that is
+computed first. No suffix order is built: hashes of strings are grouped instead, and the sample is not a
+positional difference cover but one chosen by content, which needs far fewer records to move (README,
+"Substring deduplication", with the figures):
 
 * Cover: a suffix's head (its first 50 bytes) holds 27 grams of 24 bytes; the one with the
   least hash is its sample. Equal heads choose the same sample, so every tie is seen at it;
   about one position in 14 is a sample. Neighbouring suffixes with one sample are a run, whose
   content (at most 76 bytes) is determined by its first and last head and its length.
-* Pass 1 ranks runs: every part of the table sends its distinct runs, bucketed by sample, as packed columns; a
-  bucket is sorted in one task. A run whose content starts in a smaller document is removed as a whole
+* Pass 1 looks at runs: every part of the table sends its distinct runs, bucketed by sample, as packed columns; a
+  bucket is grouped in one task. A run whose content starts in a smaller document is removed as a whole
   (the long ties). A sample that only one document holds, or that always has the same run,
   needs nothing more.
-* Pass 2 sorts single suffixes, only those of samples that occur with different runs: the edges of
-  repeated passages. They go through the same buckets.
+* Pass 2 looks at single heads, only those of samples that occur with different runs: the edges of
+  repeated passages. Their buckets follow from the heads themselves, so that the many neighbourhoods of
+  one phrase are spread over all of them.
 * Pass 3 removes what either pass found.
 
 A part sends one entry for a string however often it holds it, so copies and passages that a
-third of all documents share are a few entries a part. Keys are 88 bits of content hashes.
+third of all documents share are a few entries a part. A bucket tells strings apart by 40 and 48
+bits of hashes, a part looks its own up by 64 bits of both.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes lose nothing; rows
 repeated under one id do not remove each other; a null id comes after all others (and does not
-remove from other nulls); empty tables give empty results; extra columns are not returned.
+remove from other nulls); a text of over a megabyte is scanned in pieces that overlap by 49 bytes, so a
+task holds the text, its marks and the strings of one piece; empty tables give empty results; other
+columns are not read, so none can clash. Answers that a task cannot see stop the query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +51,12 @@ PART_ROWS = 1 << 12
 BUCKET_BYTES = 64 << 20
 LEAST_BUCKETS = 128
 _SLICE = 1 << 16
+#: bytes of a long text scanned at a time; strings a part's task holds before it sends them
+_PIECE = 1 << 20
+_HELD = 1 << 21
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
+_SPREAD = _U(0xA0761D6478BD642F)
 
 
 def _gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +118,14 @@ class Runs:
         first, last = mix(heads[self.lo]), mix(heads[self.lo + self.n - 1])
         self.content = mix(first * _U(0xD6E8FEB86659FD93) + last + self.n.astype(_U)) >> _U(16)
 
-    def expanded(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(run, head position, head key) of the single heads of the chosen runs."""
+    def expanded(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(run, head position, bucket key, head key) of the single heads of the chosen runs. The
+        bucket follows from the head itself: the heads of one sample are spread over all buckets."""
         run = np.repeat(which, self.n[which])
         inside = np.arange(len(run)) - np.repeat(np.cumsum(self.n[which]) - self.n[which], self.n[which])
         at = self.lo[run] + inside
-        return run, at, mix(self.heads[at]) >> _U(16)
+        head = mix(self.heads[at])
+        return run, at, mix(head ^ _SPREAD) >> _U(24), head >> _U(16)
 
 
 def _key(sample: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -189,12 +200,27 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("n", pa.int32()), ("data", pa.binary())]))
 
 
+def _qualified(spark, path: str) -> str:
+    """The path with the scheme and authority by which Spark has written it."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+
+
 def _answers(blocks: DataFrame, name: str) -> str:
     """Sort every bucket; the answers are written in a folder per part."""
     told = blocks.groupBy("bucket").applyInArrow(_sort_bucket, "part long, n int, data binary")
     path = scratch_path(blocks.sparkSession, name)
     told.repartition("part").write.partitionBy("part").parquet(path)
-    return path
+    return _qualified(blocks.sparkSession, path)
+
+
+def _opened(folder: str):
+    """(file system, path) of a folder named by a qualified URI."""
+    from pyarrow import fs
+
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
 
 
 class _Known:
@@ -205,9 +231,10 @@ class _Known:
         from pyarrow import parquet as pq
 
         cols: list[list[np.ndarray]] = [[], [], []]
-        if folder.startswith("file:"):
-            folder = "/" + folder[5:].lstrip("/")
-        system, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, inner = _opened(folder)
+        if system.get_file_info(inner).type != fs.FileType.Directory:
+            # a part may have no answers, but their folder is always there: no answers at all would remove nothing
+            raise FileNotFoundError(f"{folder} is not visible to this task: spark.checkpoint.dir must be a folder that all tasks can open")
         found = system.get_file_info(fs.FileSelector(f"{inner}/part={part}", allow_not_found=True))
         for info in found:
             if info.base_name.endswith(".parquet"):
@@ -238,71 +265,101 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Record
                 yield int(part[x]), b.slice(x, y - x)
 
 
-def _scanned(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Runs]]:
-    """(first row, bytes, offsets, ids by text, runs) of every slice of a batch."""
-    ids = b.column(1).fill_null(_LAST).to_numpy()
-    for row, data, offsets in slices(b.column(2), _SLICE):
-        yield row, data, offsets, ids[row : row + len(offsets) - 1], Runs(data, offsets)
-
+class _Slice(NamedTuple):
+    """Some whole texts, or a piece of one long text from byte ``start`` on, which overlaps the next
+    piece by a byte less than a string's length: every string is in exactly one piece."""
 
-@lean
+    row: int
+    start: int
+    whole: np.ndarray  # all bytes of the texts
+    data: np.ndarray
+    offsets: np.ndarray
+    ids: np.ndarray
+    runs: Runs
 
 
-def _first_pass(batches, buckets: int):
-    part, found = None, []
+def _scanned(b: pa.RecordBatch) -> Iterator[_Slice]:
+    """Every slice of a batch of (part, id, text)."""
+    ids = b.column(1).fill_null(_LAST).to_numpy()
+    for row, data, offsets in slices(b.column(2), _SLICE):
+        own = ids[row : row + len(offsets) - 1]
+        if len(data) <= _PIECE:
+            yield _Slice(row, 0, data, data, offsets, own, Runs(data, offsets))
+            continue
+        for at in range(0, len(data) - LENGTH + 1, _PIECE):  # only a single text is longer than a slice
+            piece = data[at : at + _PIECE + LENGTH - 1]
+            ends = np.array([0, len(piece)])
+            yield _Slice(row, at, data, piece, ends, own, Runs(piece, ends))
+
+
+def _sent(batches, found_in, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of what ``found_in(part, slice)`` finds: one a part and bucket, more where a part's texts
+    are so long that it would hold over ``_HELD`` strings."""
+    part, found, held = None, [], 0
     for now, b in _by_part(batches):
         if now != part:
             yield from _blocks(part, found, buckets)
-            part, found = now, []
-        for _, _, _, ids, r in _scanned(b):
-            found.append((r.sample, r.content, ids[r.text]))
+            part, found, held = now, [], 0
+        for s in _scanned(b):
+            found.append(found_in(now, s))
+            held += len(found[-1][0])
+            if held > _HELD:
+                yield from _blocks(part, found, buckets)
+                found, held = [], 0
     yield from _blocks(part, found, buckets)
 
 
 @lean
+def _first_pass(batches, buckets: int):
+    yield from _sent(batches, lambda _, s: (s.runs.sample, s.runs.content, s.ids[s.runs.text]), buckets)
 
 
+@lean
 def _second_pass(batches, buckets: int, runs_path: str):
-    part, found, known = None, [], None
-    for now, b in _by_part(batches):
-        if now != part:
-            yield from _blocks(part, found, buckets)
-            part, found, known = now, [], _Known(runs_path, now)
-        for _, _, _, ids, r in _scanned(b):
-            own = ids[r.text]
-            gone, mixed = known.look(_key(r.sample, r.content), own)
-            run, _, head = r.expanded(np.flatnonzero(mixed & ~gone))
-            found.append((r.sample[run], head, own[run]))
-    yield from _blocks(part, found, buckets)
+    last: list = [None, None]
 
+    def heads(part: int, s: _Slice) -> tuple:
+        if last[0] != part:
+            last[:] = part, _Known(runs_path, part)
+        r, own = s.runs, s.ids[s.runs.text]
+        gone, mixed = last[1].look(_key(r.sample, r.content), own)
+        run, _, place, head = r.expanded(np.flatnonzero(mixed & ~gone))
+        return place, head, own[run]
 
-@lean
+    yield from _sent(batches, heads, buckets)
 
 
+@lean
 def _last_pass(batches, runs_path: str, heads_path: str, schema: pa.Schema):
-    part, runs, heads = None, None, None
+    part, runs, heads, before = None, None, None, None
+
+    def row(id_, data: np.ndarray, hit: np.ndarray) -> dict:
+        edge = np.flatnonzero(np.diff(np.r_[False, hit, False].view(np.int8)))
+        spans = [{"start": int(p), "end": int(q)} for p, q in zip(edge[::2], edge[1::2], strict=True)]
+        return {"id": id_, "n_bytes": len(data), "spans": spans, "kept": (data[~hit] if spans else data).tobytes()}
+
     for now, b in _by_part(batches):
         if now != part:
             part, runs, heads = now, _Known(runs_path, now), _Known(heads_path, now)
-        for row, data, offsets, ids, r in _scanned(b):
-            own = ids[r.text]
+        for s in _scanned(b):
+            r, own = s.runs, s.ids[s.runs.text]
             gone, mixed = runs.look(_key(r.sample, r.content), own)
-            run, at, head = r.expanded(np.flatnonzero(mixed & ~gone))
-            single, _ = heads.look(_key(r.sample[run], head), own[run])
-            cover = np.zeros(len(data) + 1, dtype=np.int64)
+            run, at, place, head = r.expanded(np.flatnonzero(mixed & ~gone))
+            single, _ = heads.look(_key(place, head), own[run])
+            cover = np.zeros(len(s.data) + 1, dtype=np.int64)
             np.add.at(cover, r.lo[gone], 1)
             np.add.at(cover, r.lo[gone] + r.n[gone] - 1 + LENGTH, -1)
             np.add.at(cover, at[single], 1)
             np.add.at(cover, at[single] + LENGTH, -1)
             hit = np.cumsum(cover)[:-1] > 0
-            rows = []
-            for k, (x, y) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                h = hit[x:y]
-                edge = np.flatnonzero(np.diff(np.r_[False, h, False].view(np.int8)))
-                spans = [{"start": int(p), "end": int(q)} for p, q in zip(edge[::2], edge[1::2], strict=True)]
-                rows.append({"id": b.column(1)[row + k].as_py(), "n_bytes": int(y - x), "spans": spans,
-                             "kept": data[x:y][~h].tobytes() if spans else data[x:y].tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            if len(s.data) == len(s.whole):
+                rows = [row(b.column(1)[s.row + k].as_py(), s.data[x:y], hit[x:y]) for k, (x, y) in enumerate(zip(s.offsets[:-1], s.offsets[1:], strict=True))]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                continue
+            before = np.zeros(len(s.whole), dtype=bool) if s.start == 0 else before
+            before[s.start : s.start + len(s.data)] |= hit
+            if s.start + _PIECE > len(s.whole) - LENGTH:  # the text's last piece
+                yield pa.RecordBatch.from_pylist([row(b.column(1)[s.row].as_py(), s.whole, before)], schema=schema)
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:

@@ -71,3 +71,38 @@ def test_parts_do_not_matter(docs):
 
 def test_empty(docs):
     assert suffix.query(docs([])).collect() == []
+
+
+@pytest.mark.parametrize("piece", [50, 64, 200])
+def test_long_texts_in_pieces(docs, monkeypatch, piece):
+    """Pieces of a few bytes: every string is still seen once, with its runs cut anywhere."""
+    monkeypatch.setattr(suffix, "_PIECE", piece)
+    monkeypatch.setattr(suffix, "_HELD", 40)
+    monkeypatch.setattr(suffix, "_SLICE", 30)
+    rnd = random.Random(piece)
+    shared = [noise(rnd, n) for n in (50, 90, 300)]
+    rows = [(i, noise(rnd, rnd.randint(0, 300)) + rnd.choice(shared) + noise(rnd, rnd.randint(0, 90)) + rnd.choice(shared)) for i in range(20)] + [(30, "ab"), (31, None)]
+    assert got(suffix.query(docs(rows))) == brute(rows)
+
+
+def test_one_very_long_text(docs):
+    """9 MB in one row, half of it in another document."""
+    rnd = random.Random(1)
+    long = "".join(f"{rnd.getrandbits(40):x} " for _ in range(850_000))
+    half = long[: len(long) // 2]
+    out = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.query(docs([(1, half), (2, long)])).collect()}
+    assert out == {1: (len(half), 0, 0), 2: (len(long), len(half), 1)}
+
+
+def test_phrase_in_many_neighbourhoods(docs):
+    """One sample with as many runs as documents; their single heads go to different buckets."""
+    rnd = random.Random(2)
+    phrase = noise(rnd, 45)
+    rows = [(i, noise(rnd, 60) + phrase + noise(rnd, 60)) for i in range(400)] + [(500 + i, f"{'x' * 10}{phrase}same end of it all {i}") for i in range(40)]
+    assert got(suffix.query(docs(rows))) == brute(rows)
+
+
+def test_answers_that_cannot_be_seen_stop_the_query(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix, "_qualified", lambda spark, path: "file:/nowhere/else")
+    with pytest.raises(Exception, match="not visible"):
+        suffix.query(docs([(1, "a" * 60), (2, "a" * 60)])).collect()
