@@ -248,10 +248,16 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """One document of each component (the one whose id names it) with all its columns."""
+    """One document of each component (the one whose id names it) with all its columns; of rows
+    repeated with one id and text one stays."""
     found = join_components(docs, id_col, text_col, **kw)
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    several = written(docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(id_col), "several-rows")
+    if several.isEmpty():
+        return left
+    repeated = left.join(several, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(several, id_col, "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:

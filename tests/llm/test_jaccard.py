@@ -109,3 +109,10 @@ def test_components(spark, seed):
     want = union({x for e in edges for x in e}, edges)
     found = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r["node"]: r["component"] for r in found} == {n: want[n] for n in nodes} and len(found) == len(nodes)
+
+
+def test_deduplicate_repeated_rows(docs):
+    """Rows repeated with one id and text stay once; another text under the id stays with it."""
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "other words are in here"), (3, "other words are in here"), (4, ""), (4, ""), (5, None)]
+    kept = jaccard.deduplicate(docs(rows)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, "a b c d e f"), (3, "other words are in here"), (4, ""), (5, "")]

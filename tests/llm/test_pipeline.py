@@ -40,7 +40,9 @@ def test_toxicity(spark, stages):
 
 def test_lines(stages):
     _, docs, _, rows = stages[1]
-    want = {i: (kept, sha) for i, _, _, kept, sha in lines(pairs(docs))}
+    every = lines(pairs(docs))
+    want = {i: (kept, sha) for i, _, gone, kept, sha in every if kept or not gone}  # what nothing is left of goes
+    assert len(every) - len(want) < len(every) // 4
     import hashlib
 
     assert {r["doc_id"]: (len(r["text"].encode()), hashlib.sha256(r["text"].encode()).hexdigest()) for r in rows} == want
@@ -68,6 +70,6 @@ def test_registered(spark):
     import __spark_entry__ as E
 
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
     assert set(E.oracle_sql()) <= set(E.queries())
     assert all(m for m in (decontaminate, jaccard, linedup))
