@@ -20,12 +20,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines are cut out of the texts; ``n_chars`` follows."""
-    return linedup.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    """Later repeated runs of lines are cut out of the texts; ``n_chars`` follows. A document all
+    of whose lines are such runs goes: nothing is left of it."""
+    removed = "_pipeline_removed_lines"
+    kept = linedup.dedup_lines(docs, removed=removed).filter(~((F.col(removed) > 0) & (F.col("text") == ""))).drop(removed)
+    return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each Jaccard component stays. Empty texts link with nothing and stay."""
+    """One document of each Jaccard component stays, once if its row is repeated. Empty texts link with
+    nothing and stay."""
     return jaccard.deduplicate(docs, size=5, percent=80)
 
 
