@@ -112,19 +112,31 @@ def _reports(texts: pa.Array, known: WindowSet) -> Iterator[dict]:
             yield {"n_words": int(n), "spans": spans.get(d, []), "items": sorted(items.get(d, ()))}
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block: int) -> list[list]:
-    """Items in blocks of at most ``block`` windows (one item at least), in the driver one at
-    a time."""
-    blocks, size = [[]], 0
+def _pieces(text: str, window: int, block: int) -> Iterator[str]:
+    """An item's text, cut into pieces of at most ``block`` windows that overlap by all but one
+    word of a window, so that every window is in exactly one piece."""
+    raw = text.encode()
+    at = [m.span() for m in _WORD.finditer(raw)]
+    if len(at) - window + 1 <= block:
+        yield text
+        return
+    for k in range(0, len(at) - window + 1, block):
+        yield raw[at[k][0] : at[min(k + block + window - 2, len(at) - 1)][1]].decode()
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block: int) -> Iterator[list]:
+    """Items in blocks of at most ``block`` windows; the driver holds one block (and one item)."""
+    held, size = [], 0
     rows = benchmark.select(F.col(id_col).cast("string"), text_col).filter(F.col(text_col).isNotNull())
     for item, text in rows.toLocalIterator():
-        n = len(item_windows(text, window))
-        if blocks[-1] and size + n > block:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
-        size += n
-    return blocks
+        for piece in _pieces(text, window, block):
+            n = len(item_windows(piece, window))
+            if held and size + n > block:
+                yield held
+                held, size = [], 0
+            held.append((item, piece))
+            size += n
+    yield held
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -135,34 +147,30 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     sc = docs.sparkSession.sparkContext
     schema = T.StructType([*[f for f in docs.schema.fields if f.name != out], T.StructField(out, REPORT)])
     kept = [f.name for f in docs.schema.fields if f.name != out]
-    blocks = _blocks(benchmark, item_col, item_text_col, window, block_windows)
 
-    def one(known, frame: DataFrame) -> DataFrame:
+    def one(known, frame: DataFrame, more: bool) -> DataFrame:
         @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                r = pa.array(_reports_list(b.column(text_col), known.value), type=arrow_report())
+                found = _reports_list(b.column(text_col), known.value)
+                if more:  # united with the report of the blocks before, in the row itself (no shuffle)
+                    found = [_united(x, y) for x, y in zip(b.column(out).to_pylist(), found, strict=True)]
+                r = pa.array(found, type=arrow_report())
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], r], names=[*kept, out])
 
-        return frame.select(*kept).mapInArrow(run, schema)
-
-    sets = [sc.broadcast(WindowSet(b, window)) for b in blocks]
-    if len(sets) == 1:
-        return one(sets[0], docs)
-    # several blocks: each adds its own report, united in the row itself (no shuffle); a
-    # written table between two scans, so that a task holds one block's windows at a time
-    frame = one(sets[0], docs)
-    for known in sets[1:]:
-        @lean
-        def more(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                new = _reports_list(b.column(text_col), known.value)
-                old = b.column(out).to_pylist()
-                r = pa.array([_united(x, y) for x, y in zip(old, new, strict=True)], type=arrow_report())
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], r], names=[*kept, out])
+        return frame.mapInArrow(run, schema)
 
-        frame = written(frame, "decontaminate").mapInArrow(more, schema)
-    return frame
+    # a written table between two blocks: one block's windows at a time, in the driver and in the tasks
+    frame, more = docs.select(*kept), False
+    blocks = _blocks(benchmark, item_col, item_text_col, window, block_windows)
+    block = next(blocks)
+    while True:
+        known = sc.broadcast(WindowSet(block, window))
+        frame, block = one(known, frame, more), next(blocks, None)
+        if block is None:
+            return frame
+        frame, more = written(frame, "decontaminate"), True
+        known.destroy()
 
 
 def _reports_list(texts: pa.Array, known: WindowSet) -> list[dict]:
