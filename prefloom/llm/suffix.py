@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import lean
+from prefloom.llm.common import lean, qualified
 from prefloom.llm.words import _BYTE, mix, slices
 from prefloom.session import scratch_path
 
@@ -200,18 +200,12 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("n", pa.int32()), ("data", pa.binary())]))
 
 
-def _qualified(spark, path: str) -> str:
-    """The path with the scheme and authority by which Spark has written it."""
-    own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
-
-
 def _answers(blocks: DataFrame, name: str) -> str:
     """Sort every bucket; the answers are written in a folder per part."""
     told = blocks.groupBy("bucket").applyInArrow(_sort_bucket, "part long, n int, data binary")
     path = scratch_path(blocks.sparkSession, name)
     told.repartition("part").write.partitionBy("part").parquet(path)
-    return _qualified(blocks.sparkSession, path)
+    return qualified(blocks.sparkSession, path)
 
 
 def _opened(folder: str):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import lean, written
+from prefloom.llm.common import lean, qualified, written
 from prefloom.session import scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
@@ -62,7 +62,7 @@ def _opened(path: str, mode: str):
         return
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     if mode == "wb":
         system.create_dir(inner.rpartition("/")[0], recursive=True)
     with (system.open_output_stream(inner) if mode == "wb" else system.open_input_file(inner)) as f:
@@ -95,9 +95,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """Write ``pages`` under ``folder``; returns the manifest (path, bytes, records)."""
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     src = src.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    first = src.groupBy("sha").agg(F.min("id").alias("first"))
+    # written: a join with a table, unlike one with an aggregate in its stage, can be split where a payload is hot
+    first = written(src.groupBy("sha").agg(F.min("id").alias("first")), "first-pages")
+    folder = qualified(pages.sparkSession, folder)
     revisit = (F.octet_length("html") >= revisit_from) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    rows = src.join(first, "sha").select("id", "url", "html", "first", revisit.alias("revisit"))
+    rows = src.join(first.hint("merge"), "sha").select("id", "url", "html", "first", revisit.alias("revisit"))
 
     @lean
 

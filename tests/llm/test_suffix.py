@@ -103,6 +103,6 @@ def test_phrase_in_many_neighbourhoods(docs):
 
 
 def test_answers_that_cannot_be_seen_stop_the_query(spark, docs, monkeypatch):
-    monkeypatch.setattr(suffix, "_qualified", lambda spark, path: "file:/nowhere/else")
+    monkeypatch.setattr(suffix, "qualified", lambda spark, path: "file:/nowhere/else")
     with pytest.raises(Exception, match="not visible"):
         suffix.query(docs([(1, "a" * 60), (2, "a" * 60)])).collect()
