@@ -215,9 +215,10 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     open_lists = written(open_lists.filter("a <> b").select("token", "main"), "open-lists")
     named = named.join(open_lists, "token")
     # what the list's hub already knows of each entry
-    hub = named.filter("is_hub").groupBy("token").agg(F.min("id").alias("hub"))
+    hub = written(named.filter("is_hub").groupBy("token").agg(F.min("id").alias("hub")), "hubs")
     of_hub = answers.groupBy(F.col("u").alias("id"), F.col("v").alias("hub")).agg(
         F.when(F.count(F.lit(1)) == 1, F.max("common")).alias("with_hub"), F.max("nv").alias("nh"))  # unknown if an id has several sets
+    of_hub = written(of_hub, "hub-answers")
     named = written(named.join(hub, "token").join(of_hub, ["id", "hub"], "left"), "open-entries")
     loose = named.filter("component <> main AND NOT is_hub")
     x, y = loose.alias("x"), named.filter("NOT is_hub").alias("y")
