@@ -163,6 +163,8 @@ def read_train_logs(spark: SparkSession, glob: str) -> DataFrame:
     record = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     x = raw.select(method.alias("method"), record.alias("rec"))
     x = x.select("method", F.col("rec")["step"].try_cast("double").cast("bigint").alias("step"), F.explode_outer("rec").alias("metric", "text"))
+    # the parser quotes what is a number only by an extension
+    x = x.withColumn("text", F.when(F.col("text").rlike('^"(NaN|[+-]?Infinity|[+-]?INF)"$'), F.btrim("text", F.lit('"'))).otherwise(F.col("text")))
     return x.where(F.col("metric") != "step").select("method", "step", "metric", F.col("text").try_cast("double").alias("value"), "text")
 
 

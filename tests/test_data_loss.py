@@ -88,9 +88,9 @@ def test_beta_sweep_keeps_every_metric(spark, folder):
 
 def test_splits_keep_null_keys_and_strata(spark):
     df = spark.range(100).select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("ord"), F.when(F.col("id") % 4 != 0, F.col("id") % 3).alias("s"), F.col("id").alias("x"))
-    out = train_val_split(df, 0.25, key="ord", digits=1).collect()
+    out = train_val_split(df, 0.25, key="ord", bound=1).collect()
     assert sorted(r.x for r in out) == list(range(100)) and sum(r.split == "validation" for r in out) == 25
-    strata = stratified_split(df, "s", 0.1, key="ord", digits=1).collect()
+    strata = stratified_split(df, "s", 0.1, key="ord", bound=1).collect()
     assert sorted(r.x for r in strata) == list(range(100)) and sum(r.split == "validation" for r in strata) == 10
     by = {}
     for r in strata:
@@ -101,13 +101,13 @@ def test_splits_keep_null_keys_and_strata(spark):
 def test_split_is_exact_with_equal_keys(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("ord"), (F.col("id") % 7).alias("x"))
     for ratio in (0.1, 0.333, 0.9):
-        out = train_val_split(df, ratio, key="ord", digits=2)
+        out = train_val_split(df, ratio, key="ord", bound=3)
         assert out.count() == 1000 and out.where("split = 'validation'").count() == math.ceil(1000 * ratio)
 
 
 def test_many_strata(spark):
     df = spark.range(3000).select("id", (F.col("id") % 900).alias("s"))
-    out = stratified_split(df, "s", 0.1, key="id", digits=1).collect()
+    out = stratified_split(df, "s", 0.1, key="id", bound=1).collect()
     sizes = {}
     for r in out:
         sizes[r.s] = sizes.get(r.s, 0) + (r.split == "validation")
