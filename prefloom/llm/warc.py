@@ -95,11 +95,13 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """Write ``pages`` under ``folder``; returns the manifest (path, bytes, records)."""
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     src = src.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    # written: a join with a table, unlike one with an aggregate in its stage, can be split where a payload is hot
-    first = written(src.groupBy("sha").agg(F.min("id").alias("first")), "first-pages")
+    # only payloads that occur again, written: the planner's size check broadcasts a small table, so that no
+    # html moves; a join with a larger one can be split where a payload is hot
+    first = src.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c"))
+    first = written(first.filter("c > 1").drop("c"), "first-pages")
     folder = qualified(pages.sparkSession, folder)
     revisit = (F.octet_length("html") >= revisit_from) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    rows = src.join(first.hint("merge"), "sha").select("id", "url", "html", "first", revisit.alias("revisit"))
+    rows = src.join(first, "sha", "left").select("id", "url", "html", "first", revisit.alias("revisit"))
 
     @lean
 
