@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from prefloom.operators import near
 from prefloom.operators.near import near_mode_collapse, near_nodes, near_pairs
 from prefloom.operators.runs import mode_collapse
 from prefloom.sources.sinks import persist
@@ -105,3 +106,38 @@ def test_one_prompt_never_collapses(spark):
 
 def test_empty_table(spark):
     assert near_mode_collapse(frame(spark, [("g", 1, "x")]).where(F.lit(False))).collect() == []
+
+
+def test_only_shared_keys_are_joined(spark, monkeypatch):
+    """Texts that share no key with another prompt's leave before the nodes of a key meet."""
+    written = {}
+
+    def counted(df, name):
+        out = persist(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near, "persist", counted)
+    rnd = random.Random(6)
+    rows = [("g", i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(30))) for i in range(200)]
+    rows += [("g", 1000 + k, " ".join(f"c{i}" for i in range(40)) + f" end{k}") for k in range(2)] + [("g", 2000, " ".join(f"o{i + k}" for i in range(40))) for k in range(2)]
+    assert got(near_mode_collapse(frame(spark, rows))) == {"g": (204, 2)}
+    assert written["near-nodes"] == 204 and written["near-all-keys"] == 204 * near.BANDS
+    assert 2 <= written["near-keys"] <= 2 * near.BANDS
+
+
+def test_sets_and_keys_are_not_interpreted(spark):
+    """The 80 least hashes of a set are not 80 interpreted passes of Spark's over it."""
+    df = spark.createDataFrame([([1, 2, 3],)], "sh array<long>")
+    plan = df.select(near._band_keys("sh", 16, 5).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 15])
+def test_keys_do_not_depend_on_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    rows = [("a", list(range(k, k + k % 9 + 1))) for k in range(50)] + [("a", list(range(3)))]
+    got = spark.createDataFrame(rows, "g string, sh array<long>").coalesce(1).select("sh", near._band_keys("sh", 4, 2).alias("b")).collect()
+    alone = spark.createDataFrame(rows, "g string, sh array<long>").repartition(51).select("sh", near._band_keys("sh", 4, 2).alias("b")).collect()
+    assert {tuple(r["sh"]): r["b"] for r in got} == {tuple(r["sh"]): r["b"] for r in alone}
+    assert all(len(r["b"]) == 4 for r in got)
