@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefloom.functions.text import collapse_ws, dedup_key, tokens
+from prefloom.functions.text import collapse_ws, dedup_key, words
 
 # --- fixed values -----------------------------------------------------------
 METHODS = ["sft", "dpo", "ppo"]
@@ -25,6 +25,8 @@ KV_DTYPE_BYTES = 2
 LOSS_TYPES = ["sigmoid", "hinge", "ipo"]
 DEFAULT_BETAS = [0.05, 0.1, 0.2, 0.5]
 SKETCH_LG_K = 14
+# frequent n-grams (at most so many, found so often in such a share of the texts) are dealt to so many parts
+FREQUENT, FREQUENT_FROM, SAMPLE, PARTS = 1000, 10, 0.01, 64
 # ---------------------------------------------------------------------------
 
 
@@ -146,23 +148,45 @@ def ngrams(df: DataFrame, text: str = "response", n: int = 4, hashed: bool = Fal
     """Whitespace tokens -> all contiguous n-grams (one row each). With ``hashed`` the
     n-gram is kept as two independent 64-bit xxhash values (128 bits: collisions are
     negligible even for 10^12 distinct n-grams) to cut shuffle bytes at scale."""
-    x = df.withColumn("_t", tokens(text))
-    starts = F.sequence(F.lit(1), F.size("_t") - n + 1)
+    x = df.withColumn("_t", words(text))
+    starts = F.sequence(F.lit(0), F.size("_t") - n)
     x = x.withColumn("_i", F.explode(F.when(F.size("_t") >= n, starts).otherwise(F.array().cast("array<int>"))))
-    g = F.array_join(F.slice("_t", F.col("_i"), n), " ")
-    key = F.struct(F.xxhash64(g).alias("h1"), F.xxhash64(g, F.lit("\u0001")).alias("h2")) if hashed else g
-    return x.withColumn("ngram", key).drop("_t", "_i")
+    parts = [F.get("_t", F.col("_i") + k) for k in range(n)]
+    hashes = F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("\u0001"), *parts).alias("h2"))
+    return x.withColumn("ngram", hashes if hashed else F.concat_ws(" ", *parts)).drop("_t", "_i")
+
+
+def _frequent(grams: DataFrame) -> list[int]:
+    """First hashes of n-grams that are frequent among ``grams``, at most ``FREQUENT`` of them."""
+    often = grams.groupBy(F.col("ngram.h1").alias("h")).count().where(F.col("count") >= FREQUENT_FROM)
+    return [r["h"] for r in often.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()]
 
 
 def distinct_n(responses: DataFrame, by=("group",), n: int = 4, hashed: bool = False) -> DataFrame:
     """Distinct-n = distinct n-grams / all n-grams per group. Spark plans the
     distinct count by shuffling on (group, ngram), so a hot group is spread out. Exact; see
-    :func:`distinct_n_sketch` for a bounded state per group."""
+    :func:`distinct_n_sketch` for a bounded state per group.
+
+    ``hashed`` is for texts whose n-grams hardly recur: a task that combined them before the
+    shuffle would hold all n-grams of its split, so they are dealt out first and counted in parts
+    of the shuffle's size. n-grams that a sample of the texts shows to be frequent are dealt to
+    several tasks and merged; the sample decides nothing else, all n-grams are counted."""
     g = ngrams(responses, n=n, hashed=hashed)
-    return g.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("ngrams"),
-        F.count_distinct("ngram").alias("distinct_ngrams"),
-    ).withColumn("distinct_n", F.col("distinct_ngrams") / F.col("ngrams"))
+    if hashed:
+        frequent = _frequent(ngrams(responses.sample(SAMPLE, seed=1), n=n, hashed=True))
+        often = F.col("_h1").isin(frequent) if frequent else F.lit(False)
+        key = [*by, "_h1", "_h2", "_part"]
+        g = g.select(*by, F.col("ngram.h1").alias("_h1"), F.col("ngram.h2").alias("_h2"))
+        g = g.withColumn("_part", F.when(often, F.spark_partition_id() % PARTS).otherwise(0))
+        counts = g.repartition(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("_c"))
+        merged = F.collect_set(F.when(often, F.struct("_h1", "_h2")))
+        out = counts.groupBy(*by).agg(F.sum("_c").alias("ngrams"), (F.count_if(~often) + F.size(merged)).alias("distinct_ngrams"))
+    else:
+        out = g.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("ngrams"),
+            F.count_distinct("ngram").alias("distinct_ngrams"),
+        )
+    return out.withColumn("distinct_n", F.col("distinct_ngrams") / F.col("ngrams"))
 
 
 def distinct_n_sketch(responses: DataFrame, by=("group",), n: int = 4, lg_k: int = SKETCH_LG_K) -> DataFrame:

@@ -104,3 +104,27 @@ def test_sketch_within_its_bound_for_every_group(spark):
     for r in exact:
         assert r["ngrams"] == found[r["group"]]["ngrams"]
         assert abs(found[r["group"]]["distinct_ngrams"] - r["distinct_ngrams"]) <= max(1, G.sketch_error() * r["distinct_ngrams"])
+
+
+def hashed_counts(df):
+    return sorted(((r["group"] or "", r["ngrams"], r["distinct_ngrams"], r["distinct_n"]) for r in G.distinct_n(df, hashed=True).collect()), key=str)
+
+
+@pytest.mark.parametrize("sample, at_most", [(0.0, 1000), (1.0, 1000), (1.0, 3)])
+def test_hashed_counts_with_frequent_ngrams(spark, monkeypatch, sample, at_most):
+    """The sample decides where n-grams are counted, not what is counted: none, all and few frequent ones."""
+    monkeypatch.setattr(G, "SAMPLE", sample)
+    monkeypatch.setattr(G, "FREQUENT", at_most)
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "b", None]), "a common first line \u2003 of all " + " ".join(f"w{rnd.randrange(9)}" for _ in range(rnd.randrange(30)))) for _ in range(300)]
+    df = spark.createDataFrame([*rows, ("c", "too short"), ("a", None), ("a", "")], "group string, response string").repartition(7)
+    exact = sorted(((r["group"] or "", r["ngrams"], r["distinct_ngrams"], r["distinct_n"]) for r in G.distinct_n(df).collect()), key=str)
+    assert hashed_counts(df) == exact and len(exact) == 3
+
+
+def test_hashed_ngrams_are_dealt_out_before_they_are_counted(spark):
+    """No task holds all n-grams of its split: nothing is aggregated below the first shuffle."""
+    df = spark.createDataFrame([("a", "one two three four five")], "group string, response string")
+    plan = G.distinct_n(df, hashed=True)._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.rindex("Exchange hashpartitioning")
+    assert "_h1" in plan[dealt:].split("\n")[0] and "Aggregate" not in plan[dealt:]
