@@ -13,7 +13,8 @@ positional difference cover but one chosen by content, which needs far fewer rec
 * Pass 1 looks at runs: every part of the table sends its distinct runs, bucketed by sample, as packed columns; a
   bucket is grouped in one task. A run whose content starts in a smaller document is removed as a whole
   (the long ties). A sample that only one document holds, or that always has the same run,
-  needs nothing more.
+  needs nothing more. A part sends few runs of one sample (``_few``): a phrase with many neighbourhoods
+  does not fill its bucket.
 * Pass 2 looks at single heads, only those of samples that occur with different runs: the edges of
   repeated passages. Their buckets follow from the heads themselves, so that the many neighbourhoods of
   one phrase are spread over all of them.
@@ -37,23 +38,29 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import lean, qualified
+from prefloom.llm.common import lean, qualified, released
 from prefloom.llm.words import _BYTE, mix, slices
 from prefloom.session import scratch_path
 
 LENGTH = 50
 GRAM = 24
 PART_ROWS = 1 << 12
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 128
 _SLICE = 1 << 16
 #: bytes of a long text scanned at a time; strings a part's task holds before it sends them
 _PIECE = 1 << 20
 _HELD = 1 << 21
+#: strings of a bucket that its task sorts at a time
+_SORTED = 1 << 20
+#: runs of one sample that a part sends, and the content of the entry for those above them
+_KINDS = 64
+_MORE = np.uint64(1 << 48)
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
 _SPREAD = _U(0xA0761D6478BD642F)
@@ -151,11 +158,29 @@ def _distinct(sample, content, ids):
     return s[at], c[at], np.minimum.reduceat(d, at) if len(at) else d, np.maximum.reduceat(d, at) if len(at) else d
 
 
-def _blocks(part: int, found: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+def _few(sample, content, lo, hi):
+    """At most ``_KINDS`` distinct runs of a sample, those of least content. One entry stands for the others,
+    with the least and largest id of all: more tell a bucket only that the sample is mixed, which it then is,
+    and the heads of runs that were not sent are seen in pass 2."""
+    at = np.flatnonzero(np.r_[True, sample[1:] != sample[:-1]]) if len(sample) else np.empty(0, dtype=np.int64)
+    count = np.diff(np.r_[at, len(sample)])
+    many = count > _KINDS
+    if not many.any():
+        return sample, content, lo, hi
+    least, largest = np.minimum.reduceat(lo, at)[many], np.maximum.reduceat(hi, at)[many]
+    mark = at[many] + _KINDS
+    content[mark], lo[mark], hi[mark] = _MORE, least, largest
+    keep = np.arange(len(sample)) - np.repeat(at, count) <= _KINDS
+    return sample[keep], content[keep], lo[keep], hi[keep]
+
+
+def _blocks(part: int, found: list[tuple], buckets: int, few: bool) -> Iterator[pa.RecordBatch]:
     """The distinct strings of a part, packed by bucket."""
     if not found:
         return
     s, c, lo, hi = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    if few:
+        s, c, lo, hi = _few(s, c, lo, hi)
     bucket = (s * _U(buckets)) >> _U(40)
     ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=_U))
     rows = []
@@ -167,18 +192,11 @@ def _blocks(part: int, found: list[tuple], buckets: int) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("n", pa.int32()), ("data", pa.binary())]))
 
 
-def _sort_bucket(table: pa.Table) -> pa.Table:
-    """All parts' strings of one bucket: what each part must know about its own."""
-    cols: list[list[np.ndarray]] = [[], [], [], [], []]
-    parts, ns = table.column("part").to_numpy(), table.column("n").to_numpy()
-    for part, n, data in zip(parts, ns, table.column("data").to_pylist(), strict=True):
-        own = _unpack(data, int(n), 4)
-        own[0] = np.cumsum(own[0], dtype=_U)
-        for x, v in zip(cols, [*own, np.full(n, part)], strict=True):
-            x.append(v)
-    s, c, lo, gap, part = (np.concatenate(x) for x in cols)
-    lo = lo.view(np.int64)
-    hi = lo + gap.view(np.int64)
+def _told(columns: list[list[np.ndarray]]) -> Iterator[dict]:
+    """What each part must know about its own of these strings, which are all that the table has of their samples."""
+    s, c, lo, hi, part = (np.concatenate(columns.pop(0)) for _ in range(5))
+    lo, hi = lo.view(np.int64), hi.view(np.int64)
+    hi += lo
     order = np.lexsort((c, s))
     s, c, lo, hi, part = s[order], c[order], lo[order], hi[order], part[order]
     new_s = np.r_[True, s[1:] != s[:-1]]
@@ -186,23 +204,40 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     at, at_s = np.flatnonzero(new), np.flatnonzero(new_s)
     spread = lambda v, starts: np.repeat(v, np.diff(np.r_[starts, len(s)]))
     first = spread(np.minimum.reduceat(lo, at), at)
-    kinds = spread(np.add.reduceat(new.astype(np.int64), at_s), at_s)
-    shared = spread(np.minimum.reduceat(lo, at_s), at_s) < spread(np.maximum.reduceat(hi, at_s), at_s)
-    mixed = (kinds > 1) & shared
+    mixed = spread((np.add.reduceat(new.astype(np.int64), at_s) > 1) & (np.minimum.reduceat(lo, at_s) < np.maximum.reduceat(hi, at_s)), at_s)
     tell = (first < hi) | mixed
     order = np.flatnonzero(tell)[np.argsort(part[tell], kind="stable")]
-    rows = []
     bounds = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else []
     for x, y in zip(bounds, [*bounds[1:], len(order)], strict=False):
         i = order[x:y]
-        data = _pack([_key(s[i], c[i]), first[i].view(_U), mixed[i].astype(_U)])
-        rows.append({"part": int(part[i[0]]), "n": len(i), "data": data})
+        data = _pack([_key(s[i], c[i]), first[i].view(_U), mixed[i].astype(_U) + (c[i] == _MORE)])
+        yield {"part": int(part[i[0]]), "n": len(i), "data": data}
+
+
+def _sort_bucket(table: pa.Table, buckets: int) -> pa.Table:
+    """All parts' strings of one bucket, ``_SORTED`` at a time: what each part must know about its own."""
+    bucket, total, rows = table.column("bucket")[0].as_py(), pc.sum(table.column("n")).as_py(), []
+    ranges = -(-total // _SORTED)  # of the bucket's samples
+    ends = [-(-((bucket * ranges + k) << 40) // (buckets * ranges)) for k in range(ranges + 1)]
+    for low, high in zip(ends[:-1], ends[1:], strict=True):
+        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        for b in table.to_batches():
+            for part, n, data in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("data"), strict=True):
+                own = _unpack(data.as_buffer(), n, 4)
+                own[0] = np.cumsum(own[0], dtype=_U)
+                x, y = np.searchsorted(own[0], np.array([low, high], dtype=_U))
+                for to, v in zip(cols, own, strict=False):
+                    to.append(v if y - x == n else v[x:y].copy())
+                cols[4].append(np.full(y - x, part))
+        if any(map(len, cols[0])):
+            rows += _told(cols)
+    released()
     return pa.Table.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("n", pa.int32()), ("data", pa.binary())]))
 
 
-def _answers(blocks: DataFrame, name: str) -> str:
+def _answers(blocks: DataFrame, name: str, buckets: int) -> str:
     """Sort every bucket; the answers are written in a folder per part."""
-    told = blocks.groupBy("bucket").applyInArrow(_sort_bucket, "part long, n int, data binary")
+    told = blocks.groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, buckets), "part long, n int, data binary")
     path = scratch_path(blocks.sparkSession, name)
     told.repartition("part").write.partitionBy("part").parquet(path)
     return qualified(blocks.sparkSession, path)
@@ -218,7 +253,8 @@ def _opened(folder: str):
 
 
 class _Known:
-    """A part's answers: sorted keys with the first id and whether the sample is mixed."""
+    """A part's answers: sorted keys with the first id and whether the sample is mixed; keys of the entries
+    for runs that were not sent."""
 
     def __init__(self, folder: str, part: int):
         from pyarrow import fs
@@ -238,7 +274,8 @@ class _Known:
                             x.append(v)
         keys, first, mixed = (np.concatenate(x) if x else np.empty(0, dtype=_U) for x in cols)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.first, self.mixed = keys[order], first[order].view(np.int64), mixed[order] > 0
+        self.keys, self.first, mixed = keys[order], first[order].view(np.int64), mixed[order]
+        self.mixed, self.more = mixed > 0, self.keys[mixed > 1]
 
     def look(self, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts in a smaller document, sample is mixed) of each key."""
@@ -248,6 +285,14 @@ class _Known:
         known = self.keys[at] == keys
         return known & (self.first[at] < ids), known & self.mixed[at]
 
+    def look_runs(self, r: Runs, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of each run; one that was not sent is known to have a mixed sample only."""
+        gone, mixed = self.look(_key(r.sample, r.content), ids)
+        if len(self.more) and len(ids):
+            keys = _key(r.sample, _MORE)
+            mixed |= self.more[np.minimum(np.searchsorted(self.more, keys), len(self.more) - 1)] == keys
+        return gone, mixed
+
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Batches of (part, id, text) cut where the part changes."""
@@ -286,26 +331,26 @@ def _scanned(b: pa.RecordBatch) -> Iterator[_Slice]:
             yield _Slice(row, at, data, piece, ends, own, Runs(piece, ends))
 
 
-def _sent(batches, found_in, buckets: int) -> Iterator[pa.RecordBatch]:
+def _sent(batches, found_in, buckets: int, few: bool = False) -> Iterator[pa.RecordBatch]:
     """Blocks of what ``found_in(part, slice)`` finds: one a part and bucket, more where a part's texts
     are so long that it would hold over ``_HELD`` strings."""
     part, found, held = None, [], 0
     for now, b in _by_part(batches):
         if now != part:
-            yield from _blocks(part, found, buckets)
+            yield from _blocks(part, found, buckets, few)
             part, found, held = now, [], 0
         for s in _scanned(b):
             found.append(found_in(now, s))
             held += len(found[-1][0])
             if held > _HELD:
-                yield from _blocks(part, found, buckets)
+                yield from _blocks(part, found, buckets, few)
                 found, held = [], 0
-    yield from _blocks(part, found, buckets)
+    yield from _blocks(part, found, buckets, few)
 
 
 @lean
 def _first_pass(batches, buckets: int):
-    yield from _sent(batches, lambda _, s: (s.runs.sample, s.runs.content, s.ids[s.runs.text]), buckets)
+    yield from _sent(batches, lambda _, s: (s.runs.sample, s.runs.content, s.ids[s.runs.text]), buckets, few=True)
 
 
 @lean
@@ -316,7 +361,7 @@ def _second_pass(batches, buckets: int, runs_path: str):
         if last[0] != part:
             last[:] = part, _Known(runs_path, part)
         r, own = s.runs, s.ids[s.runs.text]
-        gone, mixed = last[1].look(_key(r.sample, r.content), own)
+        gone, mixed = last[1].look_runs(r, own)
         run, _, place, head = r.expanded(np.flatnonzero(mixed & ~gone))
         return place, head, own[run]
 
@@ -337,7 +382,7 @@ def _last_pass(batches, runs_path: str, heads_path: str, schema: pa.Schema):
             part, runs, heads = now, _Known(runs_path, now), _Known(heads_path, now)
         for s in _scanned(b):
             r, own = s.runs, s.ids[s.runs.text]
-            gone, mixed = runs.look(_key(r.sample, r.content), own)
+            gone, mixed = runs.look_runs(r, own)
             run, at, place, head = r.expanded(np.flatnonzero(mixed & ~gone))
             single, _ = heads.look(_key(place, head), own[run])
             cover = np.zeros(len(s.data) + 1, dtype=np.int64)
@@ -367,8 +412,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     block = "bucket int, part long, n int, data binary"
-    runs_path = _answers(rows.mapInArrow(lambda it: _first_pass(it, buckets), block), "runs")
-    heads_path = _answers(rows.mapInArrow(lambda it: _second_pass(it, buckets, runs_path), block), "heads")
+    runs_path = _answers(rows.mapInArrow(lambda it: _first_pass(it, buckets), block), "runs", buckets)
+    heads_path = _answers(rows.mapInArrow(lambda it: _second_pass(it, buckets, runs_path), block), "heads", buckets)
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
     out = rows.mapInArrow(lambda it: _last_pass(it, runs_path, heads_path, schema), "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)

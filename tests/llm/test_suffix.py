@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from prefloom.llm import suffix
@@ -106,3 +109,54 @@ def test_answers_that_cannot_be_seen_stop_the_query(spark, docs, monkeypatch):
     monkeypatch.setattr(suffix, "qualified", lambda spark, path: "file:/nowhere/else")
     with pytest.raises(Exception, match="not visible"):
         suffix.query(docs([(1, "a" * 60), (2, "a" * 60)])).collect()
+
+
+def test_repeats_in_many_neighbourhoods(docs):
+    """Samples of more runs than a part sends: what repeats of them is still found, head by head."""
+    rnd = random.Random(4)
+    phrase = noise(rnd, 40)
+    around = [(noise(rnd, 40), noise(rnd, 40)) for _ in range(300)]
+    rows = [(i, a + phrase + b) for i, (a, b) in enumerate(around)] + [(1000 + i, f"{i} {a[20:]}{phrase}{b[:20]} {i}") for i, (a, b) in enumerate(around)]
+    rows += [(-1 - i, f"{a[35:]}{phrase}{b[:5]}") for i, (a, b) in enumerate(around[:90])]
+    rnd.shuffle(rows)
+    assert got(suffix.query(docs(rows, 2))) == brute(rows)
+
+
+def test_a_part_sends_few_runs_of_a_sample():
+    rnd = random.Random(6)
+    phrase = noise(rnd, 45, "abcdefgh ")
+    texts = [noise(rnd, 60, "abcdefgh ") + phrase + noise(rnd, 60, "abcdefgh ") for _ in range(400)]
+    batch = pa.record_batch([pa.array([0] * 400), pa.array(range(400)), pa.array(texts)], names=["part", "id", "text"])
+    samples = [np.cumsum(suffix._unpack(data, n, 4)[0], dtype=np.uint64) for b in suffix._first_pass(iter([batch]), 128) for n, data in zip(b["n"].to_pylist(), b["data"].to_pylist(), strict=True)]
+    assert np.unique(np.concatenate(samples), return_counts=True)[1].max() <= suffix._KINDS + 1
+
+
+def strings(parts, n, bucket, buckets, seed=5):
+    """A bucket's table: ``n`` strings of each part, of which other parts have some."""
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(-(-(bucket << 40) // buckets), ((bucket + 1) << 40) // buckets, 4 * n).astype(np.uint64)
+    found = [(p, (rng.choice(pool, n), rng.integers(0, 3, n).astype(np.uint64), rng.integers(p * 50, p * 50 + 50, n))) for p in range(parts)]
+    return pa.Table.from_batches([b for p, f in found for b in suffix._blocks(p, [f], buckets, True)])
+
+
+def answers(table):
+    return sorted((part, *x) for part, n, data in zip(*(table.column(c).to_pylist() for c in ("part", "n", "data")), strict=True) for x in zip(*(c.tolist() for c in suffix._unpack(data, n, 3)), strict=True))
+
+
+def test_a_bucket_sorted_in_pieces(monkeypatch):
+    table = strings(4, 3000, 5, 8, seed=9)
+    whole = answers(suffix._sort_bucket(table, 8))
+    monkeypatch.setattr(suffix, "_SORTED", 700)
+    assert whole and answers(suffix._sort_bucket(table, 8)) == whole
+
+
+def test_memory_of_a_large_bucket():
+    """Three million strings: it was over 400 MB when all were sorted at a time."""
+    table = strings(60, 50_000, 5, 128)
+    assert set(table["bucket"].to_pylist()) == {5}
+    tracemalloc.start()
+    try:
+        suffix._sort_bucket(table, 128)
+        assert tracemalloc.get_traced_memory()[1] < 250e6
+    finally:
+        tracemalloc.stop()
